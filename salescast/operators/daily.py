@@ -21,7 +21,9 @@ def sales_scan(
 ) -> DataFrame:
     """The columns a forecast needs, from ``start`` on; dates become DATE."""
     rows = sales.select(*keys, F.col(date).cast("date").alias(DATE), F.col(amount).alias(AMOUNT))
-    return rows.where(F.col(DATE) >= F.lit(start).cast("date")).na.drop(subset=list(keys))
+    for key in keys:
+        rows = rows.where(F.col(key).isNotNull())
+    return rows.where(F.col(DATE) >= F.lit(start).cast("date"))
 
 
 def only_series(sales: DataFrame, values: Mapping[str, object]) -> DataFrame:
@@ -52,21 +54,29 @@ def calendar_spine(daily: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return series_bounds(daily, keys).select(*keys, F.explode(days).alias(DATE))
 
 
-def dense_daily(daily: DataFrame, keys: Sequence[str] = KEYS, last_days: int | None = None) -> DataFrame:
+def spread_by_series(daily: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Bring each series' days into one partition.
+
+    The partition number is given outright: filling the gaps multiplies the
+    rows, and adaptive execution would merge partitions by the size before it.
+    """
+    return daily.repartition(shuffle_partitions(daily.sparkSession), *keys)
+
+
+def dense_daily(
+    daily: DataFrame, keys: Sequence[str] = KEYS, last_days: int | None = None, spread: bool = True
+) -> DataFrame:
     """One row per series and day from first to last sale, zero where nothing sold.
 
     Each sold day is stretched to the day before the next one, so the facts are
     read once and no spine has to be joined. With ``last_days`` only that many
     days before the last sale are produced, and the series' ``first_date`` and
-    ``last_date`` are kept.
-
-    The partition number is given outright: filling the gaps multiplies the
-    rows, and adaptive execution would merge partitions by the size before it.
+    ``last_date`` are kept. ``spread`` is off where the days are partitioned by
+    series already.
     """
     by_day = Window.partitionBy(*keys).orderBy(DATE)
-    spread = daily.repartition(shuffle_partitions(daily.sparkSession), *keys)
     following = F.lead(DATE).over(by_day)
-    sold = spread.withColumn("_until", F.coalesce(F.date_sub(following, 1), F.col(DATE)))
+    sold = (spread_by_series(daily, keys) if spread else daily).withColumn("_until", F.coalesce(F.date_sub(following, 1), F.col(DATE)))
     first_day, kept = F.col(DATE), []
     if last_days is not None:
         series = Window.partitionBy(*keys)

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from salescast.functions.metrics import compare, forecast_errors, improvement_percent
 from salescast.operators.baselines import (
@@ -16,6 +15,7 @@ from salescast.operators.baselines import (
     level_forecast,
     multi_horizon_sum,
 )
+from salescast.operators.selection import best_configuration
 from salescast.operators.split import temporal_split, validation_split
 from salescast.schema import ALL_TARGETS, DIRECT_TARGET, KEYS, TARGETS
 
@@ -38,41 +38,28 @@ def baseline_tuning(split: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
     return forecast_errors(validation, candidates, by)
 
 
-def _chosen(order: str, target: str) -> Column:
-    choice = F.when(F.col(order) == 0, level_forecast(next(iter(LEVELS.values())), target))
-    for number, level in enumerate(list(LEVELS.values())[1:], 1):
-        choice = choice.when(F.col(order) == number, level_forecast(level, target))
-    return choice
+def chosen_baselines(split: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """One row per series: the number of its best level baseline, by target."""
+    best = best_configuration(baseline_tuning(split, keys), [*keys, "target"])
+    by_target = F.map_from_entries(F.collect_list(F.struct("target", "config_order")))
+    return best.groupBy(*keys).agg(by_target.alias("choice"))
 
 
 def with_chosen_baselines(panel: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Test rows forecast with each series' own best level baseline per target.
 
-    The validation errors are window aggregates over the series, so choosing
-    and forecasting need no shuffle beyond the one that built the panel. A
-    series too short for validation keeps the 28-day mean.
+    Both sides of the join are partitioned by series already, so choosing and
+    forecasting add no shuffle to those that built the panel. A series too
+    short for validation keeps the 28-day mean.
     """
-    split = validation_split(temporal_split(panel, keys))
-    series = Window.partitionBy(*keys)
-    in_validation = F.col("tuning_part") == "validation"
-    choices = {}
+    split = temporal_split(panel, keys)
+    test = split.where(F.col("split") == "test").join(chosen_baselines(split, keys), list(keys), "left")
+    default = F.lit(list(LEVELS).index("mean_28d"))
+    forecasts = {}
     for target in ALL_TARGETS:
-        scores = [
-            F.struct(
-                F.avg(F.when(in_validation, F.abs(F.col(target) - level_forecast(level, target))))
-                .over(series)
-                .alias("MAE"),
-                F.lit(order).alias("config_order"),
-            )
-            for order, level in enumerate(LEVELS.values())
-        ]
-        choices[f"_choice_{target}"] = F.array_min(F.array(*scores))["config_order"]
-    default = list(LEVELS).index("mean_28d")
-    chosen = split.withColumns(choices).where(F.col("split") == "test")
-    short = F.col("tuning_status") != "ok"
-    chosen = chosen.withColumns({c: F.when(short, default).otherwise(F.col(c)) for c in choices})
-    forecasts = {forecast_name(t): _chosen(f"_choice_{t}", t) for t in ALL_TARGETS}
-    return chosen.withColumns(forecasts).drop(*choices)
+        levels = F.array(*[level_forecast(level, target) for level in LEVELS.values()])
+        forecasts[forecast_name(target)] = F.get(levels, F.coalesce(F.col("choice")[target], default))
+    return test.withColumns(forecasts).drop("choice")
 
 
 def with_totals(test: DataFrame) -> DataFrame:

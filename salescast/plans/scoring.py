@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salescast.functions.calendar import DEFAULT_YEARS
+from salescast.functions.numeric import to_numbers
 from salescast.operators.baselines import forecast_name, mean_forecast, multi_horizon_sum
-from salescast.operators.daily import daily_sales, dense_daily
+from salescast.operators.daily import daily_sales, dense_daily, spread_by_series
 from salescast.operators.features import HISTORY_DAYS, MONTH, feature_rows
 from salescast.plans.training import MODEL_FEATURES, forecast_all
 from salescast.schema import DATE, DIRECT_TARGET, FEATURES, HORIZON_DAYS, KEYS, TARGETS
@@ -27,7 +28,7 @@ BROADCAST_REQUESTS = 100_000
 def requested_daily(
     scan: DataFrame, requests: DataFrame, keys: Sequence[str] = KEYS, broadcast_rows: int = BROADCAST_REQUESTS
 ) -> DataFrame:
-    """Daily sales of the requested series only.
+    """Daily sales of the requested series only, partitioned by series.
 
     A counted, small request list is broadcast, so other series' facts are
     dropped before any shuffle. A larger one is joined after the daily sum,
@@ -35,8 +36,9 @@ def requested_daily(
     """
     wanted = requests.select(*keys)
     if wanted.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return daily_sales(scan.join(F.broadcast(wanted), list(keys), "left_semi"), keys)
-    return daily_sales(scan, keys).join(wanted, list(keys), "left_semi")
+        few = F.broadcast(wanted)
+        return spread_by_series(daily_sales(scan.join(few, list(keys), "left_semi"), keys), keys)
+    return spread_by_series(daily_sales(scan, keys), keys).join(wanted, list(keys), "left_semi")
 
 
 def scoring_rows(
@@ -44,6 +46,7 @@ def scoring_rows(
     keys: Sequence[str] = KEYS,
     as_of: str = "last",
     years: tuple[int, int] = DEFAULT_YEARS,
+    spread: bool = True,
 ) -> DataFrame:
     """One row per series: the day it is forecast from, its features and ``status``.
 
@@ -52,7 +55,7 @@ def scoring_rows(
     day has ``insufficient_history``, and NULL features.
     """
     back = DAYS_BEFORE_LAST[as_of]
-    dense = dense_daily(daily, keys, last_days=HISTORY_DAYS + back)
+    dense = dense_daily(daily, keys, last_days=HISTORY_DAYS + back, spread=spread)
     scored = F.greatest(F.col("first_date"), F.date_sub("last_date", back))
     rows = feature_rows(dense, keys, years, scoring=True).where(F.col(DATE) == scored)
     enough = F.datediff(DATE, "first_date") >= MONTH
@@ -96,9 +99,11 @@ def answer_requests(
     return answered.withColumn("status", F.coalesce("status", F.lit("no_history")))
 
 
-def baseline_batch(daily: DataFrame, keys: Sequence[str] = KEYS, as_of: str = "last") -> DataFrame:
+def baseline_batch(
+    daily: DataFrame, keys: Sequence[str] = KEYS, as_of: str = "last", spread: bool = True
+) -> DataFrame:
     """Forecasts of the 28-day mean for every series."""
-    return forecast_response(mean_forecast(scoring_rows(daily, keys, as_of)), keys)
+    return forecast_response(mean_forecast(scoring_rows(daily, keys, as_of, spread=spread)), keys)
 
 
 def to_json_rows(answers: DataFrame) -> DataFrame:
@@ -117,6 +122,6 @@ def predict_batch(
 ) -> DataFrame:
     """The models' forecasts for every request, from the sales in ``scan``."""
     wanted = requests.withColumnsRenamed(dict(zip(request_keys, keys)))
-    rows = scoring_rows(requested_daily(scan, wanted, keys), keys, as_of)
-    forecasts = forecast_all(rows, models, features)
+    rows = scoring_rows(requested_daily(scan, wanted, keys), keys, as_of, spread=False)
+    forecasts = forecast_all(to_numbers(rows, FEATURES), models, features)
     return answer_requests(requests, forecast_response(forecasts, keys), keys, request_keys)

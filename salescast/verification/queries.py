@@ -21,7 +21,6 @@ from salescast.schema import (
     DIRECT_TARGET,
     FEATURES,
     KEYS,
-    QUANTITY,
     RATIO_FEATURES,
     TARGETS,
 )
@@ -331,7 +330,7 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = _requests(spark, sf_dir)
     wanted = requests.withColumnsRenamed(dict(zip(tables.REQUEST_KEYS, KEYS)))
     sold = scoring.requested_daily(_scan(spark, sf_dir), wanted)
-    return scoring.answer_requests(requests, scoring.baseline_batch(sold))
+    return scoring.answer_requests(requests, scoring.baseline_batch(sold, spread=False))
 
 
 def predict_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
