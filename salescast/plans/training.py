@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from uuid import uuid4
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
@@ -129,7 +130,7 @@ def tune(
 
     tasks = [(t, order, c) for t in targets for order, c in enumerate(configurations)]
     with ThreadPoolExecutor(parallelism) as pool:
-        results = list(pool.map(inheritable_thread_target(score), tasks))
+        results = list(pool.map(inheritable_thread_target(spark)(score), tasks))
     return spark.createDataFrame(results, TUNING_SCHEMA)
 
 
@@ -148,7 +149,7 @@ def train(
     series gives that series its own models.
     """
     spark = panel.sparkSession
-    rows_path = rows_path or f"{shared_dir(spark)}/training-rows"
+    rows_path = rows_path or f"{shared_dir(spark)}/training-rows-{uuid4().hex}"
     store_training_rows(panel, rows_path, keys)
     tuning = tune(spark, rows_path, targets, configurations, scale, parallelism)
     # One row per target.
@@ -160,5 +161,5 @@ def train(
         return fit(train_rows, target, by_name[best[target]], scale)
 
     with ThreadPoolExecutor(parallelism) as pool:
-        models = dict(zip(targets, pool.map(inheritable_thread_target(fit_final), targets)))
+        models = dict(zip(targets, pool.map(inheritable_thread_target(spark)(fit_final), targets)))
     return TrainedRun(models, best, tuning, rows_path)

@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     driver and the executors are one process on one machine.
     """
     context = spark.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(configured)
