@@ -16,8 +16,8 @@ from salescast.operators.baselines import (
     multi_horizon_sum,
 )
 from salescast.operators.selection import best_configuration
-from salescast.operators.split import temporal_split, validation_split
-from salescast.schema import ALL_TARGETS, DIRECT_TARGET, KEYS, TARGETS
+from salescast.operators.split import first_test_rows, temporal_split, validation_split
+from salescast.schema import ALL_TARGETS, DATE, DIRECT_TARGET, KEYS, TARGETS
 
 COMPARED = {
     "baseline_7d": "baseline_7d",
@@ -95,6 +95,18 @@ def model_comparison(test: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return forecast_errors(with_totals(test), comparisons, by)
 
 
+def prediction_examples(test: DataFrame, rows: int = 10, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Actual seven-day total of each series' first test rows, next to the forecasts of it."""
+    return with_totals(first_test_rows(test, rows)).select(
+        *keys,
+        DATE,
+        F.col(DIRECT_TARGET).alias("actual"),
+        F.col(forecast_name(DIRECT_TARGET)).alias("direct"),
+        F.col("forecast_multi").alias("multi"),
+        "baseline_28d",
+    )
+
+
 def improvement_over_baseline(comparison: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Improvement of the direct model's MAE over the 28-day baseline's."""
 

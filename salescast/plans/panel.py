@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
 from salescast.functions.calendar import DEFAULT_YEARS
-from salescast.operators.daily import daily_sales, dense_daily, sales_scan
+from salescast.operators.daily import daily_sales, dense_daily, only_series, sales_scan
 from salescast.operators.features import feature_rows
 from salescast.schema import AMOUNT, DATE, HISTORY_START, KEYS
 
@@ -23,3 +23,19 @@ def training_panel(
     """Features and targets of every usable day of every series in ``sales``."""
     scan = sales_scan(sales, keys, date, amount, start)
     return feature_rows(dense_daily(daily_sales(scan, keys), keys), keys, years)
+
+
+def series_panel(
+    sales: DataFrame,
+    values: Mapping[str, object],
+    date: str = DATE,
+    amount: str = AMOUNT,
+    start: str = HISTORY_START,
+    years: tuple[int, int] = DEFAULT_YEARS,
+) -> DataFrame:
+    """The panel of the one series named by its key values, in date order.
+
+    The filter sits below everything else, so it reaches the scan.
+    """
+    panel = training_panel(only_series(sales, values), list(values), date, amount, start, years)
+    return panel.orderBy(DATE)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import asdict
 
 from pyspark.ml.regression import GBTRegressionModel
@@ -25,17 +25,17 @@ def _table(root: str, name: str, run_id: str) -> str:
 
 def save_run(
     run: TrainedRun,
-    metrics: DataFrame,
+    reports: Mapping[str, DataFrame],
     root: str,
     run_id: str,
     features: Sequence[str] = MODEL_FEATURES,
     configurations: Sequence[Configuration] = CONFIGURATIONS,
 ) -> None:
-    """Write the models, the chosen configurations, the tuning and comparison tables.
+    """Write the models, what was chosen, and the reports about them.
 
     ``info`` is written last, so a run that has it is complete.
     """
-    spark = metrics.sparkSession
+    spark = run.tuning.sparkSession
     for target, model in run.models.items():
         model.write().overwrite().save(f"{root}/models/{run_id}/{target}")
     by_name = {c.name: asdict(c) for c in configurations}
@@ -43,22 +43,17 @@ def save_run(
     for order, target in enumerate(run.models):
         chosen = by_name[run.best[target]]
         choices.append((target, order, target == DIRECT_TARGET, chosen["name"], *[chosen[p] for p in PARAMETERS]))
-    tables = {
+    small = {
         "choices": spark.createDataFrame(choices, CHOICE_SCHEMA),
         "features": spark.createDataFrame(list(enumerate(features)), "feature_order int, feature string"),
-        "importance": feature_importance(spark, run.models[DIRECT_TARGET], features)
-        if DIRECT_TARGET in run.models
-        else None,
         "tuning": run.tuning,
-        "metrics": metrics,
-        "info": spark.createDataFrame(
-            [(GAP_DAYS, DIRECT_TARGET, BASELINE_FEATURE)],
-            "gap_days int, direct_target string, direct_baseline_feature string",
-        ),
     }
-    for name, table in tables.items():
-        if table is not None:
-            table.coalesce(1).write.mode("overwrite").parquet(_table(root, name, run_id))
+    if DIRECT_TARGET in run.models:
+        small["importance"] = feature_importance(spark, run.models[DIRECT_TARGET], features)
+    info = (GAP_DAYS, DIRECT_TARGET, BASELINE_FEATURE)
+    info_schema = "gap_days int, direct_target string, direct_baseline_feature string"
+    for name, table in {**small, **reports, "info": spark.createDataFrame([info], info_schema)}.items():
+        table.write.mode("overwrite").parquet(_table(root, name, run_id))
 
 
 def read_table(spark: SparkSession, root: str, name: str, run_id: str) -> DataFrame:

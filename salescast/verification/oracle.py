@@ -290,7 +290,11 @@ def oracle_sql() -> dict[str, str]:
     return {
         "sales_scan": _with(SALES, f"{scan} WHERE transactionDate >= DATE '{SCAN_START}'"),
         "sales_scan_params": _with(SALES, f"{scan} WHERE {only}"),
-        "holiday_calendar": _with(f"{SALES}, {HOLIDAYS}", "SELECT holiday_date FROM holidays WHERE year(holiday_date) IN (SELECT year(transactionDate) FROM sales)"),
+        "holiday_calendar": _with(
+            f"{SALES}, {HOLIDAYS}",
+            "SELECT holiday_date FROM holidays "
+            "WHERE year(holiday_date) IN (SELECT year(transactionDate) FROM sales)",
+        ),
         "sample_regression": _with(
             PANEL,
             f"SELECT {r('quantity_mean_7d')} AS feature_1, {r('quantity_mean_28d')} AS feature_2, "
@@ -317,6 +321,7 @@ def oracle_sql() -> dict[str, str]:
             FEATURED, f"SELECT {ROW}, {_columns(RATIO_FEATURES)} FROM featured WHERE quantity_lag_28 IS NOT NULL"
         ),
         "training_panel": _with(PANEL, f"SELECT {PANEL_COLUMNS} FROM panel"),
+        "series_panel": _with(PANEL, f"SELECT {PANEL_COLUMNS} FROM panel WHERE {only}"),
         "feature_matrix": _with(PANEL, f"SELECT {ROW}, {_columns(FEATURES)} FROM panel"),
         "target_matrix": _with(PANEL, f"SELECT {ROW}, {', '.join(ALL_TARGETS)} FROM panel"),
         "baseline_feature": _with(

@@ -13,7 +13,7 @@ from salescast.functions.metrics import compare, forecast_errors
 from salescast.functions.numeric import to_numbers
 from salescast.operators import baselines, daily, features, quality, split
 from salescast.operators.selection import best_configuration
-from salescast.plans import configurations, evaluation, panel, scoring, training
+from salescast.plans import configurations, evaluation, jobs, panel, scoring, training
 from salescast.schema import (
     ALL_TARGETS,
     BASELINE_FEATURE,
@@ -181,6 +181,10 @@ def training_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_panel(spark, sf_dir))
 
 
+def series_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(panel.series_panel(retail_sales(spark, sf_dir), ONE_SERIES, start=FIRST_DAY, years=YEARS))
+
+
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features.feature_matrix(_panel(spark, sf_dir)))
 
@@ -275,16 +279,7 @@ def improvement_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prediction_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evaluation.with_totals(split.first_test_rows(_chosen(spark, sf_dir)))
-    examples = rows.select(
-        *KEYS,
-        DATE,
-        F.col(DIRECT_TARGET).alias("actual"),
-        F.col(baselines.forecast_name(DIRECT_TARGET)).alias("direct"),
-        F.col("forecast_multi").alias("multi"),
-        "baseline_28d",
-    )
-    return rounded_all(examples, ["direct", "multi", "baseline_28d"])
+    return rounded_all(evaluation.prediction_examples(_chosen(spark, sf_dir)), ["direct", "multi", "baseline_28d"])
 
 
 def config_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,11 +358,10 @@ def _run(spark: SparkSession, sf_dir: str) -> tuple[training.TrainedRun, str]:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _runs:
         root = f"{shared_dir(spark)}/runs-{uuid4().hex}"
-        run = training.train(
-            _panel(spark, sf_dir), configurations=CHECK_GRID, scale=CHECK_SCALE, rows_path=f"{root}/rows"
+        sales = retail_sales(spark, sf_dir)
+        run = jobs.run_training(
+            sales, root, RUN_ID, start=FIRST_DAY, years=YEARS, configurations=CHECK_GRID, scale=CHECK_SCALE
         )
-        metrics = evaluation.model_comparison(run.test_forecasts(spark))
-        registry.save_run(run, metrics, root, RUN_ID)
         _runs[key] = run, root
     return _runs[key]
 
@@ -396,6 +390,11 @@ def gbt_model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.model_comparison(_run(spark, sf_dir)[0].test_forecasts(spark))
 
 
+def gbt_prediction_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, root = _run(spark, sf_dir)
+    return registry.read_table(spark, root, "examples", RUN_ID)
+
+
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, root = _run(spark, sf_dir)
     return registry.read_table(spark, root, "importance", RUN_ID).orderBy(F.desc("importance"), "feature")
@@ -448,6 +447,7 @@ def queries() -> dict[str, Query]:
         "holiday_flag": holiday_flag,
         "ratio_features": ratio_features,
         "training_panel": training_panel,
+        "series_panel": series_panel,
         "feature_matrix": feature_matrix,
         "target_matrix": target_matrix,
         "baseline_feature": baseline_feature,
@@ -479,6 +479,7 @@ def queries() -> dict[str, Query]:
         "gbt_test_forecast": gbt_test_forecast,
         "model_horizon_metrics": model_horizon_metrics,
         "gbt_model_comparison": gbt_model_comparison,
+        "gbt_prediction_examples": gbt_prediction_examples,
         "feature_importance": feature_importance,
         "model_info": model_info,
         "model_registry_roundtrip": model_registry_roundtrip,
