@@ -1,7 +1,8 @@
 """Time the headline queries and print one JSON line.
 
 ``BENCH_SF_DIR`` names the tables, ``BENCH_CPUS`` the cores. Each query is run
-twice over its whole input and the second time counts.
+over its whole input; after one run to warm up, the better of two counts. Training
+runs once.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ CPUS = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 1))
 HEADLINE = [
     "daily_sales",
     "dense_daily",
-    "training_panel",
     "temporal_split",
     "target_describe",
     "null_counts",
@@ -35,8 +35,12 @@ HEADLINE = [
     "predict_baseline",
     "predict_requests",
 ]
-# More series: unit and item columns of the panel.
-WIDE = {"panel_nation_brand": ("nation", "brand"), "panel_supplier_type": ("supplier", "type")}
+# The whole panel over more and more series: its unit and item columns.
+PANELS = {
+    "training_panel": ("nation", "type"),
+    "panel_nation_brand": ("nation", "brand"),
+    "panel_supplier_type": ("supplier", "type"),
+}
 # Trains once, then scores.
 TREES = ["tuning_results", "gbt_test_forecast", "predict_batch"]
 
@@ -52,15 +56,15 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     registered = queries()
 
-    def wide(unit: str, item: str) -> Callable[[], DataFrame]:
+    def whole_panel(unit: str, item: str) -> Callable[[], DataFrame]:
         return lambda: training_panel(retail_sales(spark, SF_DIR, unit, item), start=FIRST_DAY, years=YEARS)
 
     builds = {name: (lambda name=name: registered[name](spark, SF_DIR)) for name in HEADLINE}
-    builds.update({name: wide(*grain) for name, grain in WIDE.items()})
+    builds.update({name: whole_panel(*grain) for name, grain in PANELS.items()})
     times = {}
     for name, build in builds.items():
         seconds(build)
-        times[name] = seconds(build)
+        times[name] = min(seconds(build), seconds(build))
     for name in TREES:
         times[name] = seconds(lambda name=name: registered[name](spark, SF_DIR))
     spark.stop()

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,14 @@ CHOICE_SCHEMA = "target string, target_order int, is_direct boolean, configurati
 )
 
 
+# Models read or written at a time.
+PARALLELISM = 8
+
+
+def _model(root: str, target: str, run_id: str) -> str:
+    return f"{root}/models/{run_id}/{target}"
+
+
 def _table(root: str, name: str, run_id: str) -> str:
     return f"{root}/{name}/run_id={run_id}"
 
@@ -36,8 +46,12 @@ def save_run(
     ``info`` is written last, so a run that has it is complete.
     """
     spark = run.tuning.sparkSession
-    for target, model in run.models.items():
-        model.write().overwrite().save(f"{root}/models/{run_id}/{target}")
+
+    def save(target: str) -> None:
+        run.models[target].write().overwrite().save(_model(root, target, run_id))
+
+    with ThreadPoolExecutor(PARALLELISM) as pool:
+        list(pool.map(inheritable_thread_target(spark)(save), run.models))
     by_name = {c.name: asdict(c) for c in configurations}
     choices = []
     for order, target in enumerate(run.models):
@@ -67,7 +81,13 @@ def model_features(spark: SparkSession, root: str, run_id: str) -> list[str]:
 
 def load_models(spark: SparkSession, root: str, run_id: str) -> dict[str, GBTRegressionModel]:
     choices = read_table(spark, root, "choices", run_id).orderBy("target_order").collect()
-    return {row["target"]: GBTRegressionModel.load(f"{root}/models/{run_id}/{row['target']}") for row in choices}
+    targets = [row["target"] for row in choices]
+
+    def load(target: str) -> GBTRegressionModel:
+        return GBTRegressionModel.load(_model(root, target, run_id))
+
+    with ThreadPoolExecutor(PARALLELISM) as pool:
+        return dict(zip(targets, pool.map(inheritable_thread_target(spark)(load), targets)))
 
 
 def model_info(spark: SparkSession, root: str, run_id: str) -> DataFrame:
