@@ -27,6 +27,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
         command.add_argument("--start", default=HISTORY_START)
     train.add_argument("--scale", type=float, default=1.0, help="share of the configured number of trees")
     train.add_argument("--parallelism", type=int, default=4, help="fits running at a time")
+    train.add_argument("--cutoff", help="last train date of every series, instead of its first 80 %%")
     forecast.add_argument("--requests", required=True, help="JSON lines with operational_unit_id and item_id")
     forecast.add_argument("--out", required=True)
     forecast.add_argument("--as-of", choices=["last", "labelled"], default="last")
@@ -49,6 +50,7 @@ def main(argv: list[str] | None = None) -> None:
             start=options.start,
             scale=options.scale,
             parallelism=options.parallelism,
+            cutoff=options.cutoff,
         )
     else:
         requests = read_requests(spark, options.requests)

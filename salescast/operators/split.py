@@ -25,9 +25,17 @@ def with_position(panel: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
 
 
-def temporal_split(panel: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """First 80 % of each series train, the next seven rows gap, the rest test."""
+def temporal_split(panel: DataFrame, keys: Sequence[str] = KEYS, cutoff: str | None = None) -> DataFrame:
+    """First 80 % of each series train, the next seven rows gap, the rest test.
+
+    With ``cutoff`` the train part of every series ends on that date instead,
+    so that a model of all series sees no series' days after another's test
+    days began.
+    """
     train_rows = F.expr("int(4 * series_rows div 5)")
+    if cutoff is not None:
+        before = F.col(DATE) <= F.lit(cutoff).cast("date")
+        train_rows = F.count_if(before).over(Window.partitionBy(*keys)).cast("int")
     label = (
         F.when(F.col("position") < F.col("train_rows"), "train")
         .when(F.col("position") < F.col("train_rows") + GAP_DAYS, "gap")

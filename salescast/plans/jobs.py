@@ -28,6 +28,7 @@ def run_training(
     configurations: Sequence[Configuration] = CONFIGURATIONS,
     scale: float = 1.0,
     parallelism: int = 4,
+    cutoff: str | None = None,
 ) -> TrainedRun:
     """Train on all series, evaluate on their test parts, and store everything under ``root``.
 
@@ -41,6 +42,7 @@ def run_training(
         keys=keys,
         rows_path=f"{root}/training_rows/{run_id}",
         parallelism=parallelism,
+        cutoff=cutoff,
     )
     spark = sales.sparkSession
     forecasts_path = f"{root}/test_forecasts/{run_id}"

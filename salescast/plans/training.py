@@ -51,13 +51,15 @@ def with_vector(rows: DataFrame, features: Sequence[str] = MODEL_FEATURES) -> Da
     return assembler.transform(rows.withColumns({**slots, **flags})).drop(*inputs)
 
 
-def store_training_rows(panel: DataFrame, path: str, keys: Sequence[str] = KEYS) -> None:
+def store_training_rows(
+    panel: DataFrame, path: str, keys: Sequence[str] = KEYS, cutoff: str | None = None
+) -> None:
     """Write the split panel once, one folder per part.
 
     All fits read it from there: a lost executor re-reads its files instead of
     recomputing the panel from the facts, and each fit scans only its parts.
     """
-    parts = validation_split(temporal_split(panel, keys))
+    parts = validation_split(temporal_split(panel, keys, cutoff))
     stage = F.concat_ws("_", "split", F.when(F.col("split") == "train", F.coalesce("tuning_part", F.lit("short"))))
     parts.withColumn("stage", stage).write.mode("overwrite").partitionBy("stage").parquet(path)
 
@@ -142,15 +144,17 @@ def train(
     keys: Sequence[str] = KEYS,
     rows_path: str | None = None,
     parallelism: int = 4,
+    cutoff: str | None = None,
 ) -> TrainedRun:
     """Tune every target, then fit its best configuration on the whole train part.
 
     The models are pooled: each learns from all series. Passing a panel of one
-    series gives that series its own models.
+    series gives that series its own models. ``cutoff`` ends all train parts on
+    one date.
     """
     spark = panel.sparkSession
     rows_path = rows_path or f"{shared_dir(spark)}/training-rows-{uuid4().hex}"
-    store_training_rows(panel, rows_path, keys)
+    store_training_rows(panel, rows_path, keys, cutoff)
     tuning = tune(spark, rows_path, targets, configurations, scale, parallelism)
     # One row per target.
     best = {row["target"]: row["configuration"] for row in best_configuration(tuning).collect()}

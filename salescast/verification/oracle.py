@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from salescast.plans.configurations import CONFIGURATIONS, PARAMETERS, iterations, step_size, tree_depth
 from salescast.schema import ALL_TARGETS, DIRECT_TARGET, FEATURES, RATIO_FEATURES, TARGETS
-from salescast.verification.queries import CALENDAR, LAGS, MEANS, OFFSET_SUMS, ONE_SERIES, SCAN_START, SUMS
+from salescast.verification.queries import CALENDAR, DIGITS, LAGS, MEANS, OFFSET_SUMS, ONE_SERIES, SCAN_START, SUMS
 
 UNIT = "operationalUnitIdentifier"
 ITEM = "itemIdentifier"
@@ -207,12 +207,6 @@ _HORIZONS = ", ".join(
 )
 _BASELINE_HORIZONS = ", ".join(f"{{'horizon': '{t}', 'y': {t}, 'p': quantity_mean_28d}}" for t in TARGETS)
 
-DIGITS = {
-    **{name: 6 for name in [*MEANS, "quantity_std_28d", *RATIO_FEATURES]},
-    "sin_day_of_year": 9,
-    "cos_day_of_year": 9,
-}
-
 
 def _columns(names: list[str]) -> str:
     return ", ".join(f"{r(n, DIGITS[n])} AS {n}" if n in DIGITS else n for n in names)
@@ -328,6 +322,15 @@ def oracle_sql() -> dict[str, str]:
             PANEL, f"SELECT {ROW}, {r('quantity_mean_28d * 7')} AS baseline_28d_7days FROM panel"
         ),
         "temporal_split": _with(SPLIT, f"SELECT {ROW}, position, train_rows, split FROM split"),
+        "cutoff_split": _with(
+            f"""{SPLIT}, cut AS (
+                SELECT {ROW}, position,
+                       CAST(COUNT(*) FILTER (WHERE transactionDate <= DATE '{SCAN_START}') OVER (PARTITION BY {ID})
+                            AS INTEGER) AS train_rows FROM split
+            )""",
+            f"""SELECT {ROW}, position, train_rows, CASE WHEN position < train_rows THEN 'train'
+                WHEN position < train_rows + 7 THEN 'gap' ELSE 'test' END AS split FROM cut""",
+        ),
         "validation_split": _with(SPLIT, f"SELECT {ROW}, position, tuning_part, tuning_status FROM split"),
         "split_summary": _with(
             SPLIT,
