@@ -76,7 +76,8 @@ def dense_daily(
     """
     by_day = Window.partitionBy(*keys).orderBy(DATE)
     following = F.lead(DATE).over(by_day)
-    sold = (spread_by_series(daily, keys) if spread else daily).withColumn("_until", F.coalesce(F.date_sub(following, 1), F.col(DATE)))
+    until = F.coalesce(F.date_sub(following, 1), F.col(DATE))
+    sold = (spread_by_series(daily, keys) if spread else daily).withColumn("_until", until)
     first_day, kept = F.col(DATE), []
     if last_days is not None:
         series = Window.partitionBy(*keys)

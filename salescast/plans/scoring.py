@@ -38,7 +38,7 @@ def requested_daily(
     if wanted.limit(broadcast_rows + 1).count() <= broadcast_rows:
         few = F.broadcast(wanted)
         return spread_by_series(daily_sales(scan.join(few, list(keys), "left_semi"), keys), keys)
-    return spread_by_series(daily_sales(scan, keys), keys).join(wanted, list(keys), "left_semi")
+    return spread_by_series(daily_sales(scan, keys), keys).join(wanted.distinct(), list(keys), "left_semi")
 
 
 def scoring_rows(

@@ -14,7 +14,9 @@ SAMPLE_SCHEMA = T.StructType(
 )
 
 
-def read_sales(spark: SparkSession, path: str | None = None, table: str | None = None, source: str = "parquet") -> DataFrame:
+def read_sales(
+    spark: SparkSession, path: str | None = None, table: str | None = None, source: str = "parquet"
+) -> DataFrame:
     """The transaction fact, from files or from a catalog table."""
     if (path is None) == (table is None):
         raise ValueError("name either a path or a table")

@@ -19,7 +19,6 @@ from salescast.schema import (
     BASELINE_FEATURE,
     DATE,
     DIRECT_TARGET,
-    FEATURES,
     KEYS,
     RATIO_FEATURES,
     TARGETS,
@@ -416,7 +415,8 @@ def model_registry_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     run, root = _run(spark, sf_dir)
     stored = registry.load_models(spark, root, RUN_ID)
     names = [baselines.forecast_name(t) for t in ALL_TARGETS]
-    rows = training.forecast_all(run.test_forecasts(spark).withColumnsRenamed({n: f"memory_{n}" for n in names}), stored)
+    memory = run.test_forecasts(spark).withColumnsRenamed({n: f"memory_{n}" for n in names})
+    rows = training.forecast_all(memory, stored)
     return rows.select(*KEYS, DATE, *names, *[f"memory_{n}" for n in names])
 
 
