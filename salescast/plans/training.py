@@ -153,7 +153,9 @@ def train(
     one date.
     """
     spark = panel.sparkSession
-    rows_path = rows_path or f"{shared_dir(spark)}/training-rows-{uuid4().hex}"
+    # Asked for in any case: without a checkpoint folder the fits' lineage would grow with every tree.
+    folder = shared_dir(spark)
+    rows_path = rows_path or f"{folder}/training-rows-{uuid4().hex}"
     store_training_rows(panel, rows_path, keys, cutoff)
     tuning = tune(spark, rows_path, targets, configurations, scale, parallelism)
     # One row per target.
