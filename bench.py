@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from salescast.plans.panel import training_panel
 from salescast.session import local_session
-from salescast.sources.retail import FIRST_DAY, YEARS, retail_sales
+from salescast.sources.retail import FIRST_DAY, retail_sales
 from salescast.verification.queries import queries
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -57,7 +57,7 @@ def main() -> None:
     registered = queries()
 
     def whole_panel(unit: str, item: str) -> Callable[[], DataFrame]:
-        return lambda: training_panel(retail_sales(spark, SF_DIR, unit, item), start=FIRST_DAY, years=YEARS)
+        return lambda: training_panel(retail_sales(spark, SF_DIR, unit, item), start=FIRST_DAY)
 
     builds = {name: (lambda name=name: registered[name](spark, SF_DIR)) for name in HEADLINE}
     builds.update({name: whole_panel(*grain) for name, grain in PANELS.items()})

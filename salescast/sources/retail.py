@@ -13,7 +13,6 @@ ITEMS = {"type": "p_type", "brand": "p_brand"}
 
 # Before the first ship date, so that a panel covers the whole table.
 FIRST_DAY = "1995-01-01"
-YEARS = (1995, 2001)
 
 
 def retail_sales(spark: SparkSession, sf_dir: str, unit: str = "nation", item: str = "type") -> DataFrame:

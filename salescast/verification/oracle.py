@@ -15,10 +15,6 @@ ITEM = "itemIdentifier"
 ID = f"{UNIT}, {ITEM}"
 ROW = f"{ID}, transactionDate"
 
-# Easter Sundays of the years in the test tables.
-EASTER = ["1995-04-16", "1996-04-07", "1997-03-30", "1998-04-12", "1999-04-04", "2000-04-23", "2001-04-15"]
-
-
 def r(expression: str, digits: int = 6) -> str:
     """Rounded, without a negative zero."""
     return f"CASE WHEN round({expression}, {digits}) = 0 THEN 0.0 ELSE round({expression}, {digits}) END"
@@ -37,6 +33,7 @@ sales AS (
            CAST(l_shipdate AS DATE) AS transactionDate,
            CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS itemQuantity
     FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
+    WHERE s_nationkey IS NOT NULL AND p_type IS NOT NULL
 )"""
 
 DAILY = f"""{SALES},
@@ -59,8 +56,18 @@ dense AS (
     SELECT {ROW}, COALESCE(quantity, 0.0) AS quantity FROM spine LEFT JOIN daily USING ({ROW})
 )"""
 
-HOLIDAYS = f"""
-easter AS (SELECT CAST(UNNEST({EASTER}) AS DATE) AS sunday),
+# Easter by the rule of Meeus, Jones and Butcher; the Spark side uses Gauss's.
+HOLIDAYS = """
+years AS (SELECT UNNEST(range(1950, 2101)) AS y),
+moons AS (
+    SELECT y, y % 19 AS a, (19 * (y % 19) + y // 100 - y // 400 - (y // 100 - (y // 100 + 8) // 25 + 1) // 3 + 15) % 30
+        AS h FROM years
+),
+weekdays AS (
+    SELECT *, (32 + 2 * ((y // 100) % 4) + 2 * ((y % 100) // 4) - h - (y % 100) % 4) % 7 AS l FROM moons
+),
+spring AS (SELECT y, h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114 AS days FROM weekdays),
+easter AS (SELECT make_date(y, days // 31, days % 31 + 1) AS sunday FROM spring),
 holidays AS (
     SELECT CAST(sunday + days AS DATE) AS holiday_date FROM easter, (VALUES (1), (39), (50)) AS movable(days)
     UNION
@@ -285,9 +292,9 @@ def oracle_sql() -> dict[str, str]:
         "sales_scan": _with(SALES, f"{scan} WHERE transactionDate >= DATE '{SCAN_START}'"),
         "sales_scan_params": _with(SALES, f"{scan} WHERE {only}"),
         "holiday_calendar": _with(
-            f"{SALES}, {HOLIDAYS}",
+            f"{DAILY}, {HOLIDAYS}",
             "SELECT holiday_date FROM holidays "
-            "WHERE year(holiday_date) IN (SELECT year(transactionDate) FROM sales)",
+            "WHERE year(holiday_date) IN (SELECT year(transactionDate) FROM daily)",
         ),
         "sample_regression": _with(
             PANEL,

@@ -25,7 +25,7 @@ from salescast.schema import (
 )
 from salescast.session import shared_dir
 from salescast.sources import registry, tables
-from salescast.sources.retail import FIRST_DAY, YEARS, retail_sales
+from salescast.sources.retail import FIRST_DAY, retail_sales
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,7 +69,7 @@ def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.training_panel(retail_sales(spark, sf_dir), start=FIRST_DAY, years=YEARS)
+    return panel.training_panel(retail_sales(spark, sf_dir), start=FIRST_DAY)
 
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +169,7 @@ def calendar_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def holiday_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_holiday_flag(_dense(spark, sf_dir), DATE, YEARS).select(*KEYS, DATE, "is_holiday")
+    return with_holiday_flag(_dense(spark, sf_dir), DATE).select(*KEYS, DATE, "is_holiday")
 
 
 def ratio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +182,7 @@ def training_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def series_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(panel.series_panel(retail_sales(spark, sf_dir), ONE_SERIES, start=FIRST_DAY, years=YEARS))
+    return rounded(panel.series_panel(retail_sales(spark, sf_dir), ONE_SERIES, start=FIRST_DAY))
 
 
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,11 +301,11 @@ def config_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(scoring.latest_features(_daily(spark, sf_dir), years=YEARS))
+    return rounded(scoring.latest_features(_daily(spark, sf_dir)))
 
 
 def latest_features_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(scoring.latest_features(_daily(spark, sf_dir), as_of="labelled", years=YEARS))
+    return rounded(scoring.latest_features(_daily(spark, sf_dir), as_of="labelled"))
 
 
 def predict_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -365,7 +365,7 @@ def _run(spark: SparkSession, sf_dir: str) -> tuple[training.TrainedRun, str]:
         root = f"{shared_dir(spark)}/runs-{uuid4().hex}"
         sales = retail_sales(spark, sf_dir)
         run = jobs.run_training(
-            sales, root, RUN_ID, start=FIRST_DAY, years=YEARS, configurations=CHECK_GRID, scale=CHECK_SCALE
+            sales, root, RUN_ID, start=FIRST_DAY, configurations=CHECK_GRID, scale=CHECK_SCALE
         )
         _runs[key] = run, root
     return _runs[key]
