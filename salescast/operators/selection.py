@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 def best_configuration(tuning: DataFrame, by: Sequence[str] = ("target",)) -> DataFrame:
     """The row of lowest MAE per group; equal errors go to the lower ``config_order``.
 
-    Rows without an error (NULL or NaN) never win.
+    Errors are compared at nine decimals. Their last bits depend on the order
+    rows were summed in, which differs from run to run on a cluster, and must
+    not decide a tie. Rows without an error (NULL or NaN) never win.
     """
     scored = tuning.where(F.col("MAE").isNotNull() & ~F.isnan("MAE"))
     rest = [name for name in tuning.columns if name not in by]
-    best = F.min_by(F.struct(*rest), F.struct("MAE", "config_order")).alias("best")
+    best = F.min_by(F.struct(*rest), F.struct(F.round("MAE", 9), "config_order")).alias("best")
     return scored.groupBy(*by).agg(best).select(*by, "best.*")

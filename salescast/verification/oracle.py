@@ -172,7 +172,7 @@ tuning AS (
 BEST = f"""{TUNING},
 best AS (
     SELECT * FROM tuning
-    QUALIFY ROW_NUMBER() OVER (PARTITION BY {ID}, target ORDER BY MAE, config_order) = 1
+    QUALIFY ROW_NUMBER() OVER (PARTITION BY {ID}, target ORDER BY round(MAE, 9), config_order) = 1
 )"""
 
 _PICK = ", ".join(f"MAX(CASE WHEN target = '{t}' THEN config_order END) AS pick_{t}" for t in ALL_TARGETS)
@@ -371,7 +371,7 @@ def oracle_sql() -> dict[str, str]:
             f"{CANDIDATES}, pooled AS (SELECT target, CAST(config_order AS INTEGER) AS config_order, configuration, "
             f"{ERRORS} FROM candidates GROUP BY target, config_order, configuration)",
             f"SELECT target, config_order, configuration, {SHOWN_ERRORS} FROM pooled "
-            "QUALIFY ROW_NUMBER() OVER (PARTITION BY target ORDER BY MAE, config_order) = 1",
+            "QUALIFY ROW_NUMBER() OVER (PARTITION BY target ORDER BY round(MAE, 9), config_order) = 1",
         ),
         "chosen_horizon_metrics": _with(
             f"""{CHOSEN},
