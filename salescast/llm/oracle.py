@@ -49,7 +49,65 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles,
 FROM sets s LEFT JOIN least o ON s.doc_id = o.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_near_dedup": OP8}
+OP1 = f"""
+WITH docs AS (
+  SELECT doc_id, {words(lowered('text'))} AS w FROM documents
+), items AS (
+  SELECT item_id, {words(lowered('text'))} AS w FROM benchmark
+), doc_shingles AS (
+  SELECT doc_id, unnest({shingles('w')}) AS shingle FROM docs
+), item_sets AS (
+  SELECT item_id, {shingles('w')} AS s FROM items
+), item_shingles AS (
+  SELECT item_id, len(s) AS n, unnest(s) AS shingle FROM item_sets
+)
+SELECT d.doc_id, i.item_id, CAST(count(*) AS BIGINT) AS n_shared, CAST(i.n AS BIGINT) AS n_item_shingles
+FROM doc_shingles d JOIN item_shingles i ON d.shingle = i.shingle
+GROUP BY d.doc_id, i.item_id, i.n
+HAVING 100 * count(*) >= 75 * i.n
+"""
+
+
+def _covered(width: int) -> str:
+    """Words in windows of ``width`` words that are found twice or more in the document."""
+    return f"""SELECT doc_id, count(DISTINCT place + step) AS words
+  FROM (SELECT doc_id, place, count(*) OVER (PARTITION BY doc_id, gram) AS times
+        FROM (SELECT doc_id, unnest(range(1, len(w) - {width} + 2)) AS place,
+                     unnest(list_transform(range(1, len(w) - {width} + 2),
+                            lambda i: array_to_string(w[i:i+{width - 1}], ' '))) AS gram
+              FROM tokens WHERE len(w) >= {width})), range({width}) AS steps(step)
+  WHERE times > 1 GROUP BY doc_id"""
+
+
+OP2 = f"""
+WITH tokens AS (
+  SELECT doc_id, coalesce(text, '') AS text, {words('text')} AS w FROM documents
+), windows AS ({_covered(3)}
+), repeats AS ({_covered(8)}
+), long_repeats AS ({_covered(101)}
+), lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM tokens)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), counted AS (
+  SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(len(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(x.words, 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce(r.words, 0) AS BIGINT) AS covered_words,
+         y.words IS NOT NULL AS too_long
+  FROM tokens t LEFT JOIN windows x USING (doc_id) LEFT JOIN repeats r USING (doc_id)
+  LEFT JOIN long_repeats y USING (doc_id) LEFT JOIN lines l USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT too_long AND 100 * covered_words <= 30 * n_words AS kept, covered_words
+FROM judged
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1, "op2_quality_repeats": OP2, "op8_near_dedup": OP8}
 
 
 def oracle_sql() -> dict[str, str]:

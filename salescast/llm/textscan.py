@@ -49,13 +49,21 @@ def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(max(CHUNK_BYTES, 1 << (size - 1).bit_length() if size > CHUNK_BYTES else 1) + 1)
 
 
+class SpanHasher:
+    """64-bit hashes of byte spans ``[start, end)`` of ``data``, equal for equal spans."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = powers(len(data) + 1)
+        self.prefix = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.prefix[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        value = (self.prefix[end] - self.prefix[start]) * self.down[start]
+        return mix64(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span ``[start, end)`` of ``data``, equal for equal spans."""
-    up, down = powers(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=prefix[1:])
-    value = (prefix[end] - prefix[start]) * down[start]
-    return mix64(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return SpanHasher(data)(start, end)
 
 
 @dataclass
@@ -105,11 +113,11 @@ def chunks(texts: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Itera
         first = last
 
 
-def scan_words(chunk: Chunk) -> Words:
+def scan_words(chunk: Chunk, is_separator: np.ndarray = IS_SEPARATOR) -> Words:
     size = len(chunk.data)
     inside = np.empty(size + 2, dtype=bool)
     inside[0] = inside[-1] = False
-    np.logical_not(IS_SEPARATOR[chunk.data], out=inside[1:-1])
+    np.logical_not(is_separator[chunk.data], out=inside[1:-1])
     starts = inside[1:-1] & ~inside[:-2]
     ends = inside[1:-1] & ~inside[2:]
     # A document's edge also ends a word.
@@ -154,3 +162,37 @@ def reduce_rows(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(values) + 1, dtype=np.float64 if values.dtype.kind == "f" else np.int64)
     np.cumsum(values, out=sums[1:])
     return sums[bounds[1:]] - sums[bounds[:-1]]
+
+
+class Lookup:
+    """Values by 64-bit key: an open-addressed table that is probed for whole arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        size = 1 << self.bits
+        self.slots = np.full(size, -1, dtype=np.int32)
+        self.keys, self.values = keys, values
+        at, rest = self._home(keys), np.arange(len(keys), dtype=np.int32)
+        while len(rest):
+            open_now = self.slots[at] < 0
+            # Of several keys for one free slot the last written stays; the others go on.
+            self.slots[at[open_now]] = rest[open_now]
+            lost = self.slots[at] != rest
+            at, rest = (at[lost] + 1) & (size - 1), rest[lost]
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (mix64(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key in ``values``, or -1."""
+        found = np.full(len(keys), -1, dtype=np.int64)
+        if not len(self.keys):
+            return found
+        rest, at = np.arange(len(keys)), self._home(keys)
+        while len(rest):
+            place = self.slots[at]
+            same = (place >= 0) & (self.keys[place] == keys[rest])
+            found[rest[same]] = place[same]
+            go_on = (place >= 0) & ~same
+            rest, at = rest[go_on], (at[go_on] + 1) & (len(self.slots) - 1)
+        return found
