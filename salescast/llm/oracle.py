@@ -103,7 +103,7 @@ WITH tokens AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT too_long AND 100 * covered_words <= 30 * n_words AS kept, covered_words
+       NOT base_failed AND NOT too_long AND 100 * covered_words <= 40 * n_words AS kept, covered_words
 FROM judged
 """
 

@@ -31,7 +31,7 @@ MIN_WORDS = 50
 MAX_REPEAT_WORDS = 50
 WINDOW = 3
 MIN_REPEAT = 8
-MAX_COVERED = 30
+MAX_COVERED = 40
 MAX_LONGEST = 100
 
 SYMBOLS = b"#*$%&|<>"
