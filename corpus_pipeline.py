@@ -3,25 +3,49 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from salescast.llm.near_dedup import near_duplicate_groups
+from salescast.llm.decontaminate import clean_documents
+from salescast.llm.near_dedup import one_of_each_group
+from salescast.llm.pivotal_mix import mixed_documents
+from salescast.llm.quality_repeats import good_documents
+from salescast.llm.reshard import reshard
 from salescast.llm.scratch import stored
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the limits on repetition keep."""
+    return good_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id, one row of it."""
-    kept = near_duplicate_groups(docs).where("kept").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id", "left_semi")
-    return rows.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each near-duplicate group: the one with the smallest doc_id."""
+    return one_of_each_group(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the target weights of the sources take it."""
+    return mixed_documents(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their shard and slot."""
+    return reshard(docs)
 
 
 STAGES = [
+    ("quality", quality),
     ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mix", mix),
+    ("shard", shard),
 ]
 
+# Pivotal rounding draws by a seeded generator, which SQL can't express.
 ORACLE_SQL = None
 
 

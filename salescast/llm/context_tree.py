@@ -12,7 +12,7 @@ no say.
 All counts follow from those of the ``DEPTH + 1``-grams, which tasks sum before the
 shuffle, over all training texts. Grams that occur only in held-out texts join the table
 with count 0, so that each gram of the corpus is scored once. The trees are weighted in
-groups that share their two latest context bytes; a group holds distinct grams, not
+``TREE_GROUPS`` groups of two-byte contexts; a group holds distinct grams, not
 occurrences. The levels above have at most 257 contexts and pass the driver.
 
 A text's score is the sum of its grams' code lengths. The most frequent grams and words,
@@ -30,7 +30,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,13 +37,14 @@ from pyspark.sql import functions as F
 from salescast.llm.scratch import stored
 from salescast.llm.textscan import Chunk, Lookup, chunks, lower, scan_words, span_hashes
 
-DEPTH = 5
+DEPTH = 6
 END = 0xFF
 SPACE = 0x20
 END_TOKEN = np.uint64(0x1D8AF066E5F3A2B7)
-HOT_GRAMS = 2_000_000
+HOT_GRAMS = 4_000_000
 HOT_WORDS = 1_000_000
 HOLD = 3_000_000
+TREE_GROUPS = 256
 GRAM, WORD = 0, 1
 LOG_HALF = math.log(0.5)
 
@@ -197,16 +197,18 @@ def _bit_level(symbols: np.ndarray, counts: np.ndarray, bit: int):
     return np.cumsum(fresh) - 1, total - ones, ones, ids[starts], is_one
 
 
-def weigh_group(keys: np.ndarray, times: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weight the subtree of one two-byte context.
+def weigh_group(
+    keys: np.ndarray, times: np.ndarray, depth: int = DEPTH
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weight the subtrees of some two-byte contexts, given all grams that have them (distinct and sorted).
 
     Returns, for each gram, the probability of each of its eight bits as mixed from the
-    contexts of two bytes and more (NaN where none is known), and the weighted
-    probabilities of the two-byte context's 255 bit prefixes, indexed from 1 as a heap.
+    contexts of two bytes and more (NaN where none is known); and for each bit prefix of
+    the two-byte contexts a key (latest byte, then the prefix as a heap number) and its
+    weighted probability (as a logarithm).
     """
-    mixed = np.full((len(keys), 8), np.nan)
+    mixed = np.full((8, len(keys)), np.nan)
     below: list[tuple[np.ndarray, np.ndarray]] = []
-    top = np.zeros(256)
     for length in range(depth, 1, -1):
         symbols = ((keys >> np.uint64(8 * (depth - length + 1))) << np.uint64(8)) | (keys & np.uint64(0xFF))
         symbols, entry = np.unique(symbols, return_inverse=True)
@@ -227,28 +229,34 @@ def weigh_group(keys: np.ndarray, times: np.ndarray, depth: int = DEPTH) -> tupl
             total = (zeros + ones)[node]
             estimate = ((seen + 0.5) / (total + 1))[entry]
             known, weight = (total > 0)[entry], stay[node][entry]
-            old = mixed[:, bit]
+            old = mixed[bit]
             fresh = np.where(np.isnan(old), estimate, weight * estimate + (1 - weight) * old)
-            mixed[:, bit] = np.where(known, fresh, old)
+            mixed[bit] = np.where(known, fresh, old)
         below = above
+    node_keys, node_weights = [], []
     for bit, (ids, weighted) in enumerate(below):
-        top[(1 << bit) + (ids & np.uint64((1 << bit) - 1)).astype(np.int64)] = weighted
-    return mixed, top, keys
-
-
-def _weigh_rows(rows: pd.DataFrame, depth: int) -> pd.DataFrame:
-    keys = rows["key"].to_numpy().view(np.uint64)
-    mixed, top, _ = weigh_group(keys, rows["times"].to_numpy(), depth)
-    latest = int(keys[0] >> np.uint64(8 * depth)) & 0xFF
-    nodes = np.arange(1, 256)
-    return pd.DataFrame(
-        {
-            "is_node": np.concatenate([np.zeros(len(keys), dtype=bool), np.ones(255, dtype=bool)]),
-            "key": np.concatenate([keys.view(np.int64), (latest << 8) + nodes]),
-            "times": np.concatenate([rows["times"].to_numpy(), np.zeros(255, dtype=np.int64)]),
-            "bits": [*mixed, *top[1:, None]],
-        }
-    )
+        latest = (ids >> np.uint64(bit + 8)).astype(np.int64)
+        heap = (1 << bit) + (ids & np.uint64((1 << bit) - 1)).astype(np.int64)
+        node_keys.append((latest << 8) | heap)
+        node_weights.append(weighted)
+    return mixed, np.concatenate(node_keys), np.concatenate(node_weights)
+
+
+_BITS = [f"bit_{i}" for i in range(8)]
+_WEIGHTED = "is_node boolean, key long, times long, " + ", ".join(f"{name} double" for name in _BITS)
+
+
+def _weigh_table(rows: pa.Table, depth: int) -> pa.Table:
+    rows = rows.combine_chunks()
+    keys, times = rows["key"].to_numpy().view(np.uint64), rows["times"].to_numpy()
+    order = np.argsort(keys, kind="stable")
+    keys, times = keys[order], times[order]
+    mixed, node_keys, node_weights = weigh_group(keys, times, depth)
+    is_node = np.concatenate([np.zeros(len(keys), dtype=bool), np.ones(len(node_keys), dtype=bool)])
+    columns = [is_node, np.concatenate([keys.view(np.int64), node_keys]), np.concatenate([times, np.zeros(len(node_keys), np.int64)])]
+    columns += [np.concatenate([mixed[0], node_weights])]
+    columns += [np.concatenate([mixed[bit], np.zeros(len(node_keys))]) for bit in range(1, 8)]
+    return pa.table([pa.array(c) for c in columns], names=["is_node", "key", "times", *_BITS])
 
 
 class TopLevels:
@@ -296,27 +304,27 @@ def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """log10 probability of each gram's last byte after its context: key, times, value."""
     grams = counts.where(F.col("kind") == GRAM)
     context = F.shiftrightunsigned("key", 8 * (depth - 1))
-    weighted = grams.withColumn("context", context).groupBy("context").applyInPandas(
-        lambda rows: _weigh_rows(rows, depth), "is_node boolean, key long, times long, bits array<double>"
-    )
-    weighted = stored(weighted, "tree-weighted")
+    group = F.pmod(F.xxhash64(context), F.lit(TREE_GROUPS)).cast("int")
+    grouped = grams.select(group.alias("group"), "key", "times").groupBy("group")
+    weighted = stored(grouped.applyInArrow(lambda rows: _weigh_table(rows, depth), _WEIGHTED), "tree-weighted")
     # At most 256 * 255 and 256 * 256 rows: bounded by the alphabet.
-    nodes = weighted.where("is_node").groupBy("key").agg(F.sum(F.col("bits")[0]).alias("weighted")).toPandas()
+    nodes = weighted.where("is_node").groupBy("key").agg(F.sum("bit_0").alias("weighted")).toPandas()
     latest = F.shiftrightunsigned("key", 8 * depth).bitwiseAND(255)
     symbols = grams.groupBy(latest.alias("latest"), F.col("key").bitwiseAND(255).alias("symbol"))
     symbols = symbols.agg(F.sum("times").alias("times")).toPandas()
     deeper, by_symbol = np.zeros((256, 256)), np.zeros((256, 256))
-    deeper[nodes["key"] >> 8, nodes["key"] & 255] = nodes["weighted"]
+    node = nodes["key"].to_numpy()
+    deeper[node >> 8, node & 255] = nodes["weighted"]
     by_symbol[symbols["latest"], symbols["symbol"]] = symbols["times"]
     top = counts.sparkSession.sparkContext.broadcast(TopLevels(by_symbol, deeper))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, 8)
+            bits = np.stack([batch.column(2 + bit).to_numpy(zero_copy_only=False) for bit in range(8)], axis=1)
             value = top.value.log10_probability(batch.column(0).to_numpy().view(np.uint64), bits, depth)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value)], names=["key", "times", "value"])
 
-    return weighted.where("NOT is_node").select("key", "times", "bits").mapInArrow(
+    return weighted.where("NOT is_node").select("key", "times", *_BITS).mapInArrow(
         score, "key long, times long, value double"
     )
 

@@ -37,7 +37,6 @@ CONTAINMENT = (75, 100)
 SPARE = 3
 # Bytes of item text in one broadcast block.
 BLOCK_BYTES = 16_000_000
-_SEPARATORS = b"\t\n\x0b\x0c\r "
 
 
 def shingle_texts(text: str | bytes) -> set[bytes]:
@@ -132,38 +131,67 @@ def candidates(texts: pa.Array, items: SketchedItems, probe: _Probe) -> Iterator
         for row in np.unique(rows).tolist():
             mine = rows == row
             slots = np.unique(np.concatenate([np.arange(a, b) for a, b in zip(low[mine], high[mine])]))
-            hits = np.bincount(items.owner[slots], minlength=len(items.needed))
-            for item in np.flatnonzero((hits > 0) & (hits >= items.needed)).tolist():
+            owners, hits = np.unique(items.owner[slots], return_counts=True)
+            for item in owners[hits >= items.needed[owners]].tolist():
                 yield chunk.first_row + row, item
 
 
 RESULT_SCHEMA = "doc_id long, item_id long, n_shared long, n_item_shingles long"
 
 
+class _Search:
+    """One block of items, ready to be found in texts."""
+
+    def __init__(self, block: SketchedItems):
+        self.block, self.probe = block, _Probe(block.hashes)
+        self.shingles: dict[int, set[bytes]] = {}
+
+    def contained(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int]]:
+        """Row, item_id, shared shingles and the item's shingles, for each item a text contains."""
+        current, own = -1, set()
+        for row, item in candidates(texts, self.block, self.probe):
+            if row != current:
+                current, own = row, shingle_texts(texts[row].as_py())
+            if item not in self.shingles:
+                self.shingles[item] = shingle_texts(self.block.texts[item])
+            wanted = self.shingles[item]
+            shared = len(wanted & own)
+            if shared >= least_shared(len(wanted)):
+                yield row, self.block.ids[item], shared, len(wanted)
+
+
 def search_block(docs: DataFrame, items: SketchedItems) -> DataFrame:
     """Pairs of a document and an item of the block that it contains."""
     shared_items = docs.sparkSession.sparkContext.broadcast(items)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared_items.value
-        probe = _Probe(block.hashes)
-        shingles: dict[int, set[bytes]] = {}
+        search = _Search(shared_items.value)
         for batch in batches:
-            texts, found = batch.column(1), []
-            current, own = -1, set()
-            for row, item in candidates(texts, block, probe):
-                if row != current:
-                    current, own = row, shingle_texts(texts[row].as_py())
-                wanted = shingles.setdefault(item, shingle_texts(block.texts[item]))
-                shared = len(wanted & own)
-                if shared >= least_shared(len(wanted)):
-                    found.append((batch.column(0)[row].as_py(), block.ids[item], shared, len(wanted)))
-            columns = [pa.array(column, pa.int64()) for column in zip(*found)] if found else [pa.array([], pa.int64())] * 4
+            found = list(search.contained(batch.column(1)))
+            rows, ids, shared, wanted = (pa.array([f[c] for f in found], pa.int64()) for c in range(4))
+            columns = [batch.column(0).take(rows), ids, shared, wanted]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "n_shared", "n_item_shingles"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, RESULT_SCHEMA)
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that contain no benchmark item, without a shuffle."""
+    place, schema = docs.columns.index("text"), docs.schema
+    for items in item_blocks(benchmark, block_bytes):
+        shared_items = docs.sparkSession.sparkContext.broadcast(items)
+
+        def scan(batches: Iterator[pa.RecordBatch], shared_items=shared_items) -> Iterator[pa.RecordBatch]:
+            search = _Search(shared_items.value)
+            for batch in batches:
+                keep = np.ones(batch.num_rows, dtype=bool)
+                keep[[row for row, _, _, _ in search.contained(batch.column(place))]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(scan, schema)
+    return docs
+
+
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[SketchedItems]:
     """The items in blocks of about ``block_bytes`` of text, in turn.
 

@@ -12,7 +12,6 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-WHITE = re.compile(r"[ \t\n\r\f\v ]+")
 
 # Element names by their part in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,7 +56,7 @@ def clean(text: str) -> str:
     """References decoded, each stretch of white space one space, ends trimmed."""
     if "&" in text:
         text = html.unescape(text)
-    return WHITE.sub(" ", text).strip(" ")
+    return " ".join(text.split())
 
 
 def names_of(attributes: str) -> str:

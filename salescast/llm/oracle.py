@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from salescast.llm.license_scan import TEMPLATES
+
 _WORDS = r"string_split_regex(regexp_replace(regexp_replace({text}, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), '[\x20\x09-\x0D]+')"
 
 
@@ -107,7 +109,70 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1, "op2_quality_repeats": OP2, "op8_near_dedup": OP8}
+_TEMPLATE_ROWS = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES.items()))
+_TERMS = "regexp_extract_all({text}, '[a-z0-9]+(?:[.-][a-z0-9]+)*')"
+
+
+def _weighted(side: str, by: str) -> str:
+    """Terms of ``side`` with TF-IDF weights of unit length per ``by``."""
+    return f"""SELECT *, weight / sqrt(sum(weight * weight) OVER (PARTITION BY {by})) AS unit
+  FROM (SELECT s.*, s.tf * (ln((1 + (SELECT count(*) FROM lines)) / (1 + coalesce(df, 0))) + 1) AS weight
+        FROM {side} s LEFT JOIN known USING (term))"""
+
+
+OP6 = f"""
+WITH files AS (
+  SELECT doc_id, text, coalesce(length(text), 0) <= 500 AS speaks,
+         concat_ws('/', coalesce(source, '-'), doc_id // 100, doc_id // 10) AS directory,
+         concat_ws('/', coalesce(source, '-'), doc_id // 100, doc_id // 10, doc_id) AS path
+  FROM documents
+), lines AS (
+  SELECT doc_id, array_to_string({_TERMS.format(text=lowered("line"))}, ' ') AS notice
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM files)
+  WHERE regexp_matches(line, '(?i)licen[cs]e|copyright|public domain|creative commons')
+), notices AS (
+  SELECT notice, count(*) AS times FROM lines GROUP BY notice
+), words AS (
+  SELECT notice, times, term, count(*) AS tf
+  FROM (SELECT notice, times, unnest(string_split(notice, ' ')) AS term FROM notices) GROUP BY ALL
+), known AS (
+  SELECT term, sum(times) AS df FROM words GROUP BY term
+), templates(place, license, text) AS (VALUES {_TEMPLATE_ROWS}
+), template_words AS (
+  SELECT place, license, term, count(*) AS tf
+  FROM (SELECT place, license, unnest({_TERMS.format(text=lowered("text"))}) AS term FROM templates) GROUP BY ALL
+), l AS ({_weighted("words", "notice")}
+), t AS ({_weighted("template_words", "place")}
+), cosines AS (
+  SELECT notice, place, license, round(sum(l.unit * t.unit), 6) AS cosine
+  FROM l JOIN t USING (term) GROUP BY notice, place, license
+), own AS (
+  SELECT doc_id, arg_max(license, (cosine, -place)) AS own_license, max(cosine) AS own_cosine
+  FROM lines JOIN cosines USING (notice) WHERE cosine >= 0.7 GROUP BY doc_id
+), found AS (
+  SELECT * FROM files LEFT JOIN own USING (doc_id)
+), granted AS (
+  SELECT directory, arg_min(own_license, (-own_cosine, path)) AS granted
+  FROM found WHERE speaks AND own_license IS NOT NULL GROUP BY directory
+), above AS (
+  SELECT directory, unnest([directory, regexp_replace(directory, '/[^/]*$', ''),
+                            regexp_replace(directory, '/[^/]*/[^/]*$', '')]) AS name
+  FROM (SELECT DISTINCT directory FROM files)
+), inherited AS (
+  SELECT a.directory, arg_max(g.granted, length(a.name)) AS granted, arg_max(a.name, length(a.name)) AS origin
+  FROM above a JOIN granted g ON a.name = g.directory GROUP BY a.directory
+)
+SELECT doc_id, path, own_license, own_cosine, coalesce(own_license, granted) AS license,
+       CASE WHEN own_license IS NULL THEN origin END AS license_directory
+FROM found LEFT JOIN inherited USING (directory)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": OP1,
+    "op2_quality_repeats": OP2,
+    "op6_license_scan": OP6,
+    "op8_near_dedup": OP8,
+}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -269,3 +269,16 @@ def quality_rules(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, *_measure(chunk)], names=_NAMES)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, RESULT_SCHEMA)
+
+
+def good_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, in one pass without a shuffle."""
+    place = docs.columns.index("text")
+    verdict = _NAMES.index("kept") - 1
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch.column(place)):
+                yield batch.slice(chunk.first_row, chunk.rows).filter(_measure(chunk)[verdict])
+
+    return docs.mapInArrow(scan, docs.schema)
