@@ -32,6 +32,7 @@ NEW_SHARDS = 40
 BLOCKS = 256
 ROW_BYTES = 16
 LEVEL_MOVES = 20_000
+EVEN = 0.0005
 _MANIFEST = "old_shard int, block int, shard int, offset long, bytes long"
 
 
@@ -137,15 +138,22 @@ def fill_flow(old: np.ndarray, size: np.ndarray, flow: np.ndarray, capacity: np.
 
 
 def level(shard: np.ndarray, size: np.ndarray, capacity: np.ndarray, moves: int = LEVEL_MOVES) -> None:
-    """Move single blocks from the fullest shard to others, while it brings sizes nearer the capacities."""
+    """Move single blocks from full shards to the emptiest, while it brings the sizes nearer each other.
+
+    A shard that is full of one block larger than any room is passed over. Differences
+    of less than ``EVEN`` of a shard are left.
+    """
     load = np.bincount(shard, weights=size, minlength=len(capacity)).astype(np.int64)
     for _ in range(moves):
         over = load - capacity
-        source, target = int(over.argmax()), int(over.argmin())
-        gap = over[source] - over[target]
-        mine = np.flatnonzero((shard == source) & (size > 0) & (size < gap))
-        if not len(mine):
-            return
+        target = int(over.argmin())
+        for source in np.argsort(-over, kind="stable").tolist():
+            gap = over[source] - over[target]
+            if gap <= EVEN * capacity[target]:
+                return
+            mine = np.flatnonzero((shard == source) & (size > 0) & (size < gap))
+            if len(mine):
+                break
         block = mine[np.abs(size[mine] * 2 - gap).argmin()]
         shard[block] = target
         load[source] -= size[block]
