@@ -30,7 +30,7 @@ from salescast.llm.scratch import stored
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-GROUP_ROWS = 20_000
+GROUP_ROWS = 2_000
 FAN_IN = 64
 SEED = 20_240_613
 ALMOST = 1e-9
@@ -171,15 +171,17 @@ def mix_sources(
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it.
 
-    Documents without words carry nothing to mix and are taken once.
+    Documents without words carry nothing to mix and are taken once. The texts are
+    shuffled once, to meet their copies by doc_id; rows that share a doc_id take theirs
+    by size. A row without doc_id goes by a hash of its text.
     """
-    row = Window.partitionBy("doc_id").orderBy("_size", "_text")
-    chosen = mix_sources(docs).select("doc_id", F.col("size").alias("_size"), "copies")
-    chosen = chosen.withColumn(
-        "_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("_size", "copies"))
-    ).select(F.col("doc_id").alias("_id"), "_row", F.when(F.col("_size") > 0, F.col("copies")).otherwise(1).alias("_copies"))
-    rows = docs.withColumn("_size", word_count()).withColumn("_text", F.xxhash64("text"))
-    rows = rows.withColumn("_row", F.row_number().over(row)).withColumn("_id", F.col("doc_id").cast("long"))
-    taken = rows.join(chosen, rows["_id"].eqNullSafe(chosen["_id"]) & (rows["_row"] == chosen["_row"]))
-    repeated = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-    return taken.where("_copies > 0").select(*[rows[c] for c in docs.columns], repeated.alias("_copy")).drop("_copy")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    chosen = mix_sources(docs.select(key.alias("doc_id"), "text", "source"))
+    taken = F.when(F.col("size") > 0, F.col("copies")).otherwise(1)
+    chosen = chosen.select(F.col("doc_id").alias("_key"), F.struct("size", taken.cast("int").alias("copies")).alias("c"))
+    chosen = chosen.groupBy("_key").agg(F.sort_array(F.collect_list("c")).alias("_chosen"))
+    rows = docs.withColumns({"_key": key, "_size": word_count()}).join(chosen, "_key")
+    place = F.row_number().over(Window.partitionBy("_key").orderBy("_size", F.xxhash64("text", "source")))
+    rows = rows.withColumn("_copies", F.element_at("_chosen", place)["copies"])
+    copy = F.explode(F.sequence(F.lit(1), F.col("_copies")))
+    return rows.where("_copies > 0").select(*docs.columns, copy.alias("_copy")).drop("_copy")
