@@ -8,15 +8,19 @@
 3. In each band bucket every class is paired with the smallest one there, which is
    linear in the bucket. The XOR population count of two odd sketches drops pairs far
    below the similarity; the rest are confirmed on their full sets.
-4. What one leader could not decide is compared within its bucket, in blocks of
-   bounded size, by odd sketch, and only between classes that are not yet connected.
+4. What leaders could not decide is compared within its bucket, in blocks of bounded
+   size, by odd sketches, and only between classes that are not yet connected. For
+   these classes a finer odd sketch is made, of ten times the samples, which tells
+   0.75 from 0.69. First the most similar pairs that would connect a block are
+   confirmed, which is linear in the block; then all pairs that are still open.
 
 A pair at similarity 0.75 meets in at least one of the 40 buckets with probability
-1 - 2e-5, and more surely above; the sketch bound lies five standard deviations below
-0.75. Every link is exact.
+1 - 2e-5, and more surely above; the bounds on the sketches lie five and four standard
+deviations below 0.75. Every link is exact.
 
 Nulls, empty texts and texts without words have no shingle and link with nothing.
-Rows that repeat a doc_id are one document. Other columns are ignored.
+Rows that repeat a doc_id are one document; rows without doc_id are kept, in no group.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,39 +44,55 @@ SKETCH_BITS = 512
 SKETCH_WORDS = SKETCH_BITS // 64
 SIMILARITY = (75, 100)
 SIGMAS = 5.0
+FINE_SAMPLES = 2048
+FINE_BITS = 4096
+FINE_SIGMAS = 4.0
 BLOCK_ROWS = 2048
 # A semi-join's list of identifiers is broadcast up to this many (8 bytes each).
 BROADCAST_IDS = 1_000_000
 PIECE = 1024
 
-_SEEDS = mix64(np.arange(1, SAMPLES + 1, dtype=np.uint64))
-_XOR = (_SEEDS >> np.uint64(32)).astype(np.uint32)[:, None]
-_ODD = ((_SEEDS & np.uint64(0xFFFFFFFF)) | np.uint64(1)).astype(np.uint32)[:, None]
+
+def _functions(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Masks and odd factors of ``count`` hash functions on 32-bit values."""
+    seeds = mix64(np.arange(1, count + 1, dtype=np.uint64))
+    masks = (seeds >> np.uint64(32)).astype(np.uint32)[:, None]
+    return masks, ((seeds & np.uint64(0xFFFFFFFF)) | np.uint64(1)).astype(np.uint32)[:, None]
+
+
+_COARSE, _FINE = _functions(SAMPLES), _functions(FINE_SAMPLES)
 _BAND_PLACES = mix64(np.arange(1001, 1001 + SAMPLES, dtype=np.uint64)) | np.uint64(1)
 SKETCH = [f"sketch_{i}" for i in range(SKETCH_WORDS)]
 
 
-def sketch_bound(similarity: float = SIMILARITY[0] / SIMILARITY[1], sigmas: float = SIGMAS) -> int:
+def sketch_bound(
+    samples: int = SAMPLES,
+    bits: int = SKETCH_BITS,
+    sigmas: float = SIGMAS,
+    similarity: float = SIMILARITY[0] / SIMILARITY[1],
+) -> int:
     """Most differing bits that a pair at ``similarity`` shows, ``sigmas`` deviations included.
 
     Each differing sample flips two bits. The deviations come from the sample of
     differing positions and from bits that meet.
     """
-    differing = SAMPLES * (1 - similarity)
-    left = math.exp(-4 * differing / SKETCH_BITS)
-    expected = SKETCH_BITS / 2 * (1 - left)
-    from_samples = 2 * left * math.sqrt(SAMPLES * similarity * (1 - similarity))
-    from_bits = math.sqrt(SKETCH_BITS / 4 * (1 - left * left))
+    differing = samples * (1 - similarity)
+    left = math.exp(-4 * differing / bits)
+    expected = bits / 2 * (1 - left)
+    from_samples = 2 * left * math.sqrt(samples * similarity * (1 - similarity))
+    from_bits = math.sqrt(bits / 4 * (1 - left * left))
     return math.ceil(expected + sigmas * math.hypot(from_samples, from_bits))
 
 
-def minhash(shingles: np.ndarray) -> np.ndarray:
-    """The ``SAMPLES`` MinHash values of a non-empty set of 64-bit shingle hashes."""
+def minhash(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray] = _COARSE) -> np.ndarray:
+    """The MinHash values of a non-empty set of 64-bit shingle hashes."""
+    masks, factors = functions
     low = shingles.astype(np.uint32)
-    least = np.full(SAMPLES, 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(low), PIECE):
-        values = low[None, at : at + PIECE] ^ _XOR
-        values *= _ODD
+    least = np.full(len(masks), 0xFFFFFFFF, dtype=np.uint32)
+    piece = max(1, PIECE * SAMPLES // len(masks))
+    for at in range(0, len(low), piece):
+        values = low[None, at : at + piece] ^ masks
+        values *= factors
         np.minimum(least, values.min(axis=1), out=least)
     return least
 
@@ -83,13 +103,13 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return mix64(spread.reshape(len(samples), BANDS, ROWS).sum(axis=2, dtype=np.uint64))
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """Parity bitmaps of the samples: ``SKETCH_WORDS`` 64-bit words per document."""
-    rows = len(samples)
-    bits = mix64(samples.astype(np.uint64) * np.uint64(SAMPLES) + np.arange(SAMPLES, dtype=np.uint64))
-    bits = (bits % np.uint64(SKETCH_BITS)).astype(np.int64) + SKETCH_BITS * np.arange(rows)[:, None]
-    parity = (np.bincount(bits.ravel(), minlength=rows * SKETCH_BITS) & 1).astype(np.uint8)
-    return np.packbits(parity.reshape(rows, SKETCH_BITS), axis=1).view(np.uint64)
+def odd_sketches(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """Parity bitmaps of the samples: ``bits // 64`` words per document."""
+    rows, count = samples.shape
+    place = mix64(samples.astype(np.uint64) * np.uint64(count) + np.arange(count, dtype=np.uint64))
+    place = (place % np.uint64(bits)).astype(np.int64) + bits * np.arange(rows)[:, None]
+    parity = (np.bincount(place.ravel(), minlength=rows * bits) & 1).astype(np.uint8)
+    return np.packbits(parity.reshape(rows, bits), axis=1).view(np.uint64)
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -170,12 +190,17 @@ def sketched_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.where(similar_size("l.n_shingles", "r.n_shingles") & near_sketches("l", "r")).select("a", "b")
 
 
+def class_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """class_id and text of the documents in ``ids`` (class_id)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("class_id"), "text")
+    texts = texts.join(_listed(ids), "class_id", "left_semi")
+    return texts.where(F.col("text").isNotNull()).dropDuplicates(["class_id"])
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full shingle sets are similar, with both set sizes and their intersection."""
+    """The pairs (a, b) whose full shingle sets are similar."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
-    listed = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("class_id"), "text").join(listed, "class_id", "left_semi")
-    texts = stored(texts.where(F.col("text").isNotNull()).dropDuplicates(["class_id"]), "near-texts")
+    texts = stored(class_texts(docs, ids), "near-texts")
     first = texts.select(F.col("class_id").alias("a"), F.col("text").alias("text_a"))
     second = texts.select(F.col("class_id").alias("b"), F.col("text").alias("text_b"))
     part, most = SIMILARITY
@@ -194,14 +219,85 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
-def _bucket_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different components that sizes and sketches allow.
+def fine_sketches(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """class_id and fine odd sketch (bytes) of the classes in ``ids``."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, shingles in enumerate(shingle_sets(batch.column(1))):
+                sketch = odd_sketches(minhash(shingles, _FINE)[None, :], FINE_BITS).tobytes()
+                columns = [batch.column(0).slice(row, 1), pa.array([sketch], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["class_id", "fine"])
+
+    return class_texts(docs, ids).mapInArrow(scan, "class_id long, fine binary")
+
+
+class _Block:
+    """The rows of some cells as arrays, and the pairs of a cell that may be links."""
+
+    def __init__(self, rows: pa.StructArray):
+        get = {f.name: rows.field(f.name) for f in rows.type}
+        self.ids, self.component, self.sizes, self.block = (
+            get[name].to_numpy() for name in ("class_id", "component", "n_shingles", "block")
+        )
+        self.coarse = np.stack([get[name].to_numpy() for name in SKETCH], axis=1)
+        self.bands = get["bands"].flatten().to_numpy().reshape(-1, BANDS)
+        fine = b"".join(get["fine"].to_pylist())
+        self.fine = np.frombuffer(fine, dtype=np.uint64).reshape(len(rows), -1)
+        self.bounds = sketch_bound(), sketch_bound(FINE_SAMPLES, FINE_BITS, FINE_SIGMAS)
+
+    def pairs(self, low: int, high: int, first: int, second: int, band: int) -> tuple[np.ndarray, ...]:
+        """Row numbers of both ends, and differing bits, of pairs between two blocks in a cell's rows.
+
+        A pair that meets in an earlier band is left to that band.
+        """
+        part, most = SIMILARITY
+        found: list[tuple[np.ndarray, ...]] = []
+        span = np.arange(low, high)
+        others = span[self.block[span] == second]
+        for x in span[self.block[span] == first].tolist():
+            at = others[others > x] if first == second else others
+            at = at[self.component[at] != self.component[x]]
+            size = self.sizes[at]
+            at = at[np.minimum(size, self.sizes[x]) * most >= np.maximum(size, self.sizes[x]) * part]
+            at = at[np.bitwise_count(self.coarse[at] ^ self.coarse[x]).sum(axis=1) <= self.bounds[0]]
+            at = at[~(self.bands[at, :band] == self.bands[x, :band]).any(axis=1)]
+            if len(at):
+                differ = np.bitwise_count(self.fine[at] ^ self.fine[x]).sum(axis=1, dtype=np.int64)
+                keep = differ <= self.bounds[1]
+                found.append((np.full(keep.sum(), x), at[keep], differ[keep]))
+        if not found:
+            none = np.zeros(0, dtype=np.int64)
+            return none, none, none
+        return tuple(np.concatenate(column) for column in zip(*found))
+
+    def forest(self, left: np.ndarray, right: np.ndarray, differ: np.ndarray) -> np.ndarray:
+        """Numbers of the most similar pairs that connect as many components as all pairs do."""
+        root: dict[int, int] = {}
+
+        def find(node: int) -> int:
+            while root.setdefault(node, node) != node:
+                root[node] = root[root[node]]
+                node = root[node]
+            return node
+
+        kept = []
+        for i in np.argsort(differ, kind="stable").tolist():
+            a, b = find(int(self.component[left[i]])), find(int(self.component[right[i]]))
+            if a != b:
+                root[a] = b
+                kept.append(i)
+        return np.array(kept, dtype=np.int64)
+
+
+def _bucket_pairs(members: DataFrame, spanning: bool) -> DataFrame:
+    """Pairs of one bucket in different components that sizes and sketches allow: all, or a spanning forest.
 
     A bucket is cut into blocks of about ``BLOCK_ROWS``; each pair of blocks is one
     row here, so neither a task nor a row holds a whole bucket.
     """
     blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-    row = F.struct("class_id", "component", "n_shingles", "block", *SKETCH)
+    row = F.struct("class_id", "component", "n_shingles", "block", "bands", "fine", *SKETCH)
     cells = F.transform(
         F.sequence(F.lit(0), blocks - 1),
         lambda other: F.struct(
@@ -210,42 +306,26 @@ def _bucket_pairs(members: DataFrame) -> DataFrame:
     )
     placed = members.withColumn("block", F.pmod(F.xxhash64("class_id"), blocks).cast("int"))
     grouped = (
-        placed.select("key", F.explode(cells).alias("cell"), row.alias("row"))
-        .groupBy("key", "cell")
+        placed.select("key", "band", F.explode(cells).alias("cell"), row.alias("row"))
+        .groupBy("key", "band", "cell")
         .agg(F.collect_list("row").alias("rows"))
-        .select("cell", "rows")
+        .select("cell.first", "cell.second", "band", "rows")
     )
-    bound = sketch_bound()
-    part, most = SIMILARITY
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("rows")
-            flat = lists.flatten()
-            get = {f.name: flat.field(f.name).to_numpy() for f in flat.type}
-            sketch = np.stack([get[name] for name in SKETCH], axis=1)
+            lists = batch.column(3)
+            block = _Block(lists.flatten())
             ends = np.cumsum(np.concatenate([[0], lists.value_lengths().to_numpy()]))
-            found_a, found_b = [], []
-            for i, cell in enumerate(batch.column("cell").to_pylist()):
-                span = slice(ends[i], ends[i + 1])
-                ids, component, sizes = get["class_id"][span], get["component"][span], get["n_shingles"][span]
-                block, bits = get["block"][span], sketch[span]
-                for x in range(len(ids)):
-                    if block[x] != cell["first"]:
-                        continue
-                    other = (component != component[x]) & (block == cell["second"])
-                    if cell["first"] == cell["second"]:
-                        other[: x + 1] = False
-                    other &= (np.minimum(sizes, sizes[x]) * most) >= (np.maximum(sizes, sizes[x]) * part)
-                    at = np.flatnonzero(other)
-                    if len(at):
-                        differ = np.bitwise_count(bits[at] ^ bits[x]).sum(axis=1)
-                        at = at[differ <= bound]
-                        found_a.append(np.minimum(ids[at], ids[x]))
-                        found_b.append(np.maximum(ids[at], ids[x]))
-            a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
-            b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            for i in range(batch.num_rows):
+                first, second, band = (batch.column(c)[i].as_py() for c in range(3))
+                left, right, differ = block.pairs(ends[i], ends[i + 1], first, second, band)
+                if spanning:
+                    kept = block.forest(left, right, differ)
+                    left, right = left[kept], right[kept]
+                a, b = block.ids[left], block.ids[right]
+                columns = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
     return grouped.mapInArrow(compare, "a long, b long").distinct()
 
@@ -256,10 +336,10 @@ def class_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     ``nodes`` has one row per class: class_id, n_shingles, bands and sketch.
     """
     sketches = nodes.select("class_id", "n_shingles", *SKETCH)
-    members = nodes.select("class_id", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("class_id").alias("leader"), F.count("*").alias("size"))
+    members = nodes.select("class_id", F.posexplode("bands").alias("band", "key"))
+    buckets = members.groupBy("key", "band").agg(F.min("class_id").alias("leader"), F.count("*").alias("size"))
     buckets = stored(buckets.where("size > 1"), "near-buckets")
-    shared = stored(members.join(buckets, "key"), "near-members")
+    shared = stored(members.join(buckets, ["key", "band"]), "near-members")
     stars = shared.where("class_id > leader").select(F.col("leader").alias("a"), F.col("class_id").alias("b"))
     stars = stored(sketched_pairs(stars.distinct(), sketches), "near-stars")
 
@@ -272,13 +352,22 @@ def class_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     labels = connected_components(links)
 
     # Buckets of two are settled by their only pair.
-    open_rows = with_component(shared.where("size > 2"), labels, "class_id", "component")
-    open_keys = open_rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    open_keys = open_keys.where("least < most").select("key")
-    open_rows = open_rows.join(open_keys, "key", "left_semi").join(sketches, "class_id")
-    rest = _bucket_pairs(open_rows).join(stars, ["a", "b"], "left_anti")
-    links = links.union(stored(confirmed(stored(rest, "near-rest"), docs), "near-links"))
-    return connected_components(links)
+    shared = shared.where("size > 2")
+    ids = open_members(shared, labels).select("class_id").distinct()
+    fine = stored(fine_sketches(docs, stored(ids, "near-open")), "near-fine").join(nodes, "class_id")
+    for spanning in (True, False):
+        rows = open_members(shared, labels).join(fine, "class_id")
+        pairs = _bucket_pairs(rows, spanning).join(stars, ["a", "b"], "left_anti")
+        links = links.union(stored(confirmed(stored(pairs, "near-rest"), docs), "near-links"))
+        labels = connected_components(links)
+    return labels
+
+
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component, with the component of each."""
+    rows = with_component(members, labels, "class_id", "component")
+    keys = rows.groupBy("key", "band").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    return rows.join(keys.where("least < most").select("key", "band"), ["key", "band"], "left_semi")
 
 
 def with_component(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
@@ -297,16 +386,39 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     signed = stored(signatures(docs), "near-signatures")
     key = ["set_a", "set_b", "n_shingles"]
-    classes = signed.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id"))
-    classes = stored(classes, "near-classes")
+    named = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = stored(named.groupBy(*key).agg(F.min("doc_id").alias("class_id")), "near-classes")
     heads = classes.select("class_id").distinct()
-    nodes = signed.where("n_shingles > 0").join(heads, signed["doc_id"] == heads["class_id"], "left_semi")
+    nodes = named.join(heads, named["doc_id"] == heads["class_id"], "left_semi")
     nodes = nodes.withColumnRenamed("doc_id", "class_id").dropDuplicates(["class_id"])
     labels = class_links(docs, nodes.drop("set_a", "set_b"))
     members = signed.select("doc_id", *key).join(with_component(classes, labels, "class_id", "component"), key, "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return members.select(
         "doc_id",
         "n_shingles",
-        F.coalesce("component", "doc_id").alias("component_id"),
-        (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept"),
+        component.alias("component_id"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"),
     )
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay: one for each group of near-duplicates, and those without doc_id.
+
+    It is the row with the group's smallest doc_id. Only rows of repeated identifiers
+    are shuffled, as long as the list of identifiers to drop may be broadcast.
+    """
+    groups = stored(near_duplicate_groups(docs).where("doc_id IS NOT NULL"), "near-groups")
+    gone = groups.where("NOT kept").select("doc_id").distinct()
+    repeated = groups.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = repeated.join(gone, "doc_id", "left_anti")
+    key = F.col("doc_id").cast("long")
+    again, away = (ids.withColumnRenamed("doc_id", "_listed") for ids in (repeated, gone.union(repeated)))
+    first = docs.join(_listed(again), key == F.col("_listed"), "left_semi").dropDuplicates(["doc_id"])
+    rest = docs.join(_listed(away), key == F.col("_listed"), "left_anti")
+    return rest.union(first)
+
+
+def _listed(ids: DataFrame) -> DataFrame:
+    """Broadcast a list of identifiers if it is small enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
