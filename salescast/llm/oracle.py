@@ -122,10 +122,10 @@ def _weighted(side: str, by: str) -> str:
 
 OP6 = f"""
 WITH files AS (
-  SELECT doc_id, text, coalesce(length(text), 0) <= 500 AS speaks,
-         concat_ws('/', coalesce(source, '-'), doc_id // 100, doc_id // 10) AS directory,
-         concat_ws('/', coalesce(source, '-'), doc_id // 100, doc_id // 10, doc_id) AS path
-  FROM documents
+  SELECT doc_id, text, speaks, concat_ws('/', coalesce(source, '-'), doc_id // 100, tens) AS directory,
+         concat_ws('/', coalesce(source, '-'), doc_id // 100, tens, doc_id) AS path
+  FROM (SELECT *, coalesce(length(text), 0) <= 500 AS speaks,
+               CASE WHEN coalesce(length(text), 0) > 500 THEN doc_id // 10 END AS tens FROM documents)
 ), lines AS (
   SELECT doc_id, array_to_string({_TERMS.format(text=lowered("line"))}, ' ') AS notice
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM files)
@@ -155,8 +155,8 @@ WITH files AS (
   SELECT directory, arg_min(own_license, (-own_cosine, path)) AS granted
   FROM found WHERE speaks AND own_license IS NOT NULL GROUP BY directory
 ), above AS (
-  SELECT directory, unnest([directory, regexp_replace(directory, '/[^/]*$', ''),
-                            regexp_replace(directory, '/[^/]*/[^/]*$', '')]) AS name
+  SELECT directory, unnest(list_distinct([directory, regexp_replace(directory, '/[^/]*$', ''),
+                                          regexp_replace(directory, '/[^/]*/[^/]*$', '')])) AS name
   FROM (SELECT DISTINCT directory FROM files)
 ), inherited AS (
   SELECT a.directory, arg_max(g.granted, length(a.name)) AS granted, arg_max(a.name, length(a.name)) AS origin
