@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import argparse
+import json
+from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
 
+from salescast.plans.configurations import CONFIGURATIONS, Configuration
 from salescast.plans.jobs import run_forecast, run_training
-from salescast.schema import HISTORY_START
-from salescast.sources.registry import model_info
-from salescast.sources.tables import read_requests, read_sales
+from salescast.schema import AMOUNT, DATE, HISTORY_START, KEYS, TIME_ZONE
+from salescast.sources.registry import model_info, run_settings
+from salescast.sources.tables import REQUEST_KEYS, read_requests, read_sales
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
@@ -24,11 +28,17 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     for command in (train, forecast):
         command.add_argument("--sales", required=True, help="path of the transaction table")
         command.add_argument("--format", default="parquet")
-        command.add_argument("--start", default=HISTORY_START)
-    train.add_argument("--scale", type=float, default=1.0, help="share of the configured number of trees")
+    train.add_argument("--keys", nargs="+", default=list(KEYS), help="columns that name a series")
+    train.add_argument("--date", default=DATE)
+    train.add_argument("--amount", default=AMOUNT)
+    train.add_argument("--start", default=HISTORY_START)
+    train.add_argument("--time-zone", default=TIME_ZONE, help="zone in which a moment becomes a day")
+    train.add_argument("--holidays", help="path of a table with holiday_date, instead of the built-in rule")
+    train.add_argument("--configurations", help="JSON file with a list of configurations, instead of the built-in six")
     train.add_argument("--parallelism", type=int, default=4, help="fits running at a time")
-    train.add_argument("--cutoff", help="last train date of every series, instead of its first 80 %%")
-    forecast.add_argument("--requests", required=True, help="JSON lines with operational_unit_id and item_id")
+    train.add_argument("--cutoff", help="last train date of every series, instead of 80 %% of the days")
+    forecast.add_argument("--requests", required=True, help="JSON lines with the request keys")
+    forecast.add_argument("--request-keys", nargs="+", default=list(REQUEST_KEYS), help="in the order of the run's keys")
     forecast.add_argument("--out", required=True)
     forecast.add_argument("--as-of", choices=["last", "labelled"], default="last")
     return parser.parse_args(argv)
@@ -43,20 +53,28 @@ def main(argv: list[str] | None = None) -> None:
         return
     sales = read_sales(spark, options.sales, source=options.format)
     if options.command == "train":
+        configurations = CONFIGURATIONS
+        if options.configurations:
+            configurations = [Configuration(**c) for c in json.loads(Path(options.configurations).read_text())]
         run_training(
             sales,
             options.root,
             options.run_id,
-            start=options.start,
-            scale=options.scale,
-            parallelism=options.parallelism,
-            cutoff=options.cutoff,
+            options.keys,
+            options.date,
+            options.amount,
+            options.start,
+            options.time_zone,
+            spark.read.parquet(options.holidays) if options.holidays else None,
+            configurations,
+            options.parallelism,
+            options.cutoff,
         )
     else:
-        requests = read_requests(spark, options.requests)
-        run_forecast(
-            sales, requests, options.root, options.run_id, options.out, start=options.start, as_of=options.as_of
-        )
+        types = run_settings(spark, options.root, options.run_id).key_types
+        schema = T.StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in zip(options.request_keys, types)))
+        requests = read_requests(spark, options.requests, schema=schema)
+        run_forecast(sales, requests, options.root, options.run_id, options.out, options.request_keys, options.as_of)
 
 
 if __name__ == "__main__":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The season uses this approximation of pi and this year length.
@@ -14,11 +14,6 @@ YEAR_LENGTH = 365.25
 FIXED_HOLIDAYS = [(1, 1), (5, 1), (5, 8), (7, 14), (8, 15), (11, 1), (11, 11), (12, 25)]
 DAYS_AFTER_EASTER = [1, 39, 50]
 
-# Years covered when the caller names none. At eleven dates a year the
-# dimension stays near two thousand rows, so it may always be broadcast.
-DEFAULT_YEARS = (1950, 2100)
-MAX_YEARS = 1000
-
 
 def day_of_week(date: Column) -> Column:
     """Monday 0 to Sunday 6."""
@@ -73,20 +68,21 @@ def holidays_of_years(years: DataFrame, year: str = "year") -> DataFrame:
     return years.select(F.explode(F.array_distinct(F.array(*fixed, *movable))).alias("holiday_date"))
 
 
-def holiday_calendar(spark: SparkSession, years: tuple[int, int] = DEFAULT_YEARS) -> DataFrame:
-    """Holidays of the years ``first`` to ``last``, both included."""
-    first, last = years
-    if not 0 <= last - first < MAX_YEARS:
-        raise ValueError(f"expected 1 to {MAX_YEARS} years, got {first} to {last}")
-    numbers = spark.range(first, last + 1, numPartitions=1).select(F.col("id").cast("int").alias("year"))
-    return holidays_of_years(numbers)
+def is_holiday(date: Column) -> Column:
+    """1 on a holiday of the rule, in any year, else 0."""
+    month_day = F.month(date) * 100 + F.dayofmonth(date)
+    fixed = month_day.isin([month * 100 + day for month, day in FIXED_HOLIDAYS])
+    movable = F.datediff(date, easter_sunday(F.year(date))).isin(DAYS_AFTER_EASTER)
+    return F.when(fixed | movable, 1).otherwise(0)
 
 
-def with_holiday_flag(df: DataFrame, date: str, years: tuple[int, int] = DEFAULT_YEARS) -> DataFrame:
-    """Add ``is_holiday``: 1 where ``date`` is in the holiday dimension, else 0.
+def with_holiday_flag(df: DataFrame, date: str, holidays: DataFrame | None = None) -> DataFrame:
+    """Add ``is_holiday``: by the rule, or 1 where ``date`` is in the caller's table (column ``holiday_date``).
 
-    The dimension has unique dates and a size bounded by ``MAX_YEARS``.
+    The planner broadcasts the caller's table if it is small.
     """
-    holidays = F.broadcast(holiday_calendar(df.sparkSession, years))
-    flagged = df.join(holidays, df[date] == holidays["holiday_date"], "left")
-    return flagged.withColumn("is_holiday", F.col("holiday_date").isNotNull().cast("int")).drop("holiday_date")
+    if holidays is None:
+        return df.withColumn("is_holiday", is_holiday(F.col(date)))
+    dates = holidays.select(F.col("holiday_date").cast("date").alias("_holiday")).distinct()
+    flagged = df.join(dates, df[date] == F.col("_holiday"), "left")
+    return flagged.withColumn("is_holiday", F.col("_holiday").isNotNull().cast("int")).drop("_holiday")

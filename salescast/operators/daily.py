@@ -6,9 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from salescast.schema import AMOUNT, DATE, HISTORY_START, KEYS, QUANTITY
+from salescast.schema import AMOUNT, DATE, HISTORY_START, KEYS, QUANTITY, TIME_ZONE
 from salescast.session import shuffle_partitions
 
 
@@ -18,9 +19,16 @@ def sales_scan(
     date: str = DATE,
     amount: str = AMOUNT,
     start: str = HISTORY_START,
+    time_zone: str = TIME_ZONE,
 ) -> DataFrame:
-    """The columns a forecast needs, from ``start`` on; dates become DATE."""
-    rows = sales.select(*keys, F.col(date).cast("date").alias(DATE), F.col(amount).alias(AMOUNT))
+    """The columns a forecast needs, from ``start`` on; dates become DATE.
+
+    A moment becomes the day it has in ``time_zone``, whatever the session's zone.
+    """
+    day = F.col(date)
+    if isinstance(sales.schema[date].dataType, T.TimestampType):
+        day = F.convert_timezone(None, F.lit(time_zone), day.cast("timestamp_ntz"))
+    rows = sales.select(*keys, day.cast("date").alias(DATE), F.col(amount).alias(AMOUNT))
     for key in keys:
         rows = rows.where(F.col(key).isNotNull())
     return rows.where(F.col(DATE) >= F.lit(start).cast("date"))
@@ -63,37 +71,22 @@ def spread_by_series(daily: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return daily.repartition(shuffle_partitions(daily.sparkSession), *keys)
 
 
-def dense_daily(
-    daily: DataFrame, keys: Sequence[str] = KEYS, last_days: int | None = None, spread: bool = True
-) -> DataFrame:
+def dense_daily(daily: DataFrame, keys: Sequence[str] = KEYS, spread: bool = True) -> DataFrame:
     """One row per series and day from first to last sale, zero where nothing sold.
 
     Each sold day is stretched to the day before the next one, so the facts are
-    read once and no spine has to be joined. With ``last_days`` only that many
-    days before the last sale are produced, and the series' ``first_date`` and
-    ``last_date`` are kept. ``spread`` is off where the days are partitioned by
-    series already.
+    read once and no spine has to be joined. ``spread`` is off where the days are
+    partitioned by series already.
     """
     by_day = Window.partitionBy(*keys).orderBy(DATE)
     following = F.lead(DATE).over(by_day)
     until = F.coalesce(F.date_sub(following, 1), F.col(DATE))
     sold = (spread_by_series(daily, keys) if spread else daily).withColumn("_until", until)
-    first_day, kept = F.col(DATE), []
-    if last_days is not None:
-        series = Window.partitionBy(*keys)
-        bounds = {"first_date": F.min(DATE).over(series), "last_date": F.max(DATE).over(series)}
-        sold = sold.withColumns(bounds)
-        cutoff = F.date_sub("last_date", last_days)
-        sold = sold.where(F.col("_until") >= cutoff)
-        first_day, kept = F.greatest(F.col(DATE), cutoff), list(bounds)
     days = sold.select(
         *keys,
-        *kept,
         QUANTITY,
         F.col(DATE).alias("_sold"),
-        F.explode(F.sequence(first_day, F.col("_until"), F.expr("INTERVAL 1 DAY"))).alias(DATE),
+        F.explode(F.sequence(F.col(DATE), F.col("_until"), F.expr("INTERVAL 1 DAY"))).alias(DATE),
     )
     quantity = F.when(F.col(DATE) == F.col("_sold"), F.coalesce(F.col(QUANTITY), F.lit(0.0))).otherwise(0.0)
-    return days.select(*keys, DATE, *kept, quantity.alias(QUANTITY))
-
-
+    return days.select(*keys, DATE, quantity.alias(QUANTITY))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from salescast.functions.calendar import DEFAULT_YEARS, calendar_columns, with_holiday_flag
+from salescast.functions.calendar import calendar_columns, with_holiday_flag
 from salescast.functions.numeric import ratio
 from salescast.schema import (
     ALL_TARGETS,
@@ -48,13 +48,12 @@ def add_targets(dense: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return ahead.withColumn(DIRECT_TARGET, reduce(add, [F.col(t) for t in TARGETS]))
 
 
-def add_rolling(dense: DataFrame, keys: Sequence[str] = KEYS, drop_short: bool = True) -> DataFrame:
+def add_rolling(dense: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Rolling means, sums, offset sums and the 28-day standard deviation.
 
     Rows with fewer than 28 days before them have no usable values and are
     dropped, so only the frames reaching back further can be cut off by the
-    start of a series; those cover the days there are. Without ``drop_short``
-    such rows stay, and the caller must not use their columns.
+    start of a series; those cover the days there are.
 
     Every frame is a run of whole weeks ending one or eight days back. Spark
     evaluates a sliding frame from scratch for each row, so frames of 7 to 56
@@ -77,8 +76,7 @@ def add_rolling(dense: DataFrame, keys: Sequence[str] = KEYS, drop_short: bool =
         *[F.lag("_sum_0", WEEK * k).over(by_day).alias(f"_sum_{k}") for k in range(1, WEEKS_BACK)],
         *[F.lag("_var_0", WEEK * k).over(by_day).alias(f"_var_{k}") for k in range(1, MONTH // WEEK)],
     )
-    if drop_short:
-        weekly = weekly.where(F.col("_day") > MONTH)
+    weekly = weekly.where(F.col("_day") > MONTH)
 
     def total(first: int, last: int) -> Column:
         """Sum over the weeks ``first`` to ``last`` back."""
@@ -129,8 +127,8 @@ def add_ratios(df: DataFrame) -> DataFrame:
     )
 
 
-def add_calendar(df: DataFrame, years: tuple[int, int] = DEFAULT_YEARS) -> DataFrame:
-    return with_holiday_flag(df.withColumns(calendar_columns(F.col(DATE))), DATE, years)
+def add_calendar(df: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
+    return with_holiday_flag(df.withColumns(calendar_columns(F.col(DATE))), DATE, holidays)
 
 
 def add_baseline_feature(df: DataFrame, features: Sequence[str] = (BASELINE_FEATURE,)) -> DataFrame:
@@ -140,23 +138,12 @@ def add_baseline_feature(df: DataFrame, features: Sequence[str] = (BASELINE_FEAT
     return df.withColumn(BASELINE_FEATURE, F.col("quantity_mean_28d") * HORIZON_DAYS)
 
 
-def feature_rows(
-    dense: DataFrame,
-    keys: Sequence[str] = KEYS,
-    years: tuple[int, int] = DEFAULT_YEARS,
-    scoring: bool = False,
-) -> DataFrame:
-    """All feature and target columns of the days with 28 days before and seven after.
-
-    For ``scoring`` there are no targets and every day stays.
-    """
-    shifted = add_lags(dense, keys)
-    if scoring:
-        usable = add_rolling(shifted, keys, drop_short=False)
-    else:
-        usable = add_rolling(add_targets(shifted, keys), keys).where(F.col(TARGETS[-1]).isNotNull())
+def feature_rows(dense: DataFrame, keys: Sequence[str] = KEYS, holidays: DataFrame | None = None) -> DataFrame:
+    """All feature and target columns of the days with 28 days before and seven after."""
+    shifted = add_targets(add_lags(dense, keys), keys)
+    usable = add_rolling(shifted, keys).where(F.col(TARGETS[-1]).isNotNull())
     kept = [name for name in dense.columns if name not in FEATURES]
-    return add_calendar(add_ratios(usable), years).select(*kept, *FEATURES, *([] if scoring else ALL_TARGETS))
+    return add_calendar(add_ratios(usable), holidays).select(*kept, *FEATURES, *ALL_TARGETS)
 
 
 def feature_matrix(panel: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -30,33 +31,61 @@ def temporal_split(panel: DataFrame, keys: Sequence[str] = KEYS, cutoff: str | N
 
     With ``cutoff`` the train part of every series ends on that date instead,
     so that a model of all series sees no series' days after another's test
-    days began.
+    days began; the gap is the seven days after it.
     """
     train_rows = F.expr("int(4 * series_rows div 5)")
+    is_train = F.col("position") < F.col("train_rows")
+    is_gap = F.col("position") < F.col("train_rows") + GAP_DAYS
     if cutoff is not None:
-        before = F.col(DATE) <= F.lit(cutoff).cast("date")
-        train_rows = F.count_if(before).over(Window.partitionBy(*keys)).cast("int")
-    label = (
-        F.when(F.col("position") < F.col("train_rows"), "train")
-        .when(F.col("position") < F.col("train_rows") + GAP_DAYS, "gap")
-        .otherwise("test")
-    )
+        end = F.lit(cutoff).cast("date")
+        is_train, is_gap = F.col(DATE) <= end, F.col(DATE) <= F.date_add(end, GAP_DAYS)
+        train_rows = F.count_if(is_train).over(Window.partitionBy(*keys)).cast("int")
+    label = F.when(is_train, "train").when(is_gap, "gap").otherwise("test")
     return with_position(panel, keys).withColumn("train_rows", train_rows).withColumn("split", label)
 
 
-def validation_split(split: DataFrame) -> DataFrame:
+def common_cutoff(panel: DataFrame) -> str | None:
+    """Last train date for all series: where 80 % of the days from the first to the last end.
+
+    For a single series it is the last of the first 80 % of its rows. None for an empty panel.
+    """
+    first, last = panel.agg(F.min(DATE), F.max(DATE)).first()
+    if first is None:
+        return None
+    days = (last - first).days + 1
+    return (first + datetime.timedelta(days=4 * days // 5 - 1)).isoformat()
+
+
+def common_validation_start(panel: DataFrame, cutoff: str) -> str:
+    """First validation date for all series: the last 20 % of the days up to ``cutoff``, at least 60."""
+    first = panel.agg(F.min(DATE)).first()[0]
+    end = datetime.date.fromisoformat(cutoff)
+    days = (end - first).days + 1
+    return (end - datetime.timedelta(days=max(MIN_VALIDATION_ROWS, days // 5) - 1)).isoformat()
+
+
+def validation_split(split: DataFrame, start: str | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
     """Divide each train part: ``fit``, ``gap``, then ``validation`` (its last 20 %, at least 60 rows).
 
     A train part too short for a fit row, a gap and 60 validation rows gets no
-    validation: its ``tuning_part`` is NULL and ``tuning_status`` says why.
+    validation: its ``tuning_part`` is NULL and ``tuning_status`` says why. With
+    ``start`` the validation of every series begins on that date instead, so that
+    no fit row of one is later than a validation row of another less the gap; a
+    series without a fit row then has no tuning part.
     """
-    validation_rows = F.greatest(F.lit(MIN_VALIDATION_ROWS), F.expr("int(train_rows div 5)"))
-    start = F.col("train_rows") - validation_rows
-    enough = F.col("train_rows") >= MIN_TRAIN_ROWS
+    if start is None:
+        validation_rows = F.greatest(F.lit(MIN_VALIDATION_ROWS), F.expr("int(train_rows div 5)"))
+        first = F.col("train_rows") - validation_rows
+        enough = F.col("train_rows") >= MIN_TRAIN_ROWS
+        is_fit, is_gap = F.col("position") < first - GAP_DAYS, F.col("position") < first
+    else:
+        day = F.lit(start).cast("date")
+        is_fit, is_gap = F.col(DATE) < F.date_sub(day, GAP_DAYS), F.col(DATE) < day
+        enough = F.max(is_fit & (F.col("split") == "train")).over(Window.partitionBy(*keys))
     part = (
         F.when(~enough | (F.col("split") != "train"), F.lit(None).cast("string"))
-        .when(F.col("position") < start - GAP_DAYS, "fit")
-        .when(F.col("position") < start, "gap")
+        .when(is_fit, "fit")
+        .when(is_gap, "gap")
         .otherwise("validation")
     )
     return split.withColumns(
@@ -86,7 +115,8 @@ def head_and_tail(df: DataFrame, rows: int = 5, keys: Sequence[str] = KEYS) -> D
     return placed.where(F.size(ends) > 0).select(*df.columns, F.explode(ends).alias("preview"))
 
 
-def first_test_rows(split: DataFrame, rows: int = 10) -> DataFrame:
+def first_test_rows(split: DataFrame, rows: int = 10, keys: Sequence[str] = KEYS) -> DataFrame:
     """The first ``rows`` test rows of each series."""
-    start = F.col("train_rows") + GAP_DAYS
-    return split.where((F.col("split") == "test") & (F.col("position") < start + rows))
+    test = split.where(F.col("split") == "test")
+    first = F.min("position").over(Window.partitionBy(*keys))
+    return test.withColumn("_first", first).where(F.col("position") < F.col("_first") + rows).drop("_first")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from salescast.functions.metrics import compare, forecast_errors, improvement_percent
 from salescast.operators.baselines import (
@@ -15,7 +16,7 @@ from salescast.operators.baselines import (
     level_forecast,
     multi_horizon_sum,
 )
-from salescast.operators.selection import best_configuration
+from salescast.operators.selection import is_tied
 from salescast.operators.split import first_test_rows, temporal_split, validation_split
 from salescast.schema import ALL_TARGETS, DATE, DIRECT_TARGET, KEYS, TARGETS
 
@@ -38,28 +39,29 @@ def baseline_tuning(split: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
     return forecast_errors(validation, candidates, by)
 
 
-def chosen_baselines(split: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """One row per series: the number of its best level baseline, by target."""
-    best = best_configuration(baseline_tuning(split, keys), [*keys, "target"])
-    by_target = F.map_from_entries(F.collect_list(F.struct("target", "config_order")))
-    return best.groupBy(*keys).agg(by_target.alias("choice"))
-
-
 def with_chosen_baselines(panel: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Test rows forecast with each series' own best level baseline per target.
 
-    Both sides of the join are partitioned by series already, so choosing and
-    forecasting add no shuffle to those that built the panel. A series too
-    short for validation keeps the 28-day mean.
+    One pass: the validation errors of every candidate are averages over the
+    series' partition, which the panel's rows are in already, so choosing adds
+    neither a shuffle nor a join. A series too short for validation keeps the
+    28-day mean.
     """
-    split = temporal_split(panel, keys)
-    test = split.where(F.col("split") == "test").join(chosen_baselines(split, keys), list(keys), "left")
+    rows = validation_split(temporal_split(panel, keys), keys=keys)
+    series = Window.partitionBy(*keys)
+    judged = F.col("tuning_part") == "validation"
     default = F.lit(list(LEVELS).index("mean_28d"))
-    forecasts = {}
+    errors, forecasts = {}, {}
     for target in ALL_TARGETS:
-        levels = F.array(*[level_forecast(level, target) for level in LEVELS.values()])
-        forecasts[forecast_name(target)] = F.get(levels, F.coalesce(F.col("choice")[target], default))
-    return test.withColumns(forecasts).drop("choice")
+        levels = [level_forecast(level, target) for level in LEVELS.values()]
+        error = [F.avg(F.when(judged, F.abs(F.col(target) - level))).over(series) for level in levels]
+        errors[f"_error_{target}"] = F.array(*error)
+        found = F.col(f"_error_{target}")
+        least = F.array_min(found)
+        tied = F.filter(F.sequence(F.lit(0), F.lit(len(levels) - 1)), lambda i: is_tied(F.get(found, i), least))  # noqa: B023
+        forecasts[forecast_name(target)] = F.get(F.array(*levels), F.coalesce(F.get(tied, F.lit(0)), default))
+    test = rows.withColumns(errors).where(F.col("split") == "test")
+    return test.withColumns(forecasts).drop(*errors, "tuning_part", "tuning_status")
 
 
 def with_totals(test: DataFrame) -> DataFrame:
@@ -97,7 +99,7 @@ def model_comparison(test: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def prediction_examples(test: DataFrame, rows: int = 10, keys: Sequence[str] = KEYS) -> DataFrame:
     """Actual seven-day total of each series' first test rows, next to the forecasts of it."""
-    return with_totals(first_test_rows(test, rows)).select(
+    return with_totals(first_test_rows(test, rows, keys)).select(
         *keys,
         DATE,
         F.col(DIRECT_TARGET).alias("actual"),

@@ -6,16 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from salescast.functions.calendar import DEFAULT_YEARS
 from salescast.operators.daily import sales_scan
 from salescast.plans.configurations import CONFIGURATIONS, Configuration
 from salescast.plans.evaluation import horizon_metrics, model_comparison, prediction_examples
 from salescast.plans.panel import training_panel
 from salescast.plans.scoring import predict_batch
 from salescast.plans.training import TrainedRun, train
-from salescast.schema import HISTORY_START, KEYS
+from salescast.schema import AMOUNT, DATE, HISTORY_START, KEYS, TIME_ZONE
 from salescast.sources import registry
-from salescast.sources.tables import write_forecasts
+from salescast.sources.tables import REQUEST_KEYS, write_forecasts
 
 
 def run_training(
@@ -23,58 +22,94 @@ def run_training(
     root: str,
     run_id: str,
     keys: Sequence[str] = KEYS,
+    date: str = DATE,
+    amount: str = AMOUNT,
     start: str = HISTORY_START,
-    years: tuple[int, int] = DEFAULT_YEARS,
+    time_zone: str = TIME_ZONE,
+    holidays: DataFrame | None = None,
     configurations: Sequence[Configuration] = CONFIGURATIONS,
-    scale: float = 1.0,
     parallelism: int = 4,
     cutoff: str | None = None,
 ) -> TrainedRun:
     """Train on all series, evaluate on their test parts, and store everything under ``root``.
 
-    The test forecasts are written once; all reports read them from there.
+    How the panel was made is stored with the run, and forecasts are made in the same
+    way. The test forecasts are written once; all reports read them from there. A run
+    that has no train row is stored with its status and without models.
     """
-    panel = training_panel(sales, keys, start=start, years=years)
+    spark = sales.sparkSession
+    registry.refuse_existing(spark, root, run_id)
+    panel = training_panel(sales, keys, date, amount, start, holidays, time_zone)
     run = train(
         panel,
         configurations=configurations,
-        scale=scale,
         keys=keys,
         rows_path=f"{root}/training_rows/{run_id}",
         parallelism=parallelism,
         cutoff=cutoff,
     )
-    spark = sales.sparkSession
-    forecasts_path = f"{root}/test_forecasts/{run_id}"
-    run.test_forecasts(spark).write.mode("overwrite").parquet(forecasts_path)
-    test = spark.read.parquet(forecasts_path)
-    reports = {
-        "metrics": model_comparison(test),
-        "horizons": horizon_metrics(test),
-        "examples": prediction_examples(test, keys=keys),
-    }
-    registry.save_run(run, reports, root, run_id, configurations=configurations)
+    reports = {}
+    if run.models:
+        forecasts_path = f"{root}/test_forecasts/{run_id}"
+        run.test_forecasts(spark).write.mode("overwrite").parquet(forecasts_path)
+        test = spark.read.parquet(forecasts_path)
+        reports = {
+            "metrics": model_comparison(test),
+            "horizons": horizon_metrics(test),
+            "examples": prediction_examples(test, keys=keys),
+        }
+    kinds = dict(sales.select(*keys).dtypes)
+    settings = registry.Settings(
+        keys=tuple(keys),
+        key_types=tuple(kinds[key] for key in keys),
+        date=date,
+        amount=amount,
+        time_zone=time_zone,
+        start=start,
+        own_holidays=holidays is not None,
+        cutoff=run.cutoff,
+        validation_start=run.validation_start,
+        status=run.status,
+    )
+    registry.save_run(run, reports, root, run_id, settings, configurations=configurations, holidays=holidays)
     return run
 
 
-def run_forecast(
+def forecasts_of_run(
     sales: DataFrame,
     requests: DataFrame,
     root: str,
     run_id: str,
-    path: str,
-    keys: Sequence[str] = KEYS,
-    start: str = HISTORY_START,
+    request_keys: Sequence[str] = REQUEST_KEYS,
     as_of: str = "last",
-) -> None:
-    """Answer every request with a stored run's models and write the answers as JSON."""
+) -> DataFrame:
+    """A stored run's forecasts for every request, from rows made as the run's settings say."""
     spark = sales.sparkSession
-    answers = predict_batch(
-        sales_scan(sales, keys, start=start),
+    settings = registry.run_settings(spark, root, run_id)
+    models = registry.load_models(spark, root, run_id)
+    if not models:
+        raise ValueError(f"run {run_id} has no models: {settings.status}")
+    scan = sales_scan(sales, settings.keys, settings.date, settings.amount, settings.start, settings.time_zone)
+    return predict_batch(
+        scan,
         requests,
-        registry.load_models(spark, root, run_id),
+        models,
         registry.model_features(spark, root, run_id),
-        keys,
-        as_of=as_of,
+        settings.keys,
+        request_keys,
+        as_of,
+        registry.run_holidays(spark, root, run_id),
     )
-    write_forecasts(answers, path)
+
+
+def run_forecast(
+    sales: DataFrame,
+    requests: DataFrame,
+    root: str,
+    run_id: str,
+    path: str,
+    request_keys: Sequence[str] = REQUEST_KEYS,
+    as_of: str = "last",
+) -> None:
+    """Answer every request with a stored run's models and write the answers as JSON."""
+    write_forecasts(forecasts_of_run(sales, requests, root, run_id, request_keys, as_of), path)

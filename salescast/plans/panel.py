@@ -6,10 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
-from salescast.functions.calendar import DEFAULT_YEARS
 from salescast.operators.daily import daily_sales, dense_daily, only_series, sales_scan
 from salescast.operators.features import feature_rows
-from salescast.schema import AMOUNT, DATE, HISTORY_START, KEYS
+from salescast.schema import AMOUNT, DATE, HISTORY_START, KEYS, TIME_ZONE
 
 
 def training_panel(
@@ -18,11 +17,12 @@ def training_panel(
     date: str = DATE,
     amount: str = AMOUNT,
     start: str = HISTORY_START,
-    years: tuple[int, int] = DEFAULT_YEARS,
+    holidays: DataFrame | None = None,
+    time_zone: str = TIME_ZONE,
 ) -> DataFrame:
     """Features and targets of every usable day of every series in ``sales``."""
-    scan = sales_scan(sales, keys, date, amount, start)
-    return feature_rows(dense_daily(daily_sales(scan, keys), keys), keys, years)
+    scan = sales_scan(sales, keys, date, amount, start, time_zone)
+    return feature_rows(dense_daily(daily_sales(scan, keys), keys), keys, holidays)
 
 
 def series_panel(
@@ -31,11 +31,12 @@ def series_panel(
     date: str = DATE,
     amount: str = AMOUNT,
     start: str = HISTORY_START,
-    years: tuple[int, int] = DEFAULT_YEARS,
+    holidays: DataFrame | None = None,
+    time_zone: str = TIME_ZONE,
 ) -> DataFrame:
     """The panel of the one series named by its key values, in date order.
 
     The filter sits below everything else, so it reaches the scan.
     """
-    panel = training_panel(only_series(sales, values), list(values), date, amount, start, years)
+    panel = training_panel(only_series(sales, values), list(values), date, amount, start, holidays, time_zone)
     return panel.orderBy(DATE)

@@ -17,7 +17,7 @@ from salescast.functions.metrics import compare, forecast_errors
 from salescast.operators.baselines import forecast_name
 from salescast.operators.features import add_baseline_feature
 from salescast.operators.selection import best_configuration
-from salescast.operators.split import temporal_split, validation_split
+from salescast.operators.split import common_cutoff, common_validation_start, temporal_split, validation_split
 from salescast.plans.configurations import CONFIGURATIONS, Configuration, regressor
 from salescast.schema import (
     ALL_TARGETS,
@@ -41,8 +41,10 @@ def with_vector(rows: DataFrame, features: Sequence[str] = MODEL_FEATURES) -> Da
     """Add the feature vector, in the order of ``features``.
 
     Spark's trees have no branch for missing values: a missing ratio becomes 0
-    and its flag 1.
+    and its flag 1. Rows that carry their vector already keep it.
     """
+    if "features" in rows.columns:
+        return rows
     rows = add_baseline_feature(rows, features)
     slots = {f"_slot_{name}": F.coalesce(F.col(name).cast("double"), F.lit(0.0)) for name in features}
     flags = {f"_flag_{name}": F.col(name).isNull().cast("double") for name in RATIO_FEATURES if name in features}
@@ -52,16 +54,23 @@ def with_vector(rows: DataFrame, features: Sequence[str] = MODEL_FEATURES) -> Da
 
 
 def store_training_rows(
-    panel: DataFrame, path: str, keys: Sequence[str] = KEYS, cutoff: str | None = None
+    panel: DataFrame,
+    path: str,
+    keys: Sequence[str] = KEYS,
+    cutoff: str | None = None,
+    validation_start: str | None = None,
+    features: Sequence[str] = MODEL_FEATURES,
 ) -> None:
-    """Write the split panel once, one folder per part.
+    """Write the split panel once with its feature vectors, one folder per part.
 
     All fits read it from there: a lost executor re-reads its files instead of
-    recomputing the panel from the facts, and each fit scans only its parts.
+    recomputing the panel from the facts, and each fit scans only its parts, the
+    vector and one target.
     """
-    parts = validation_split(temporal_split(panel, keys, cutoff))
+    parts = validation_split(temporal_split(panel, keys, cutoff), validation_start, keys)
     stage = F.concat_ws("_", "split", F.when(F.col("split") == "train", F.coalesce("tuning_part", F.lit("short"))))
-    parts.withColumn("stage", stage).write.mode("overwrite").partitionBy("stage").parquet(path)
+    rows = with_vector(parts.withColumn("stage", stage), features)
+    rows.write.mode("overwrite").partitionBy("stage").parquet(path)
 
 
 def stage_rows(spark: SparkSession, path: str, stages: Sequence[str]) -> DataFrame:
@@ -74,13 +83,15 @@ TRAIN = ("train_fit", "train_gap", "train_validation", "train_short")
 TEST = ("test",)
 
 
-def training_vectors(rows: DataFrame, target: str) -> DataFrame:
+def training_vectors(rows: DataFrame, target: str, features: Sequence[str] = MODEL_FEATURES) -> DataFrame:
     """The feature vector and one target."""
-    return with_vector(rows).select("features", F.col(target).cast("double").alias(target))
+    return with_vector(rows, features).select("features", F.col(target).cast("double").alias(target))
 
 
-def fit(rows: DataFrame, target: str, configuration: Configuration, scale: float = 1.0) -> GBTRegressionModel:
-    return regressor(configuration, target, scale).fit(training_vectors(rows, target))
+def fit(
+    rows: DataFrame, target: str, configuration: Configuration, features: Sequence[str] = MODEL_FEATURES
+) -> GBTRegressionModel:
+    return regressor(configuration, target).fit(training_vectors(rows, target, features))
 
 
 def add_forecast(rows: DataFrame, model: GBTRegressionModel, target: str) -> DataFrame:
@@ -94,6 +105,9 @@ class TrainedRun:
     best: dict[str, str]
     tuning: DataFrame
     rows_path: str
+    status: str
+    cutoff: str | None
+    validation_start: str | None
 
     def test_forecasts(self, spark: SparkSession) -> DataFrame:
         return forecast_all(stage_rows(spark, self.rows_path, TEST), self.models)
@@ -114,20 +128,22 @@ def tune(
     rows_path: str,
     targets: Sequence[str] = ALL_TARGETS,
     configurations: Sequence[Configuration] = CONFIGURATIONS,
-    scale: float = 1.0,
     parallelism: int = 4,
 ) -> DataFrame:
-    """Validation errors of every configuration for every target, one row each."""
+    """Validation errors of every configuration for every target, one row each.
+
+    Without fit or validation rows no error is known, and ``rows`` is 0.
+    """
     fit_rows = stage_rows(spark, rows_path, FIT)
     validation = stage_rows(spark, rows_path, VALIDATION)
+    if fit_rows.isEmpty() or validation.isEmpty():
+        return untuned(spark, targets, configurations)
 
     def score(task: tuple[str, int, Configuration]) -> tuple:
         target, order, configuration = task
-        model = fit(fit_rows, target, configuration, scale)
+        model = fit(fit_rows, target, configuration)
         scored = add_forecast(with_vector(validation), model, target)
         error = forecast_errors(scored, [compare(target, forecast_name(target), target=target)]).first()
-        if error is None:
-            return target, order, configuration.name, 0, None, None, None
         return target, order, configuration.name, error["rows"], error["MAE"], error["RMSE"], error["R2"]
 
     tasks = [(t, order, c) for t in targets for order, c in enumerate(configurations)]
@@ -136,11 +152,16 @@ def tune(
     return spark.createDataFrame(results, TUNING_SCHEMA)
 
 
+def untuned(spark: SparkSession, targets: Sequence[str], configurations: Sequence[Configuration]) -> DataFrame:
+    """The tuning table of a run whose series can't be validated."""
+    rows = [(t, order, c.name, 0, None, None, None) for t in targets for order, c in enumerate(configurations)]
+    return spark.createDataFrame(rows, TUNING_SCHEMA)
+
+
 def train(
     panel: DataFrame,
     targets: Sequence[str] = ALL_TARGETS,
     configurations: Sequence[Configuration] = CONFIGURATIONS,
-    scale: float = 1.0,
     keys: Sequence[str] = KEYS,
     rows_path: str | None = None,
     parallelism: int = 4,
@@ -149,23 +170,36 @@ def train(
     """Tune every target, then fit its best configuration on the whole train part.
 
     The models are pooled: each learns from all series. Passing a panel of one
-    series gives that series its own models. ``cutoff`` ends all train parts on
-    one date.
+    series gives that series its own models. All train parts end on one date,
+    ``cutoff`` or else 80 % of the way through the panel's days, and all validation
+    parts begin on one date, so that no model learns from days later than those it
+    is judged on. A run whose series can't be validated takes the first
+    configuration (``status`` insufficient_history); one without train rows has no model.
     """
     spark = panel.sparkSession
     # Asked for in any case: without a checkpoint folder the fits' lineage would grow with every tree.
     folder = shared_dir(spark)
     rows_path = rows_path or f"{folder}/training-rows-{uuid4().hex}"
-    store_training_rows(panel, rows_path, keys, cutoff)
-    tuning = tune(spark, rows_path, targets, configurations, scale, parallelism)
+    last = common_cutoff(panel)
+    if last is None:  # no row at all
+        return TrainedRun({}, {}, untuned(spark, targets, configurations), rows_path, "insufficient_history", cutoff, None)
+    cutoff = cutoff or last
+    start = common_validation_start(panel, cutoff)
+    store_training_rows(panel, rows_path, keys, cutoff, start)
+    tuning = tune(spark, rows_path, targets, configurations, parallelism)
     # One row per target.
     best = {row["target"]: row["configuration"] for row in best_configuration(tuning).collect()}
+    status = "ok" if best else "insufficient_history"
     by_name = {c.name: c for c in configurations}
+    chosen = {target: by_name[best.get(target, configurations[0].name)] for target in targets}
     train_rows = stage_rows(spark, rows_path, TRAIN)
 
     def fit_final(target: str) -> GBTRegressionModel:
-        return fit(train_rows, target, by_name[best[target]], scale)
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        models = dict(zip(targets, pool.map(inheritable_thread_target(spark)(fit_final), targets)))
-    return TrainedRun(models, best, tuning, rows_path)
+        return fit(train_rows, target, chosen[target])
+
+    models = {}
+    if not train_rows.isEmpty():
+        with ThreadPoolExecutor(parallelism) as pool:
+            models = dict(zip(targets, pool.map(inheritable_thread_target(spark)(fit_final), targets)))
+    best = {target: chosen[target].name for target in models}
+    return TrainedRun(models, best, tuning, rows_path, status, cutoff, start)

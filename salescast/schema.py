@@ -8,6 +8,8 @@ AMOUNT = "itemQuantity"
 QUANTITY = "quantity"
 
 HISTORY_START = "2024-01-01"
+# Zone in which a moment becomes a day.
+TIME_ZONE = "UTC"
 GAP_DAYS = 7
 HORIZON_DAYS = 7
 

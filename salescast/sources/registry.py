@@ -2,25 +2,56 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import asdict
+from dataclasses import asdict, dataclass
 
 from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salescast.plans.configurations import CONFIGURATIONS, PARAMETERS, Configuration
 from salescast.plans.training import MODEL_FEATURES, TrainedRun, vector_names
-from salescast.schema import BASELINE_FEATURE, DIRECT_TARGET, GAP_DAYS
+from salescast.schema import (
+    AMOUNT,
+    BASELINE_FEATURE,
+    DATE,
+    DIRECT_TARGET,
+    GAP_DAYS,
+    HISTORY_START,
+    KEYS,
+    TIME_ZONE,
+)
 
-CHOICE_SCHEMA = "target string, target_order int, is_direct boolean, configuration string, " + ", ".join(
-    f"{name} {'int' if kind in ('int', int) else 'double'}"
-    for name, kind in ((n, Configuration.__annotations__[n]) for n in PARAMETERS)
+_KINDS = {"int": "int", "float": "double"}
+# What a configuration names, and what its fitted model holds.
+EFFECTIVE = ["trees", "step_size", "tree_depth", "bins", "nodes"]
+CHOICE_SCHEMA = (
+    "target string, target_order int, is_direct boolean, configuration string, "
+    + ", ".join(f"{name} {_KINDS[Configuration.__annotations__[name]]}" for name in PARAMETERS)
+    + ", trees int, step_size double, tree_depth int, bins int, nodes int"
 )
 
 
+@dataclass(frozen=True)
+class Settings:
+    """How a run's panel was made: scoring makes its rows in the same way."""
+
+    keys: tuple[str, ...] = tuple(KEYS)
+    key_types: tuple[str, ...] = ("bigint", "bigint")
+    date: str = DATE
+    amount: str = AMOUNT
+    time_zone: str = TIME_ZONE
+    start: str = HISTORY_START
+    own_holidays: bool = False
+    cutoff: str | None = None
+    validation_start: str | None = None
+    status: str = "ok"
+
+
 # Models read or written at a time.
 PARALLELISM = 8
 
@@ -33,19 +64,38 @@ def _table(root: str, name: str, run_id: str) -> str:
     return f"{root}/{name}/run_id={run_id}"
 
 
+def is_complete(spark: SparkSession, root: str, run_id: str) -> bool:
+    """Whether the run's ``info``, which is written last, is there."""
+    try:
+        return not spark.read.parquet(_table(root, "info", run_id)).isEmpty()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
+def refuse_existing(spark: SparkSession, root: str, run_id: str) -> None:
+    if is_complete(spark, root, run_id):
+        raise ValueError(f"run {run_id} is stored already")
+
+
 def save_run(
     run: TrainedRun,
     reports: Mapping[str, DataFrame],
     root: str,
     run_id: str,
+    settings: Settings,
     features: Sequence[str] = MODEL_FEATURES,
     configurations: Sequence[Configuration] = CONFIGURATIONS,
+    holidays: DataFrame | None = None,
 ) -> None:
-    """Write the models, what was chosen, and the reports about them.
+    """Write the models, what was chosen, how the panel was made, and the reports.
 
-    ``info`` is written last, so a run that has it is complete.
+    A complete run is never written over. ``info`` is written last, so a run that
+    has it is complete; what an unfinished one left is replaced.
     """
     spark = run.tuning.sparkSession
+    refuse_existing(spark, root, run_id)
 
     def save(target: str) -> None:
         run.models[target].write().overwrite().save(_model(root, target, run_id))
@@ -54,9 +104,11 @@ def save_run(
         list(pool.map(inheritable_thread_target(spark)(save), run.models))
     by_name = {c.name: asdict(c) for c in configurations}
     choices = []
-    for order, target in enumerate(run.models):
+    for order, (target, model) in enumerate(run.models.items()):
         chosen = by_name[run.best[target]]
-        choices.append((target, order, target == DIRECT_TARGET, chosen["name"], *[chosen[p] for p in PARAMETERS]))
+        held = model.getNumTrees, model.getStepSize(), model.getMaxDepth(), model.getMaxBins(), model.totalNumNodes
+        nominal = [chosen[name] for name in PARAMETERS]
+        choices.append((target, order, target == DIRECT_TARGET, chosen["name"], *nominal, *held))
     small = {
         "choices": spark.createDataFrame(choices, CHOICE_SCHEMA),
         "features": spark.createDataFrame(list(enumerate(features)), "feature_order int, feature string"),
@@ -64,8 +116,10 @@ def save_run(
     }
     if DIRECT_TARGET in run.models:
         small["importance"] = feature_importance(spark, run.models[DIRECT_TARGET], features)
-    info = (GAP_DAYS, DIRECT_TARGET, BASELINE_FEATURE)
-    info_schema = "gap_days int, direct_target string, direct_baseline_feature string"
+    if holidays is not None:
+        small["holidays"] = holidays.select("holiday_date")
+    info = (GAP_DAYS, DIRECT_TARGET, BASELINE_FEATURE, json.dumps(asdict(settings)))
+    info_schema = "gap_days int, direct_target string, direct_baseline_feature string, settings string"
     for name, table in {**small, **reports, "info": spark.createDataFrame([info], info_schema)}.items():
         table.write.mode("overwrite").parquet(_table(root, name, run_id))
 
@@ -74,12 +128,28 @@ def read_table(spark: SparkSession, root: str, name: str, run_id: str) -> DataFr
     return spark.read.parquet(_table(root, name, run_id)).withColumn("run_id", F.lit(run_id))
 
 
+def run_settings(spark: SparkSession, root: str, run_id: str) -> Settings:
+    if not is_complete(spark, root, run_id):
+        raise ValueError(f"run {run_id} is not complete")
+    stored = json.loads(read_table(spark, root, "info", run_id).first()["settings"])
+    return Settings(**{k: tuple(v) if isinstance(v, list) else v for k, v in stored.items()})
+
+
+def run_holidays(spark: SparkSession, root: str, run_id: str) -> DataFrame | None:
+    """The caller's holiday table the run was trained with, if it had one."""
+    if not run_settings(spark, root, run_id).own_holidays:
+        return None
+    return read_table(spark, root, "holidays", run_id).select("holiday_date")
+
+
 def model_features(spark: SparkSession, root: str, run_id: str) -> list[str]:
     """The run's feature list, in model order. It is as short as the model is wide."""
     return [row["feature"] for row in read_table(spark, root, "features", run_id).orderBy("feature_order").collect()]
 
 
 def load_models(spark: SparkSession, root: str, run_id: str) -> dict[str, GBTRegressionModel]:
+    """The models of a complete run, by target."""
+    run_settings(spark, root, run_id)
     choices = read_table(spark, root, "choices", run_id).orderBy("target_order").collect()
     targets = [row["target"] for row in choices]
 
@@ -93,7 +163,7 @@ def load_models(spark: SparkSession, root: str, run_id: str) -> dict[str, GBTReg
 def model_info(spark: SparkSession, root: str, run_id: str) -> DataFrame:
     """One row describing a run: targets, features, chosen configurations, metrics."""
     choices = read_table(spark, root, "choices", run_id)
-    chosen = F.struct("configuration", *PARAMETERS)
+    chosen = F.struct("configuration", *PARAMETERS, *EFFECTIVE)
     ordered = F.sort_array(F.collect_list(F.when(~F.col("is_direct"), F.struct("target_order", "target"))))
     configured = choices.groupBy("run_id").agg(
         F.transform(ordered, lambda entry: entry["target"]).alias("targets"),
@@ -116,11 +186,31 @@ def model_info(spark: SparkSession, root: str, run_id: str) -> DataFrame:
 def feature_importance(
     spark: SparkSession, model: GBTRegressionModel, features: Sequence[str] = MODEL_FEATURES
 ) -> DataFrame:
-    """Importance of each feature, highest first.
+    """Splits on each feature over all trees, most first, and the share of the squared error they removed.
 
-    It is the share of the squared error the feature's splits removed, not a
-    number of splits.
+    A split on a feature's missing-flag counts for the feature. The trees' nodes pass
+    the driver, as many as the model has.
     """
-    shares = [float(share) for share in model.featureImportances.toArray()]
-    rows = list(zip(vector_names(features), shares))
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+    slots = vector_names(features)
+    owner = [name.removeprefix("is_missing_") for name in slots]
+    splits, gain = dict.fromkeys(features, 0), dict.fromkeys(features, 0.0)
+    for name, share in zip(owner, model.featureImportances.toArray()):
+        gain[name] += float(share)
+    for slot in split_slots(model):
+        splits[owner[slot]] += 1
+    rows = [(name, splits[name], gain[name]) for name in features]
+    table = spark.createDataFrame(rows, "feature string, importance long, error_share double")
+    return table.orderBy(F.desc("importance"), "feature")
+
+
+def split_slots(model: GBTRegressionModel) -> list[int]:
+    """The vector slot of every inner node of every tree."""
+    found = []
+    for tree in model.trees:
+        nodes = [tree._call_java("rootNode")]
+        while nodes:
+            node = nodes.pop()
+            if node.getClass().getSimpleName() == "InternalNode":
+                found.append(node.split().featureIndex())
+                nodes += [node.leftChild(), node.rightChild()]
+    return found

@@ -31,13 +31,15 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = SAMPLE_SCHEM
 def read_requests(
     spark: SparkSession, path: str, source: str = "json", schema: T.StructType = REQUEST_SCHEMA
 ) -> DataFrame:
-    """Forecast requests; one with a missing identifier is refused."""
-    requests = spark.read.format(source).schema(schema).load(path)
-    return requests.na.drop()
+    """Forecast requests, all of them: one with a missing identifier is answered as such."""
+    return spark.read.format(source).schema(schema).load(path)
 
 
 def write_forecasts(forecasts: DataFrame, path: str, source: str = "json", partition: str | None = None) -> None:
+    """Write the answers; missing values are written as null."""
     writer = forecasts.write.format(source).mode("overwrite")
+    if source == "json":
+        writer = writer.option("ignoreNullFields", False)
     if partition:
         writer = writer.partitionBy(partition)
     writer.save(path)

@@ -6,9 +6,18 @@ joining a spine, every frame is spelled out, and choices are made by ranking.
 
 from __future__ import annotations
 
-from salescast.plans.configurations import CONFIGURATIONS, PARAMETERS, iterations, step_size, tree_depth
 from salescast.schema import ALL_TARGETS, DIRECT_TARGET, FEATURES, RATIO_FEATURES, TARGETS
-from salescast.verification.queries import CALENDAR, DIGITS, LAGS, MEANS, OFFSET_SUMS, ONE_SERIES, SCAN_START, SUMS
+from salescast.verification.queries import (
+    CALENDAR,
+    DIGITS,
+    LAGS,
+    MEANS,
+    OFFSET_SUMS,
+    ONE_SERIES,
+    SCAN_START,
+    SUMS,
+    VALIDATION_START,
+)
 
 UNIT = "operationalUnitIdentifier"
 ITEM = "itemIdentifier"
@@ -58,7 +67,9 @@ dense AS (
 
 # Easter by the rule of Meeus, Jones and Butcher; the Spark side uses Gauss's.
 HOLIDAYS = """
-years AS (SELECT UNNEST(range(1950, 2101)) AS y),
+years AS (
+    SELECT UNNEST(range((SELECT MIN(year(transactionDate)) FROM daily), (SELECT MAX(year(transactionDate)) + 1 FROM daily))) AS y
+),
 moons AS (
     SELECT y, y % 19 AS a, (19 * (y % 19) + y // 100 - y // 400 - (y // 100 - (y // 100 + 8) // 25 + 1) // 3 + 15) % 30
         AS h FROM years
@@ -171,8 +182,9 @@ tuning AS (
 
 BEST = f"""{TUNING},
 best AS (
-    SELECT * FROM tuning
-    QUALIFY ROW_NUMBER() OVER (PARTITION BY {ID}, target ORDER BY round(MAE, 9), config_order) = 1
+    SELECT * FROM (SELECT *, MIN(MAE) OVER (PARTITION BY {ID}, target) AS least FROM tuning)
+    WHERE MAE <= least + abs(least) * 1e-9
+    QUALIFY ROW_NUMBER() OVER (PARTITION BY {ID}, target ORDER BY config_order) = 1
 )"""
 
 _PICK = ", ".join(f"MAX(CASE WHEN target = '{t}' THEN config_order END) AS pick_{t}" for t in ALL_TARGETS)
@@ -242,29 +254,68 @@ _FLAT = (
     f"{r(_TOTAL)} AS total_quantity_7d, {r('quantity_mean_28d * 7')} AS direct_quantity_7d"
 )
 _ANSWERS = f"""{_latest(0)},
-requests AS (SELECT DISTINCT {UNIT} + 1 AS operational_unit_id, {ITEM} AS item_id FROM sales),
+requests AS (
+    SELECT {UNIT} + 1 AS operational_unit_id, {ITEM} AS item_id FROM sales
+    UNION SELECT {UNIT} + 1, NULL FROM sales
+),
 known AS (SELECT {ID}, 1 AS known FROM bounds),
 answers AS (
     SELECT requests.*, scored.*, CASE WHEN scored.transactionDate IS NOT NULL THEN 'ok'
-           WHEN known = 1 THEN 'insufficient_history' ELSE 'no_history' END AS status
+           WHEN known = 1 THEN 'insufficient_history'
+           WHEN item_id IS NULL THEN 'invalid_request' ELSE 'no_history' END AS status
     FROM requests
     LEFT JOIN known ON operational_unit_id = known.{UNIT} AND item_id = known.{ITEM}
     LEFT JOIN scored ON operational_unit_id = scored.{UNIT} AND item_id = scored.{ITEM}
 )"""
 _JSON_FORECASTS = ", ".join(f"'{t}': {r('quantity_mean_28d')}" for t in TARGETS)
 
-_INTEGERS = ("n_estimators", "num_leaves", "max_depth", "min_child_samples")
-
+# The tuning grid, written out apart from the code it checks.
+GRID = """(VALUES
+    (0, 'A_small', 500, 0.05, 15, -1, 20, 0.9, 0.9, 0.0, 0.0, 255, 4),
+    (1, 'B_standard', 700, 0.03, 31, -1, 20, 0.9, 0.9, 0.0, 0.0, 255, 5),
+    (2, 'C_regularized', 700, 0.03, 31, -1, 40, 0.9, 0.9, 0.1, 1.0, 255, 5),
+    (3, 'D_complex', 700, 0.03, 63, -1, 30, 0.9, 0.9, 0.1, 1.0, 255, 6),
+    (4, 'E_deep', 1000, 0.02, 63, 8, 30, 0.9, 0.9, 0.1, 1.0, 255, 6),
+    (5, 'F_high_regularization', 700, 0.03, 15, -1, 40, 0.9, 0.9, 0.5, 2.0, 255, 4)
+) AS grid(config_order, configuration, n_estimators, learning_rate, num_leaves, max_depth, min_child_samples,
+          subsample, colsample_bytree, reg_alpha, reg_lambda, max_bins, tree_depth)"""
+_DOUBLES = ("learning_rate", "subsample", "colsample_bytree", "reg_alpha", "reg_lambda")
+_GRID_COLUMNS = ", ".join(
+    ["config_order", "configuration", "n_estimators", "learning_rate::DOUBLE AS learning_rate", "num_leaves"]
+    + ["max_depth", "min_child_samples", *[f"{name}::DOUBLE AS {name}" for name in _DOUBLES[1:]], "max_bins", "tree_depth"]
+)
 
-def _grid() -> str:
-    rows = []
-    for order, c in enumerate(CONFIGURATIONS):
-        values = [f"{getattr(c, p)}{'::INTEGER' if p in _INTEGERS else '::DOUBLE'} AS {p}" for p in PARAMETERS]
-        rows.append(
-            f"SELECT {order} AS config_order, '{c.name}' AS configuration, {', '.join(values)}, "
-            f"{iterations(c, 1.0)} AS trees, {step_size(c, 1.0)}::DOUBLE AS step_size, {tree_depth(c)} AS tree_depth"
-        )
-    return " UNION ALL ".join(rows)
+# One last train day and one first validation day for all series.
+DATED = f"""{PANEL},
+span AS (SELECT MIN(transactionDate) AS first, MAX(transactionDate) AS last FROM panel),
+cut AS (SELECT first, first + CAST(4 * (last - first + 1) // 5 - 1 AS INTEGER) AS cutoff FROM span),
+edges AS (SELECT cutoff, cutoff - CAST(GREATEST(60, (cutoff - first + 1) // 5) - 1 AS INTEGER) AS judged FROM cut),
+dated AS (
+    SELECT panel.*, CASE WHEN transactionDate <= cutoff THEN 'train'
+                         WHEN transactionDate <= cutoff + 7 THEN 'gap' ELSE 'test' END AS split,
+           transactionDate <= cutoff AND transactionDate >= judged
+               AND MIN(transactionDate) OVER (PARTITION BY {ID}) < judged - 7 AS is_validation
+    FROM panel, edges
+),
+test AS (SELECT * FROM dated WHERE split = 'test')"""
+
+_STUMP = ["day_of_week", "month", "is_weekend", "is_holiday"]
+_STUMP_VALUES = ", ".join(f"{{'place': {i}, 'v': {name}, 'y': target_1d}}" for i, name in enumerate(_STUMP))
+STUMP = f"""{DATED},
+stump_values AS (
+    SELECT place, v, COUNT(*) AS n, SUM(y) AS s
+    FROM (SELECT UNNEST([{_STUMP_VALUES}], recursive := true) FROM dated WHERE split = 'train') GROUP BY place, v
+),
+stump_sides AS (
+    SELECT place, v, SUM(n) OVER upto AS nl, SUM(s) OVER upto AS sl,
+           SUM(n) OVER (PARTITION BY place) - SUM(n) OVER upto AS nr,
+           SUM(s) OVER (PARTITION BY place) - SUM(s) OVER upto AS sr
+    FROM stump_values WINDOW upto AS (PARTITION BY place ORDER BY v)
+),
+stump AS (
+    SELECT * FROM stump_sides WHERE nr > 0 ORDER BY sl * sl / nl + sr * sr / nr DESC, place, v LIMIT 1
+)"""
+_STUMP_PICK = " ".join(f"WHEN {i} THEN {name}" for i, name in enumerate(_STUMP))
 
 
 def _describe(target: str) -> str:
@@ -335,8 +386,18 @@ def oracle_sql() -> dict[str, str]:
                        CAST(COUNT(*) FILTER (WHERE transactionDate <= DATE '{SCAN_START}') OVER (PARTITION BY {ID})
                             AS INTEGER) AS train_rows FROM split
             )""",
-            f"""SELECT {ROW}, position, train_rows, CASE WHEN position < train_rows THEN 'train'
-                WHEN position < train_rows + 7 THEN 'gap' ELSE 'test' END AS split FROM cut""",
+            f"""SELECT {ROW}, position, train_rows, CASE WHEN transactionDate <= DATE '{SCAN_START}' THEN 'train'
+                WHEN transactionDate <= DATE '{SCAN_START}' + 7 THEN 'gap' ELSE 'test' END AS split FROM cut""",
+        ),
+        "cutoff_validation": _with(
+            f"""{SPLIT}, cut AS (
+                SELECT {ROW}, position, transactionDate <= DATE '{SCAN_START}' AS is_train,
+                       MIN(transactionDate) OVER (PARTITION BY {ID}) < DATE '{VALIDATION_START}' - 7 AS enough FROM split
+            )""",
+            f"""SELECT {ROW}, position, CASE WHEN NOT enough OR NOT is_train THEN NULL
+                WHEN transactionDate < DATE '{VALIDATION_START}' - 7 THEN 'fit'
+                WHEN transactionDate < DATE '{VALIDATION_START}' THEN 'gap' ELSE 'validation' END AS tuning_part,
+                CASE WHEN enough THEN 'ok' ELSE 'insufficient_history' END AS tuning_status FROM cut""",
         ),
         "validation_split": _with(SPLIT, f"SELECT {ROW}, position, tuning_part, tuning_status FROM split"),
         "split_summary": _with(
@@ -370,8 +431,10 @@ def oracle_sql() -> dict[str, str]:
         "config_selection_pooled": _with(
             f"{CANDIDATES}, pooled AS (SELECT target, CAST(config_order AS INTEGER) AS config_order, configuration, "
             f"{ERRORS} FROM candidates GROUP BY target, config_order, configuration)",
-            f"SELECT target, config_order, configuration, {SHOWN_ERRORS} FROM pooled "
-            "QUALIFY ROW_NUMBER() OVER (PARTITION BY target ORDER BY round(MAE, 9), config_order) = 1",
+            f"SELECT target, config_order, configuration, {SHOWN_ERRORS} "
+            "FROM (SELECT *, MIN(MAE) OVER (PARTITION BY target) AS least FROM pooled) "
+            "WHERE MAE <= least + abs(least) * 1e-9 "
+            "QUALIFY ROW_NUMBER() OVER (PARTITION BY target ORDER BY config_order) = 1",
         ),
         "chosen_horizon_metrics": _with(
             f"""{CHOSEN},
@@ -410,7 +473,7 @@ def oracle_sql() -> dict[str, str]:
             f"QUALIFY ROW_NUMBER() OVER (PARTITION BY {ID} ORDER BY transactionDate) <= 10",
         ),
         "config_grid": _with(
-            f"""{SPLIT}, grid AS ({_grid()}),
+            f"""{SPLIT}, grid AS (SELECT {_GRID_COLUMNS} FROM {GRID}),
             counts AS (
                 SELECT COUNT(*) FILTER (WHERE tuning_part = 'fit') AS fit_rows,
                        COUNT(*) FILTER (WHERE tuning_part = 'validation') AS validation_rows FROM split
@@ -425,8 +488,61 @@ def oracle_sql() -> dict[str, str]:
             _ANSWERS,
             f"""SELECT CAST(to_json({{
                 'operational_unit_id': operational_unit_id, 'item_id': item_id,
-                'last_date': strftime(transactionDate, '%Y-%m-%d'), 'predictions': {{{_JSON_FORECASTS}}},
-                'total_quantity_7d': {r(_TOTAL)}}}) AS VARCHAR) AS response
-            FROM answers WHERE status = 'ok'""",
+                'last_date': strftime(transactionDate, '%Y-%m-%d'),
+                'predictions': CASE WHEN status = 'ok' THEN {{{_JSON_FORECASTS}}} END,
+                'total_quantity_7d': {r(_TOTAL)}, 'status': status}}) AS VARCHAR) AS response
+            FROM answers""",
+        ),
+        "gbt_stump_forecast": _with(
+            STUMP,
+            f"""SELECT {ROW}, target_1d,
+                {r(f"CASE WHEN CASE place {_STUMP_PICK} END <= v THEN sl / nl ELSE sr / nr END")} AS forecast_target_1d
+            FROM test, stump""",
+        ),
+        "tuning_results": _with(
+            DATED,
+            f"""SELECT target, config_order, configuration,
+                (SELECT COUNT(*) FROM dated WHERE is_validation) AS rows, TRUE AS has_errors
+            FROM (SELECT UNNEST({ALL_TARGETS}) AS target), {GRID}""",
+        ),
+        "gbt_fit": f"SELECT UNNEST({ALL_TARGETS}) AS target, 2 AS trees, 255 AS bins, TRUE AS is_best",
+        "gbt_test_forecast": _with(
+            DATED, f"SELECT {ROW}, {', '.join(ALL_TARGETS)}, TRUE AS has_forecasts FROM test"
+        ),
+        "model_horizon_metrics": _with(
+            f"{DATED}, pairs AS (SELECT UNNEST([{_BASELINE_HORIZONS}], recursive := true) FROM test)",
+            f"SELECT horizon, {r('AVG(ABS(y - p))')} AS baseline_mae, {r('SQRT(AVG((y - p) * (y - p)))')} AS baseline_rmse, "
+            "TRUE AS model_follows FROM pairs GROUP BY horizon",
+        ),
+        "gbt_model_comparison": _with(
+            f"""{DATED}, compared AS (
+                SELECT UNNEST([{{'model': 'baseline_7d', 'y': {DIRECT_TARGET}, 'p': quantity_mean_7d * 7}},
+                    {{'model': 'baseline_28d', 'y': {DIRECT_TARGET}, 'p': quantity_mean_28d * 7}}], recursive := true)
+                FROM test
+            ), errors AS ({comparison})""",
+            f"""SELECT model, {SHOWN_ERRORS}, TRUE AS has_errors FROM errors UNION ALL
+            SELECT UNNEST(['multi_model_7d', 'direct_7d']), COUNT(*), NULL, NULL, NULL, TRUE FROM test""",
+        ),
+        "gbt_prediction_examples": _with(
+            DATED,
+            f"SELECT {ROW}, {DIRECT_TARGET} AS actual, {r('quantity_mean_28d * 7')} AS baseline_28d, "
+            f"TRUE AS has_forecasts FROM test "
+            f"QUALIFY ROW_NUMBER() OVER (PARTITION BY {ID} ORDER BY transactionDate) <= 10",
+        ),
+        "feature_importance": f"SELECT UNNEST({[*FEATURES, 'baseline_28d_7days']}) AS feature, "
+        "TRUE AS splits_add_up, TRUE AS shares_add_up",
+        "model_info": f"""SELECT 'check' AS run_id, 7 AS gap_days, '{DIRECT_TARGET}' AS direct_target,
+            'baseline_28d_7days' AS direct_baseline_feature, '{','.join(TARGETS)}' AS targets,
+            '{','.join([*FEATURES, 'baseline_28d_7days'])}' AS features, '2' AS trees, '255' AS bins,
+            'baseline_28d,baseline_7d,direct_7d,multi_model_7d' AS compared""",
+        "model_registry_roundtrip": _with(
+            DATED,
+            f"""SELECT UNNEST({ALL_TARGETS}) AS target, (SELECT COUNT(*) FROM test) AS rows,
+                CAST(0 AS BIGINT) AS differing""",
+        ),
+        "predict_batch": _with(
+            _ANSWERS,
+            "SELECT operational_unit_id, item_id, strftime(transactionDate, '%Y-%m-%d') AS last_date, status, "
+            "CASE WHEN status = 'ok' THEN TRUE END AS adds_up FROM answers",
         ),
     }
