@@ -36,6 +36,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     train.add_argument("--holidays", help="path of a table with holiday_date, instead of the built-in rule")
     train.add_argument("--configurations", help="JSON file with a list of configurations, instead of the built-in six")
     train.add_argument("--parallelism", type=int, default=4, help="fits running at a time")
+    train.add_argument("--partitions", type=int, help="tasks that fill and window the series")
     train.add_argument("--cutoff", help="last train date of every series, instead of 80 %% of the days")
     forecast.add_argument("--requests", required=True, help="JSON lines with the request keys")
     forecast.add_argument("--request-keys", nargs="+", default=list(REQUEST_KEYS), help="in the order of the run's keys")
@@ -69,6 +70,7 @@ def main(argv: list[str] | None = None) -> None:
             configurations,
             options.parallelism,
             options.cutoff,
+            options.partitions,
         )
     else:
         types = run_settings(spark, options.root, options.run_id).key_types

@@ -62,16 +62,19 @@ def calendar_spine(daily: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return series_bounds(daily, keys).select(*keys, F.explode(days).alias(DATE))
 
 
-def spread_by_series(daily: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def spread_by_series(daily: DataFrame, keys: Sequence[str] = KEYS, partitions: int | None = None) -> DataFrame:
     """Bring each series' days into one partition.
 
-    The partition number is given outright: filling the gaps multiplies the
-    rows, and adaptive execution would merge partitions by the size before it.
+    The partition number is given outright (the session's, if none is named):
+    filling the gaps multiplies the rows, and adaptive execution would merge
+    partitions by the size before it.
     """
-    return daily.repartition(shuffle_partitions(daily.sparkSession), *keys)
+    return daily.repartition(partitions or shuffle_partitions(daily.sparkSession), *keys)
 
 
-def dense_daily(daily: DataFrame, keys: Sequence[str] = KEYS, spread: bool = True) -> DataFrame:
+def dense_daily(
+    daily: DataFrame, keys: Sequence[str] = KEYS, spread: bool = True, partitions: int | None = None
+) -> DataFrame:
     """One row per series and day from first to last sale, zero where nothing sold.
 
     Each sold day is stretched to the day before the next one, so the facts are
@@ -81,7 +84,7 @@ def dense_daily(daily: DataFrame, keys: Sequence[str] = KEYS, spread: bool = Tru
     by_day = Window.partitionBy(*keys).orderBy(DATE)
     following = F.lead(DATE).over(by_day)
     until = F.coalesce(F.date_sub(following, 1), F.col(DATE))
-    sold = (spread_by_series(daily, keys) if spread else daily).withColumn("_until", until)
+    sold = (spread_by_series(daily, keys, partitions) if spread else daily).withColumn("_until", until)
     days = sold.select(
         *keys,
         QUANTITY,

@@ -30,6 +30,7 @@ def run_training(
     configurations: Sequence[Configuration] = CONFIGURATIONS,
     parallelism: int = 4,
     cutoff: str | None = None,
+    partitions: int | None = None,
 ) -> TrainedRun:
     """Train on all series, evaluate on their test parts, and store everything under ``root``.
 
@@ -39,7 +40,7 @@ def run_training(
     """
     spark = sales.sparkSession
     registry.refuse_existing(spark, root, run_id)
-    panel = training_panel(sales, keys, date, amount, start, holidays, time_zone)
+    panel = training_panel(sales, keys, date, amount, start, holidays, time_zone, partitions)
     run = train(
         panel,
         configurations=configurations,

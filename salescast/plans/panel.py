@@ -19,10 +19,15 @@ def training_panel(
     start: str = HISTORY_START,
     holidays: DataFrame | None = None,
     time_zone: str = TIME_ZONE,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Features and targets of every usable day of every series in ``sales``."""
+    """Features and targets of every usable day of every series in ``sales``.
+
+    ``partitions`` is the number of tasks that fill and window the series, the
+    session's shuffle partitions if not named.
+    """
     scan = sales_scan(sales, keys, date, amount, start, time_zone)
-    return feature_rows(dense_daily(daily_sales(scan, keys), keys), keys, holidays)
+    return feature_rows(dense_daily(daily_sales(scan, keys), keys, partitions=partitions), keys, holidays)
 
 
 def series_panel(
