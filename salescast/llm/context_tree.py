@@ -41,9 +41,9 @@ DEPTH = 6
 END = 0xFF
 SPACE = 0x20
 END_TOKEN = np.uint64(0x1D8AF066E5F3A2B7)
-HOT_GRAMS = 4_000_000
+HOT_GRAMS = 2_000_000
 HOT_WORDS = 1_000_000
-HOLD = 3_000_000
+HOLD = 2_000_000
 TREE_GROUPS = 256
 GRAM, WORD = 0, 1
 LOG_HALF = math.log(0.5)
