@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 SHINGLE_WORDS = 5
 
 IS_SEPARATOR = np.zeros(256, dtype=bool)
