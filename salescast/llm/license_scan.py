@@ -1,11 +1,15 @@
 """Licence scan: TF-IDF cosine of notices to templates, and inheritance from directories.
 
-A notice is a line with a licence cue. Equal notices are made one row before anything
-else, so a header shared by a third of all files is compared once. Terms are weighed by
-how few notices have them (``ln((1 + notices) / (1 + notices with the term)) + 1``), and
-each distinct notice is compared with each template it shares a term with. A file's own
-licence is that of its closest notice, at a cosine of ``LEAST_COSINE`` or more; ties go
-to the template listed first.
+A notice is a line with a licence cue, and so is a whole block with one (a paragraph, the
+inside of a comment, adjacent comment lines), each sentence of these, each SPDX
+identifier, and the whole text of a licence file. Equal notices are made one row before
+anything else, so a header shared by a third of all files is compared once. Terms are
+weighed by how few lines with a cue have them (``ln((1 + lines) / (1 + lines with the
+term)) + 1``), and each distinct notice is compared with each template it shares a term
+with: one-sentence notices, and the titles, headers and whole texts of
+``license_texts``. A file's own licence is that of its closest notice, at a cosine of
+``LEAST_COSINE`` or more; ties go to the template listed first. An SPDX identifier is
+one term, without ``-only``, ``-or-later`` and ``+``.
 
 A licence file also speaks for its directory: a file without a licence of its own takes
 that of the nearest directory above it that has one. Directories, not files, are joined
@@ -19,11 +23,12 @@ licences are null. Columns other than those named are kept.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from salescast.llm import license_texts
 from salescast.llm.scratch import stored
 
 # A short notice of each licence, in order of preference on equal cosine.
@@ -41,6 +46,11 @@ TEMPLATES = {
     "CC0-1.0": "Released into the public domain under CC0 1.0.",
 }
 CUE = "(?i)licen[cs]e|copyright|public domain|creative commons"
+# What a block, sentence or whole text has that may be a licence's.
+WIDE_CUE = f"{CUE}|spdx|permission|redistribution|free software|unencumbered"
+COMMENT_LINE = r"[ \t]*(?:#|//|--|;|%|\*|!|/\*|<!--|dnl\b)"
+SPDX_LINE = r"(?i)SPDX-License-Identifier:([^\n]*)"
+SPDX_TERM = "spdx:"  # no term of a text has a colon
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LEAST_COSINE = 0.7
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,27 +60,83 @@ def terms(text):
     return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(TERM), F.lit(0))
 
 
+def _inside_comments(text):
+    """The insides of delimited comments."""
+    opened = F.split(text, r"/\*|<!--")
+    return F.transform(F.slice(opened, 2, F.size(opened)), lambda part: F.split(part, r"\*/|-->")[0])
+
+
+def _comment_runs(text):
+    """Stretches of adjacent comment lines."""
+    return F.split(F.regexp_replace(text, rf"(?m)^(?!{COMMENT_LINE}).*$", "\u0001"), "\u0001")
+
+
+def _paragraphs(text):
+    """Stretches between lines without a letter or digit; a comment's ends are such lines too."""
+    return F.split(F.regexp_replace(text, r"/\*|\*/|<!--|-->", "\n\n"), r"\n[^\p{L}\p{N}]*\n")
+
+
+def _sentences(parts):
+    return F.flatten(F.transform(parts, lambda part: F.split(part, r"(?<=[.!?;:])\s+")))
+
+
+def _spdx(text):
+    """Each SPDX identifier as a term."""
+    lower = F.translate(F.array_join(F.regexp_extract_all(text, F.lit(SPDX_LINE), F.lit(1)), " "), _UPPER, _LOWER)
+    names = F.regexp_extract_all(lower, F.lit("[a-z0-9][a-z0-9.+-]*"), F.lit(0))
+    return F.transform(names, lambda n: F.concat(F.lit(SPDX_TERM), F.regexp_replace(n, r"(?:-only|-or-later|\+)$", "")))
+
+
 def notices(files: DataFrame) -> DataFrame:
-    """Each line with a cue: file_no, notice (its terms, joined by a space)."""
-    lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(CUE))
-    found = files.where(F.col("text").rlike(CUE)).select("file_no", F.explode(lines).alias("line"))
-    return found.select("file_no", F.array_join(terms(F.col("line")), " ").alias("notice"))
-
-
-def notice_licenses(lines: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
-    """The template closest to each distinct notice: notice, license, cosine."""
-    counted = lines.groupBy("notice").agg(F.count("*").alias("times"))
-    words = counted.select("notice", "times", F.explode(F.split("notice", " ")).alias("term"))
-    words = words.groupBy("notice", "times", "term").agg(F.count("*").alias("tf"))
-    known = words.groupBy("term").agg(F.sum("times").alias("df"))
+    """Notices of each file: file_no, notice (its terms, joined by a space), is_line.
+
+    A row for each line with a cue, and one for each other distinct notice of the file.
+    """
+    found = files.where(F.col("text").rlike(WIDE_CUE))
+    found = found.select("file_no", "is_license_file", F.regexp_replace("text", "\r\n?", "\n").alias("text"))
+    blocks = F.concat(_inside_comments(F.col("text")), _comment_runs(F.col("text")), _paragraphs(F.col("text")))
+    found = found.withColumns({"lines": F.split("text", "\n"), "blocks": F.filter(blocks, lambda b: b.rlike(WIDE_CUE))})
+    whole = F.when(F.col("is_license_file"), F.array("text")).otherwise(F.array().cast("array<string>"))
+    parts = F.concat("blocks", F.filter(_sentences(F.concat("blocks", "lines")), lambda p: p.rlike(WIDE_CUE)), whole)
+    joined = lambda part: F.array_join(terms(part), " ")
+    others = F.array_distinct(F.concat(F.transform(parts, joined), _spdx(F.col("text"))))
+    lines = F.transform(F.filter("lines", lambda line: line.rlike(CUE)), joined)
+    row = lambda is_line: lambda notice: F.struct(notice.alias("notice"), F.lit(is_line).alias("is_line"))
+    rows = F.concat(F.transform(lines, row(True)), F.transform(F.array_except(others, lines), row(False)))
+    return found.select("file_no", F.explode(rows).alias("row")).select("file_no", "row.*")
+
+
+def _templates(templates: Mapping[str, str], texts: Iterable[tuple[str, str]]) -> list[tuple]:
+    """(template_order, license, telling, terms as one text) of all templates."""
+    told = [*templates.items(), *texts]
+    names = dict.fromkeys(name for name, _ in told)
+    rows = [(name, True, text) for name, text in told]
+    rows += [(name, True, SPDX_TERM + name.lower()) for name in names]
+    rows += [(name, False, text) for name, text in license_texts.OPENINGS if name in names]
+    return [(order, *row) for order, row in enumerate(rows)]
+
+
+def notice_licenses(
+    found: DataFrame, templates: Mapping[str, str] = TEMPLATES, texts: Iterable[tuple[str, str]] | None = None
+) -> DataFrame:
+    """The template closest to each distinct notice: notice, license, cosine, telling, preferred."""
+    texts = license_texts.texts() if texts is None else texts
+    times = F.count(F.when(F.col("is_line"), 1))
+    # Long notices are known by a digest, so that only it is repeated for each term.
+    counted = found.groupBy("notice").agg(times.alias("times")).withColumn("digest", F.sha2("notice", 256))
+    words = counted.select("digest", "times", F.explode(F.split("notice", " ")).alias("term"))
+    words = words.groupBy("digest", "times", "term").agg(F.count("*").alias("tf"))
+    known = words.where("times > 0").groupBy("term").agg(F.sum("times").alias("df"))
     total = counted.agg(F.sum("times")).first()[0] or 0  # one row
 
-    rows = list(enumerate(templates.items()))
-    listed = lines.sparkSession.createDataFrame(
-        [(order, name, text) for order, (name, text) in rows], "template_order int, license string, text string"
+    listed = found.sparkSession.createDataFrame(
+        _templates(templates, texts), "template_order int, license string, telling boolean, text string"
     )
-    template_terms = listed.select("template_order", "license", F.explode(terms(F.col("text"))).alias("term"))
-    template_terms = template_terms.groupBy("template_order", "license", "term").agg(F.count("*").alias("tf"))
+    spdx = F.col("text").startswith(SPDX_TERM)
+    in_template = F.when(spdx, F.array("text")).otherwise(terms(F.col("text")))
+    by = ["template_order", "license", "telling"]
+    template_terms = listed.select(*by, F.explode(in_template).alias("term"))
+    template_terms = template_terms.groupBy(*by, "term").agg(F.count("*").alias("tf"))
     rarity = F.log((1 + F.lit(total)) / (1 + F.coalesce("df", F.lit(0)))) + 1
 
     def weighted(side: DataFrame, by: list[str]) -> DataFrame:
@@ -79,22 +145,22 @@ def notice_licenses(lines: DataFrame, templates: Mapping[str, str] = TEMPLATES)
         return weights.withColumn("weight", F.col("weight") / norm)
 
     of_templates = weighted(template_terms, ["template_order"]).withColumnRenamed("weight", "template_weight")
-    of_notices = weighted(words, ["notice"])
+    of_notices = weighted(words, ["digest"])
     # As many rows as the templates have terms.
     shared = of_notices.join(F.broadcast(of_templates), "term")
-    cosines = shared.groupBy("notice", "template_order", "license").agg(
+    cosines = shared.groupBy("digest", *by).agg(
         F.round(F.sum(F.col("weight") * F.col("template_weight")), 6).alias("cosine")
     )
-    best = F.max(F.struct("cosine", (-F.col("template_order")).alias("preferred"), "license")).alias("best")
-    chosen = cosines.where(F.col("cosine") >= LEAST_COSINE).groupBy("notice").agg(best)
-    return chosen.select("notice", "best.*")
+    best = F.max(F.struct("telling", "cosine", (-F.col("template_order")).alias("preferred"), "license")).alias("best")
+    chosen = cosines.where(F.col("cosine") >= LEAST_COSINE).groupBy("digest").agg(best)
+    return counted.select("notice", "digest").join(chosen, "digest").select("notice", "best.*")
 
 
 def own_licenses(files: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
     """Closest licence of each file that has a notice: file_no, own_license, own_cosine."""
-    lines = stored(notices(files), "license-notices")
-    found = lines.join(notice_licenses(lines, templates), "notice")
-    best = F.max(F.struct("cosine", "preferred", "license")).alias("best")
+    found = stored(notices(files), "license-notices")
+    found = found.join(notice_licenses(found, templates), "notice")
+    best = F.max(F.struct("telling", "cosine", "preferred", "license")).alias("best")
     found = found.groupBy("file_no").agg(best)
     return found.select(
         "file_no", F.col("best.license").alias("own_license"), F.col("best.cosine").alias("own_cosine")
