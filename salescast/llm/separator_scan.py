@@ -4,8 +4,10 @@ A flat file holds token identifiers of a fixed width and nothing else; an
 end-of-document identifier follows each document. Files in the order of their names
 are one stream, and a document may run on from one file to the next.
 
-Files are scanned in blocks of a fixed number of tokens with one vector comparison per
-block; only the separators' places leave it. Boundaries are then stitched by a prefix
+Files are scanned in blocks of a bounded number of tokens with one vector comparison per
+block; only the separators' places leave it. A file of up to ``WHOLE_BYTES`` is one row
+of the reader; of a larger one of any size each block is, read in a task of its byte
+range. Boundaries are then stitched by a prefix
 scan over the blocks: a running sum of lengths gives each block's place in the stream, a
 running maximum of separator places gives the last separator before it, which is where
 its first document began. The scan runs per file over its blocks, and over files with
@@ -19,11 +21,13 @@ is an error. Empty files and folders have no documents.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +37,8 @@ from pyspark.sql import functions as F
 TOKEN_TYPE = ">u2"
 SEPARATOR = 50_304
 BLOCK_TOKENS = 1 << 20
+WHOLE_BYTES = 64 << 20
+RANGE_BLOCKS = 16  # blocks of a large file in a task
 VOCABULARY = "byte_bpe_50k.tiktoken"
 ENCODE_ROWS = 256
 
@@ -72,12 +78,57 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY)
     rows.select(F.col("tokens").cast("string")).write.option("lineSep", separator).text(path)
 
 
+def _range_blocks(spark: SparkSession, path: str, size: int, places_in, width: int, block_tokens: int):
+    """Rows of ``scan_blocks`` of one large file: an RDD of its blocks, and a list of those in its rest.
+
+    The reader of fixed-length records fails on a rest that isn't a whole record, so the
+    range with the rest is left out there, and read here. Block lengths are chosen so
+    that the rest is about an eighth of a block: ranges end at whole blocks only where
+    more than a tenth of one remains.
+    """
+    context = spark.sparkContext
+    jvm = context._jvm
+    tokens = size // width
+    record = max(1, int(tokens / (-(-tokens // block_tokens) + 0.125))) * width
+    settings = {
+        "org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(record),
+        "mapreduce.input.fileinputformat.split.minsize": str(record),
+        "mapreduce.input.fileinputformat.split.maxsize": str(record),
+    }
+    records = context.newAPIHadoopFile(
+        re.sub(r"([\[\]{}*?\\])", r"\\\1", path),
+        "org.apache.spark.input.FixedLengthBinaryInputFormat",
+        "org.apache.hadoop.io.LongWritable",
+        "org.apache.hadoop.io.BytesWritable",
+        conf=settings,
+    )
+    whole = records.getNumPartitions() - (size % record > 0)
+    kept = jvm.PythonUtils.toSeq(list(range(whole))).toSet()
+    pruned = jvm.org.apache.spark.rdd.PartitionPruningRDD.create(records._jrdd.rdd(), kept)
+    records = RDD(pruned.toJavaRDD(), context, records._jrdd_deserializer).coalesce(-(-whole // RANGE_BLOCKS) or 1)
+    blocks = records.map(lambda r: (path, r[0], len(r[1]) // width, places_in(r[1])))
+
+    rest = size - whole * record if size % record else 0
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    stream = file.getFileSystem(context._jsc.hadoopConfiguration()).open(file)
+    try:
+        stream.seek(size - rest)
+        data = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+    if len(data) != rest:
+        raise ValueError(f"{path}: {len(data)} bytes instead of {rest} at its end")
+    ends = [data[i : i + record] for i in range(0, rest, record)]
+    return blocks, [(path, whole + i, len(end) // width, places_in(end)) for i, end in enumerate(ends)]
+
+
 def scan_blocks(
     spark: SparkSession,
     path: str,
     separator: int = SEPARATOR,
     token_type: str = TOKEN_TYPE,
     block_tokens: int = BLOCK_TOKENS,
+    whole_bytes: int = WHOLE_BYTES,
 ) -> DataFrame:
     """One row per block: file, block, n_tokens, places (of separators, from the block's start)."""
     wanted = np.array([separator], dtype=token_type)
@@ -103,9 +154,24 @@ def scan_blocks(
                     names=["file", "block", "n_tokens", "places"],
                 )
 
-    # Zero bytes and Spark's own markers aside, each file is one row: up to 2 GB, Spark's limit.
+    def places_in(data: bytes | bytearray) -> list[int]:
+        return np.flatnonzero(np.frombuffer(data, dtype=raw_type) == raw).tolist()
+
+    # Zero bytes and Spark's own markers aside, each file is one row, or one RDD of blocks.
+    schema = "file string, block long, n_tokens long, places array<long>"
     files = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path).where("length > 0")
-    return files.select("path", "content").mapInArrow(scan, "file string, block long, n_tokens long, places array<long>")
+    small = files.where(F.col("length") <= whole_bytes)
+    blocks = small.select("path", "content").mapInArrow(scan, schema)
+    large = files.where(F.col("length") > whole_bytes).select("path", "length").collect()  # names and sizes
+    for name, size in large:
+        if size % raw_type.itemsize:
+            raise ValueError(f"{name}: {size} bytes are no whole number of tokens")
+    if large:
+        found = [_range_blocks(spark, name, size, places_in, raw_type.itemsize, block_tokens) for name, size in large]
+        ranges = spark.createDataFrame(spark.sparkContext.union([rdd for rdd, _ in found]), schema)
+        ends = [row for _, rows in found for row in rows]
+        blocks = blocks.union(ranges).union(spark.createDataFrame(ends, schema))
+    return blocks
 
 
 def stitched(blocks: DataFrame) -> DataFrame:
