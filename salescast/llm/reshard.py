@@ -12,7 +12,8 @@ shard of a document is a hash of its text, so that equal texts start together an
 so wherever the sizes allow; a group of copies too large for a shard is split by blocks.
 
 A row's slot is its block's offset in the shard plus its number within the block, so no
-task ever sorts a whole shard. Only blocks that move are rewritten.
+task ever sorts a whole shard. ``reshard`` only places rows; ``rewrite_affected`` rewrites
+the files of blocks that move, and is not part of it.
 
 Size is the text's UTF-8 bytes plus 16; a null text has none (its checksum is that of no
 bytes, 0). Repeated rows each get a slot. An empty table has no blocks. Other columns
