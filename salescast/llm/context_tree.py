@@ -17,7 +17,8 @@ occurrences. The levels above have at most 257 contexts and pass the driver.
 
 A text's score is the sum of its grams' code lengths. The most frequent grams and words,
 as many as ``HOT_GRAMS`` and ``HOT_WORDS``, are broadcast; all others are joined by
-shuffle, which is exact and small, since rare keys have few occurrences.
+shuffle, which is exact and small, since rare keys have few occurrences. Its code length
+per byte is in bits, over the bytes as the model reads them, with the end byte.
 
 Null, empty and word-free texts are the end byte alone and one end token. Repeated rows
 each get a row. Without training rows every bit costs one bit, and each token has
@@ -339,7 +340,7 @@ def hottest(table: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _SCAN_SCHEMA = (
-    "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
+    "row_id long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base_score double, score double, "
     "cold_words array<long>, cold_grams array<long>"
 )
 
@@ -369,7 +370,7 @@ def _scan_scores(folds: DataFrame, words: Lookup, grams: Lookup, depth: int) ->
                 hot = at_gram >= 0
                 score = np.bincount(gram_rows[hot], weights=gram_values[at_gram[hot]], minlength=chunk.rows)
                 mine = batch.slice(chunk.first_row, chunk.rows)
-                columns = [mine.column(0), mine.column(1), mine.column(2), pa.array(np.diff(token_bounds)),
+                columns = [mine.column(0), mine.column(1), mine.column(2), pa.array(np.diff(token_bounds)), pa.array(np.diff(bounds)),
                            pa.array(known.astype(np.int64)), pa.array(base.astype(np.float64)), pa.array(score.astype(np.float64)),
                            cold(at_word, tokens, token_rows, chunk.rows), cold(at_gram, keys, gram_rows, chunk.rows)]
                 yield pa.RecordBatch.from_arrays(columns, names=[part.split()[0] for part in _SCAN_SCHEMA.split(", ")])
@@ -381,7 +382,7 @@ def _scan_scores(folds: DataFrame, words: Lookup, grams: Lookup, depth: int) ->
 def score_documents(
     docs: DataFrame, depth: int = DEPTH, hot_grams: int = HOT_GRAMS, hot_words: int = HOT_WORDS
 ) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
     folds = with_fold(docs)
     counts = stored(corpus_counts(folds, depth), "tree-counts")
     grams = stored(gram_scores(counts, depth), "tree-grams")
@@ -415,4 +416,6 @@ def score_documents(
         F.lit(train_tokens).cast("long").alias("train_tokens"),
         both["base_score"].alias("base_score"),
         both["score"].alias("score"),
+        "n_bytes",
+        (-both["score"] * F.lit(math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
