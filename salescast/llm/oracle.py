@@ -167,11 +167,82 @@ SELECT doc_id, path, own_license, own_cosine, coalesce(own_license, granted) AS
 FROM found LEFT JOIN inherited USING (directory)
 """
 
+_FIELDS = ["doc_id", "source", "lang", "n_chars", "{text}"]
+
+
+def _leaf(text: str) -> str:
+    """Digest of a row's fields."""
+    fields = [f"CAST({f.format(text=text)} AS VARCHAR)" for f in _FIELDS]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+# CRC-32 of a decimal number, one bit at a time: the ASCII code of each digit, then eight shifts.
+_CRC32 = """xor(list_reduce(flatten([[4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda c: [1000 + ascii(c), 0, 0, 0, 0, 0, 0, 0, 0]))]),
+  lambda crc, step: CASE WHEN step >= 1000 THEN xor(crc, step - 1000)
+                         WHEN crc % 2 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END), 4294967295)"""
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Nodes (tree, level, place, digest, size of the level) of all levels of the trees over ``leaves``."""
+    return f"""{name}(tree, level, place, digest, size) AS (
+  SELECT tree, 0, place, digest, size FROM {leaves}
+  UNION ALL
+  SELECT tree, level + 1, place // 3, sha256(string_agg(digest, '' ORDER BY place)), any_value(size + 2) // 3
+  FROM {name} WHERE size > 1 GROUP BY tree, level, place // 3
+)"""
+
+
+OP11 = f"""
+WITH RECURSIVE hashed AS (
+  SELECT row_number() OVER () AS row_no, doc_id, coalesce('=' || source, '') AS tree, {_leaf("text")} AS leaf,
+         CASE WHEN ({_CRC32}) % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS changed
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, row_no) - 1 AS place,
+         count(*) OVER (PARTITION BY tree) AS size
+  FROM hashed
+), leaves AS (SELECT tree, place, leaf AS digest, size FROM placed
+), {_tree("nodes", "leaves")}, subroots AS (
+  SELECT tree, digest AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS place, count(*) OVER () AS size
+  FROM nodes WHERE size = 1
+), top_leaves AS (SELECT '' AS tree, place, subroot AS digest, size FROM subroots
+), {_tree("top_nodes", "top_leaves")}, steps AS (
+  SELECT tree AS tree, level, place, digest, 0 AS part FROM nodes WHERE size > 1
+  UNION ALL SELECT '', level, place, digest, 1 FROM top_nodes WHERE size > 1
+), siblings AS (
+  SELECT n.tree, n.level, n.part, n.place, coalesce(string_agg(s.digest, '' ORDER BY s.place) FILTER (s.place < n.place), '') AS before,
+         coalesce(string_agg(s.digest, '' ORDER BY s.place) FILTER (s.place > n.place), '') AS behind
+  FROM steps n JOIN steps s ON n.tree = s.tree AND n.level = s.level AND n.part = s.part AND n.place // 3 = s.place // 3
+  GROUP BY ALL
+), depths AS (
+  SELECT tree, max(level) AS depth FROM nodes GROUP BY tree
+), climb(row_no, tree, top_place, level, place, part, digest, proof, depth) AS (
+  SELECT row_no, p.tree, s.place, 0, p.place, 0, changed, '', depth
+  FROM placed p JOIN subroots s ON p.tree = s.tree JOIN depths d ON p.tree = d.tree
+  UNION ALL
+  SELECT row_no, tree, top_place, next_level, next_place, next_part, next_digest, next_proof, depth FROM (
+    SELECT c.*, CASE WHEN s.tree IS NULL THEN 0 ELSE c.level + 1 END AS next_level,
+           CASE WHEN s.tree IS NULL THEN c.top_place ELSE c.place // 3 END AS next_place,
+           CASE WHEN s.tree IS NULL THEN c.part + 1 ELSE c.part END AS next_part,
+           CASE WHEN s.tree IS NULL THEN c.digest ELSE sha256(s.before || c.digest || s.behind) END AS next_digest,
+           c.proof || coalesce(s.before || s.behind, '') AS next_proof
+    FROM climb c LEFT JOIN siblings s
+      ON s.part = c.part AND s.level = c.level AND s.place = c.place AND s.tree = CASE WHEN c.part = 0 THEN c.tree ELSE '' END
+    WHERE c.part < 2)
+)
+SELECT p.doc_id, p.leaf, s.subroot, r.digest AS root, sha256(c.proof) AS proof_sha256, c.digest AS folded_root,
+       c.digest = r.digest AS verified
+FROM placed p JOIN subroots s ON p.tree = s.tree JOIN climb c ON p.row_no = c.row_no AND c.part = 2
+CROSS JOIN (SELECT digest FROM top_nodes WHERE size = 1) r
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": OP1,
     "op2_quality_repeats": OP2,
     "op6_license_scan": OP6,
     "op8_near_dedup": OP8,
+    "op11_merkle_manifest": OP11,
 }
 
 

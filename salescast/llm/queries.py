@@ -11,12 +11,15 @@ from salescast.llm.context_tree import score_documents
 from salescast.llm.decontaminate import contaminated
 from salescast.llm.html_extract import extract_main_text
 from salescast.llm.license_scan import license_scan
+from salescast.llm.merkle_manifest import verified_leaves
 from salescast.llm.near_dedup import near_duplicate_groups
 from salescast.llm.pivotal_mix import mix_sources
 from salescast.llm.quality_repeats import quality_rules
 from salescast.llm.reshard import reshard
+from salescast.llm.rule_ensemble import quality_scores
 from salescast.llm.scratch import scratch_path
 from salescast.llm.separator_scan import document_lengths, scan_blocks, write_token_files
+from salescast.llm.token_alignment import align_tokenizers
 from salescast.llm.toxicity import toxicity_scores
 
 
@@ -104,6 +107,21 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and verification of every document in a Merkle manifest by source."""
+    return verified_leaves(_table(spark, sf_dir, "documents"))
+
+
+def op12_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by weighted rules over its statistics."""
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned groups and links of two tokenizers' tokens in every document."""
+    return align_tokenizers(_table(spark, sf_dir, "documents")).drop("groups")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_repeats": op2_quality_repeats,
@@ -115,6 +133,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_reshard": op9_reshard,
     "op10_html_extract": op10_html_extract,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_rule_ensemble": op12_rule_ensemble,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 
