@@ -116,22 +116,24 @@ _TERMS = "regexp_extract_all({text}, '[a-z0-9]+(?:[.-][a-z0-9]+)*')"
 def _weighted(side: str, by: str) -> str:
     """Terms of ``side`` with TF-IDF weights of unit length per ``by``."""
     return f"""SELECT *, weight / sqrt(sum(weight * weight) OVER (PARTITION BY {by})) AS unit
-  FROM (SELECT s.*, s.tf * (ln((1 + (SELECT count(*) FROM lines)) / (1 + coalesce(df, 0))) + 1) AS weight
+  FROM (SELECT s.*, (1 + ln(s.tf)) * (ln((1 + (SELECT count(*) FROM lines)) / (1 + coalesce(df, 0))) + 1) AS weight
         FROM {side} s LEFT JOIN known USING (term))"""
 
 
 OP6 = f"""
 WITH files AS (
-  SELECT doc_id, text, speaks, concat_ws('/', coalesce(source, '-'), doc_id // 100, tens) AS directory,
-         concat_ws('/', coalesce(source, '-'), doc_id // 100, tens, doc_id) AS path
-  FROM (SELECT *, coalesce(length(text), 0) <= 500 AS speaks,
-               CASE WHEN coalesce(length(text), 0) > 500 THEN doc_id // 10 END AS tens FROM documents)
+  SELECT *, concat_ws('/', coalesce(source, '-'), doc_id // 1000, hundreds) AS directory,
+         concat_ws('/', coalesce(source, '-'), doc_id // 1000, hundreds, doc_id) AS path
+  FROM (SELECT doc_id, text, source, CASE WHEN doc_id % 100 >= 20 THEN doc_id // 100 END AS hundreds FROM documents)
 ), lines AS (
   SELECT doc_id, array_to_string({_TERMS.format(text=lowered("line"))}, ' ') AS notice
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM files)
   WHERE regexp_matches(line, '(?i)licen[cs]e|copyright|public domain|creative commons')
+), whole AS (
+  SELECT doc_id, {_TERMS.format(text=lowered("text"))} AS all_terms FROM files WHERE doc_id IN (SELECT doc_id FROM lines)
 ), notices AS (
-  SELECT notice, count(*) AS times FROM lines GROUP BY notice
+  SELECT notice, sum(times) AS times
+  FROM (SELECT notice, 1 AS times FROM lines UNION ALL SELECT array_to_string(all_terms, ' '), 0 FROM whole) GROUP BY notice
 ), words AS (
   SELECT notice, times, term, count(*) AS tf
   FROM (SELECT notice, times, unnest(string_split(notice, ' ')) AS term FROM notices) GROUP BY ALL
@@ -146,9 +148,14 @@ WITH files AS (
 ), cosines AS (
   SELECT notice, place, license, round(sum(l.unit * t.unit), 6) AS cosine
   FROM l JOIN t USING (term) GROUP BY notice, place, license
+), told AS (
+  SELECT doc_id, license, cosine, place, len(string_split(notice, ' ')) AS length
+  FROM (FROM lines UNION ALL SELECT doc_id, array_to_string(all_terms, ' ') FROM whole) JOIN cosines USING (notice)
+  WHERE cosine >= 0.7
 ), own AS (
-  SELECT doc_id, arg_max(license, (cosine, -place)) AS own_license, max(cosine) AS own_cosine
-  FROM lines JOIN cosines USING (notice) WHERE cosine >= 0.7 GROUP BY doc_id
+  SELECT doc_id, arg_max(license, (cosine, -place)) AS own_license, max(cosine) AS own_cosine,
+         max(length) >= 0.5 * any_value(len(all_terms)) AS speaks
+  FROM told JOIN whole USING (doc_id) GROUP BY doc_id
 ), found AS (
   SELECT * FROM files LEFT JOIN own USING (doc_id)
 ), granted AS (

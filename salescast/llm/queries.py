@@ -58,31 +58,20 @@ def op5_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
-# A document of at most this many characters with a notice stands for a licence file.
-LICENSE_FILE_CHARS = 500
-
-
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence of every document, by its own notices or by its directory's.
 
     The documents are taken as the files of one tree: directories by source, then by
-    doc_id in hundreds, then in tens. Short documents lie in the hundreds and speak for
-    them if they have a notice; the others lie in the tens.
+    doc_id in thousands, then in hundreds; the first twenty of a hundred lie a directory
+    above. The content tells which of them are licence files.
     """
     docs = _table(spark, sf_dir, "documents")
     doc_id = F.col("doc_id").cast("long")
-    is_short = F.coalesce(F.char_length("text"), F.lit(0)) <= LICENSE_FILE_CHARS
-    tens = F.when(~is_short, F.floor(doc_id / 10))
-    steps = [F.coalesce("source", F.lit("-")), F.floor(doc_id / 100), tens, doc_id]
+    hundreds = F.when(doc_id % 100 >= 20, F.floor(doc_id / 100))
+    steps = [F.coalesce("source", F.lit("-")), F.floor(doc_id / 1000), hundreds, doc_id]
     path = F.concat_ws("/", *[step.cast("string") for step in steps])
-    files = docs.select(
-        doc_id.alias("file_no"),
-        F.when(doc_id.isNotNull(), path).alias("path"),
-        "text",
-        is_short.alias("is_license_file"),
-    )
-    found = license_scan(files)
-    return found.select(F.col("file_no").alias("doc_id"), "path", "own_license", "own_cosine", "license", "license_directory")
+    files = docs.select(doc_id.alias("doc_id"), F.when(doc_id.isNotNull(), path).alias("path"), "text")
+    return license_scan(files)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
