@@ -11,9 +11,11 @@ no say.
 
 All counts follow from those of the ``DEPTH + 1``-grams, which tasks sum before the
 shuffle, over all training texts. Grams that occur only in held-out texts join the table
-with count 0, so that each gram of the corpus is scored once. The trees are weighted in
-``TREE_GROUPS`` groups of two-byte contexts; a group holds distinct grams, not
-occurrences. The levels above have at most 257 contexts and pass the driver.
+with count 0, so that each gram of the corpus is scored once. A task's counts travel as
+packed blocks, one for each of ``TREE_GROUPS`` groups of three-byte contexts, in which the
+trees are weighted; a group holds distinct grams, not occurrences. The levels above are
+bounded by the alphabet and pass the driver: the nodes of the two-byte contexts that
+occur with a symbol (about 10^5 in text), and those of at most 257 shorter contexts.
 
 A text's score is the sum of its grams' code lengths. The most frequent grams and words,
 as many as ``HOT_GRAMS`` and ``HOT_WORDS``, are broadcast; all others are joined by
@@ -22,7 +24,8 @@ per byte is in bits, over the bytes as the model reads them, with the end byte.
 
 Null, empty and word-free texts are the end byte alone and one end token. Repeated rows
 each get a row. Without training rows every bit costs one bit, and each token has
-probability 1 as in the formula. Rows without doc_id train. Other columns are ignored.
+probability 1 as in the formula. Rows without doc_id train. Very long texts are read
+whole; equal scores need no order. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salescast.llm.scratch import stored
-from salescast.llm.textscan import Chunk, Lookup, chunks, lower, scan_words, span_hashes
+from salescast.llm.textscan import Chunk, Lookup, chunks, lower, mix64, scan_words, span_hashes
 
 DEPTH = 6
 END = 0xFF
@@ -45,8 +48,9 @@ END_TOKEN = np.uint64(0x1D8AF066E5F3A2B7)
 HOT_GRAMS = 2_000_000
 HOT_WORDS = 1_000_000
 HOLD = 2_000_000
-TREE_GROUPS = 256
-GRAM, WORD = 0, 1
+TREE_GROUPS = 1024
+GROUP_CONTEXT = 3
+GRAM, WORD, NODE = 0, 1, 2
 LOG_HALF = math.log(0.5)
 
 
@@ -57,19 +61,25 @@ def byte_stream(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     """
     chunk = lower(chunk)
     words = scan_words(chunk)
+    rows = np.repeat(np.arange(chunk.rows), words.per_row)
+    # A byte of a word stays, and so does what comes behind the word: a separator or the document's end.
+    data = np.insert(chunk.data, chunk.offsets[1:], np.uint8(SPACE))
+    begin, end = words.start + rows, words.end + rows
+    step = np.zeros(len(data) + 1, dtype=np.int8)
+    step[begin] += 1
+    np.subtract.at(step, end, np.int8(1))
+    inside = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+    data[~inside] = SPACE
+    kept = inside.copy()
+    kept[end] = True
+    last = chunk.offsets[1:] + np.arange(chunk.rows)
+    empty = words.per_row == 0
+    kept[last[empty]] = True
+    out = data[kept]
     lengths = words.end - words.start
-    per_row = words.per_row
-    rows = np.repeat(np.arange(chunk.rows), per_row)
     word_bytes = np.bincount(rows, weights=lengths + 1, minlength=chunk.rows).astype(np.int64)
     bounds = np.zeros(chunk.rows + 1, dtype=np.int64)
     np.cumsum(np.maximum(word_bytes, 1), out=bounds[1:])
-    out = np.full(bounds[-1], SPACE, dtype=np.uint8)
-    # Word k of its document begins after the lengths of those before it and as many gaps.
-    ahead = np.concatenate([[0], np.cumsum(lengths + 1)])
-    begins = ahead[:-1] - ahead[words.bounds[:-1]][rows] + bounds[:-1][rows]
-    places = np.arange(lengths.sum()) + np.repeat(begins - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-    source = np.arange(lengths.sum()) + np.repeat(words.start - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-    out[places] = chunk.data[source]
     out[bounds[1:] - 1] = END
 
     hashes = span_hashes(chunk.data, words.start, words.end)
@@ -84,21 +94,27 @@ def gram_keys(stream: np.ndarray, bounds: np.ndarray, depth: int = DEPTH) -> np.
 
     Before a document there are only end bytes.
     """
-    key = stream.astype(np.uint64)
-    within = np.arange(len(stream)) - np.repeat(bounds[:-1], np.diff(bounds))
-    for back in range(1, depth + 1):
-        context = np.full(len(stream), END, dtype=np.uint64)
-        context[back:] = stream[: max(len(stream) - back, 0)]
-        context[within < back] = END
-        key |= context << np.uint64(8 * (depth - back + 1))
+    padded = np.concatenate([np.full(8, END, dtype=np.uint8), stream, np.zeros(8, dtype=np.uint8)])
+    # The eight bytes before each byte as one number, the latest highest.
+    before = np.ndarray(len(stream), dtype="<u8", buffer=padded, strides=(1,)).astype(np.uint64)
+    low = np.uint64(64 - 8 * depth)
+    key = ((before >> low) << np.uint64(8)) | stream
+    for within in range(depth):
+        at = bounds[:-1] + within
+        at = at[at < bounds[1:]]
+        key[at] |= np.uint64(((1 << 8 * (depth - within)) - 1) << 8)
     return key
 
 
 class _Counts:
-    """Counts of keys seen so far by a task; yields them when they outgrow ``HOLD``."""
+    """Counts of keys seen so far by a task; yields blocks of them when they outgrow ``HOLD``.
 
-    def __init__(self, kind: int):
-        self.kind, self.keys, self.counts, self.size = kind, [], [], 0
+    Keys that are equal without their lowest ``shift`` bits are in one group.
+    """
+
+    def __init__(self, kind: int, shift: int = 0):
+        self.kind, self.shift = kind, np.uint64(shift)
+        self.keys, self.counts, self.size = [], [], 0
 
     def add(self, keys: np.ndarray, weight: int) -> Iterator[pa.RecordBatch]:
         found, times = np.unique(keys, return_counts=True)
@@ -122,14 +138,39 @@ class _Counts:
         if not self.size:
             return
         self._merge()
-        keys, counts = self.keys[0].view(np.int64), self.counts[0].astype(np.int64)
+        keys, counts = self.keys[0], self.counts[0]
         self.keys, self.counts, self.size = [], [], 0
-        for at in range(0, len(keys), 100_000):
-            part = slice(at, at + 100_000)
-            kinds = np.full(len(keys[part]), self.kind, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kinds), pa.array(keys[part]), pa.array(counts[part])], names=["kind", "key", "times"]
-            )
+        group = (mix64(keys >> self.shift) % np.uint64(TREE_GROUPS)).astype(np.uint16)
+        order = np.argsort(group, kind="stable")
+        keys, counts = keys[order], counts[order]
+        found, starts = np.unique(group[order], return_index=True)
+        parts = [slice(a, b) for a, b in zip(starts, [*starts[1:], len(keys)])]
+        columns = [
+            pa.array(np.full(len(found), self.kind, dtype=np.int32)),
+            pa.array(found.astype(np.int32)),
+            pa.array([packed(np.diff(keys[part], prepend=np.uint64(0))) for part in parts], pa.binary()),
+            pa.array([packed(counts[part].astype(np.uint64)) for part in parts], pa.binary()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["kind", "group", "keys", "times"])
+
+
+def packed(values: np.ndarray) -> bytes:
+    """64-bit values as bytes: all lowest bytes first, so that the zeros of small values lie together."""
+    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(block: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(block, dtype=np.uint8).reshape(8, -1).T).reshape(-1).view(np.uint64)
+
+
+def merged_blocks(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of a group's blocks, and the sum of their counts."""
+    keys = np.concatenate([np.cumsum(unpacked(block), dtype=np.uint64) for block in rows["keys"].to_pylist()])
+    times = np.concatenate([unpacked(block) for block in rows["times"].to_pylist()])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[starts], np.add.reduceat(times[order], starts).astype(np.int64)
 
 
 def with_fold(docs: DataFrame) -> DataFrame:
@@ -139,11 +180,15 @@ def with_fold(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), "text", F.coalesce(fold == 2, F.lit(False)).alias("held_out"))
 
 
+def _group_shift(depth: int) -> int:
+    return 8 * (depth + 1 - min(GROUP_CONTEXT, depth))
+
+
 def corpus_counts(folds: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Training counts of grams and words: kind, key, times. Grams of held-out texts alone have 0."""
+    """Blocks of training counts of grams and words: kind, group, keys, times. Grams of held-out texts alone have 0."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, words = _Counts(GRAM), _Counts(WORD)
+        grams, words = _Counts(GRAM, _group_shift(depth)), _Counts(WORD)
         for batch in batches:
             held_out = batch.column(1).to_numpy(zero_copy_only=False)
             for chunk in chunks(batch.column(0)):
@@ -157,8 +202,7 @@ def corpus_counts(folds: DataFrame, depth: int = DEPTH) -> DataFrame:
         yield from grams.flush()
         yield from words.flush()
 
-    rows = folds.select("text", "held_out").mapInArrow(gather, "kind int, key long, times long")
-    return rows.groupBy("kind", "key").agg(F.sum("times").alias("times"))
+    return folds.select("text", "held_out").mapInArrow(gather, "kind int, group int, keys binary, times binary")
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -201,16 +245,18 @@ def _bit_level(symbols: np.ndarray, counts: np.ndarray, bit: int):
 def weigh_group(
     keys: np.ndarray, times: np.ndarray, depth: int = DEPTH
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weight the subtrees of some two-byte contexts, given all grams that have them (distinct and sorted).
+    """Weight the subtrees of some three-byte contexts, given all grams that have them (distinct and sorted).
 
     Returns, for each gram, the probability of each of its eight bits as mixed from the
-    contexts of two bytes and more (NaN where none is known); and for each bit prefix of
-    the two-byte contexts a key (latest byte, then the prefix as a heap number) and its
-    weighted probability (as a logarithm).
+    contexts of three bytes and more (NaN where none is known); and for each bit prefix of
+    the three-byte contexts a key (the two latest bytes, then the prefix as a heap number)
+    and its weighted probability (as a logarithm). A model of less depth than three begins
+    at its own.
     """
     mixed = np.full((8, len(keys)), np.nan)
     below: list[tuple[np.ndarray, np.ndarray]] = []
-    for length in range(depth, 1, -1):
+    least = min(GROUP_CONTEXT, depth)
+    for length in range(depth, least - 1, -1):
         symbols = ((keys >> np.uint64(8 * (depth - length + 1))) << np.uint64(8)) | (keys & np.uint64(0xFF))
         symbols, entry = np.unique(symbols, return_inverse=True)
         counts = np.bincount(entry, weights=times).astype(np.int64)
@@ -236,28 +282,65 @@ def weigh_group(
         below = above
     node_keys, node_weights = [], []
     for bit, (ids, weighted) in enumerate(below):
-        latest = (ids >> np.uint64(bit + 8)).astype(np.int64)
+        above = (ids >> np.uint64(bit + 8)).astype(np.int64)
         heap = (1 << bit) + (ids & np.uint64((1 << bit) - 1)).astype(np.int64)
-        node_keys.append((latest << 8) | heap)
+        node_keys.append((above << 8) | heap)
         node_weights.append(weighted)
     return mixed, np.concatenate(node_keys), np.concatenate(node_weights)
 
 
 _BITS = [f"bit_{i}" for i in range(8)]
-_WEIGHTED = "is_node boolean, key long, times long, " + ", ".join(f"{name} double" for name in _BITS)
+_WEIGHTED = "kind int, key long, times long, " + ", ".join(f"{name} double" for name in _BITS)
 
 
 def _weigh_table(rows: pa.Table, depth: int) -> pa.Table:
-    rows = rows.combine_chunks()
-    keys, times = rows["key"].to_numpy().view(np.uint64), rows["times"].to_numpy()
-    order = np.argsort(keys, kind="stable")
-    keys, times = keys[order], times[order]
-    mixed, node_keys, node_weights = weigh_group(keys, times, depth)
-    is_node = np.concatenate([np.zeros(len(keys), dtype=bool), np.ones(len(node_keys), dtype=bool)])
-    columns = [is_node, np.concatenate([keys.view(np.int64), node_keys]), np.concatenate([times, np.zeros(len(node_keys), np.int64)])]
-    columns += [np.concatenate([mixed[0], node_weights])]
-    columns += [np.concatenate([mixed[bit], np.zeros(len(node_keys))]) for bit in range(1, 8)]
-    return pa.table([pa.array(c) for c in columns], names=["is_node", "key", "times", *_BITS])
+    """Words with their counts; or grams with counts and bit probabilities, and the nodes above them."""
+    kind = rows["kind"][0].as_py()
+    keys, times = merged_blocks(rows)
+    kinds = np.full(len(keys), kind, dtype=np.int32)
+    bits = np.zeros((8, len(keys)))
+    if kind == GRAM:
+        bits, node_keys, node_weights = weigh_group(keys, times, depth)
+        node_keys, entry = np.unique(node_keys, return_inverse=True)
+        node_weights = np.bincount(entry, weights=node_weights)
+        above = np.zeros((8, len(node_keys)))
+        above[0] = node_weights
+        kinds = np.concatenate([kinds, np.full(len(node_keys), NODE, dtype=np.int32)])
+        keys, times = np.concatenate([keys, node_keys.view(np.uint64)]), np.concatenate([times, np.zeros(len(node_keys), np.int64)])
+        bits = np.concatenate([bits, above], axis=1)
+    return pa.table([pa.array(c) for c in (kinds, keys.view(np.int64), times, *bits)], names=["kind", "key", "times", *_BITS])
+
+
+class SecondLevel:
+    """Estimates and weights of the two-byte contexts that occur, by context and symbol.
+
+    ``symbols`` are sorted context-and-byte keys with their counts; ``nodes`` sorted keys
+    (context, then bit prefix as a heap number) with the weights of the contexts below.
+    """
+
+    def __init__(self, symbols: np.ndarray, counts: np.ndarray, nodes: np.ndarray, weights: np.ndarray):
+        self.symbols = symbols
+        self.estimate, self.stay = np.full((8, len(symbols)), np.nan), np.zeros((8, len(symbols)))
+        self.above = np.zeros((256, 256))
+        for bit in range(8) if len(symbols) else ():
+            node, zeros, ones, ids, is_one = _bit_level(symbols, counts, bit)
+            own = log_estimate(zeros, ones)
+            context, prefix = ids >> np.uint64(bit), ids & np.uint64((1 << bit) - 1)
+            heap = (prefix + np.uint64(1 << bit)).astype(np.int64)
+            deeper = weights[np.searchsorted(nodes, (context << np.uint64(8)).astype(np.int64) | heap)]
+            weighted = weigh(own, deeper)
+            np.add.at(self.above, ((context >> np.uint64(8)).astype(np.int64), heap), weighted)
+            total, seen = (zeros + ones)[node], np.where(is_one, ones[node], zeros[node])
+            self.estimate[bit] = np.where(total > 0, (seen + 0.5) / (total + 1), np.nan)
+            self.stay[bit] = np.exp(own + LOG_HALF - weighted)[node]
+
+    def mix(self, keys: np.ndarray, bits: np.ndarray, depth: int) -> np.ndarray:
+        """``bits`` (gram by bit) of longer contexts, mixed with those of two bytes."""
+        symbol = ((keys >> np.uint64(8 * (depth - 1))) << np.uint64(8)) | (keys & np.uint64(0xFF))
+        at = np.searchsorted(self.symbols, symbol)
+        estimate, stay = self.estimate[:, at].T, self.stay[:, at].T
+        fresh = np.where(np.isnan(bits), estimate, stay * estimate + (1 - stay) * bits)
+        return np.where(np.isnan(estimate), bits, fresh)
 
 
 class TopLevels:
@@ -301,42 +384,56 @@ class TopLevels:
         return total
 
 
-def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+def top_levels(weighted: DataFrame, depth: int) -> tuple[SecondLevel | None, TopLevels]:
+    """The levels above the groups, from the symbols and nodes of the contexts right above them.
+
+    At most a row for each context of at most two bytes and symbol: bounded by the alphabet.
+    """
+    above = min(GROUP_CONTEXT, depth) - 1
+    context = F.shiftrightunsigned("key", 8 * (depth - above + 1))
+    symbol = F.shiftleft(context, 8).bitwiseOR(F.col("key").bitwiseAND(255))
+    symbols = weighted.where(F.col("kind") == GRAM).groupBy(symbol.alias("symbol")).agg(F.sum("times").alias("times"))
+    symbols = symbols.toPandas().sort_values("symbol")
+    nodes = weighted.where(F.col("kind") == NODE).groupBy("key").agg(F.sum("bit_0").alias("weighted"))
+    nodes = nodes.toPandas().sort_values("key")
+    symbol, times = symbols["symbol"].to_numpy(np.int64), symbols["times"].to_numpy(np.int64)
+    deeper, by_symbol, second = np.zeros((256, 256)), np.zeros((256, 256)), None
+    if above == 2:
+        second = SecondLevel(symbol.view(np.uint64), times, nodes["key"].to_numpy(np.int64), nodes["weighted"].to_numpy(float))
+        deeper = second.above
+        symbol = ((symbol >> 16) << 8) | (symbol & 255)
+    else:
+        key = nodes["key"].to_numpy(np.int64)
+        deeper[key >> 8, key & 255] = nodes["weighted"]
+    np.add.at(by_symbol, (symbol >> 8, symbol & 255), times)
+    return second, TopLevels(by_symbol, deeper)
+
+
+def gram_scores(weighted: DataFrame, depth: int = DEPTH) -> DataFrame:
     """log10 probability of each gram's last byte after its context: key, times, value."""
-    grams = counts.where(F.col("kind") == GRAM)
-    context = F.shiftrightunsigned("key", 8 * (depth - 1))
-    group = F.pmod(F.xxhash64(context), F.lit(TREE_GROUPS)).cast("int")
-    grouped = grams.select(group.alias("group"), "key", "times").groupBy("group")
-    weighted = stored(grouped.applyInArrow(lambda rows: _weigh_table(rows, depth), _WEIGHTED), "tree-weighted")
-    # At most 256 * 255 and 256 * 256 rows: bounded by the alphabet.
-    nodes = weighted.where("is_node").groupBy("key").agg(F.sum("bit_0").alias("weighted")).toPandas()
-    latest = F.shiftrightunsigned("key", 8 * depth).bitwiseAND(255)
-    symbols = grams.groupBy(latest.alias("latest"), F.col("key").bitwiseAND(255).alias("symbol"))
-    symbols = symbols.agg(F.sum("times").alias("times")).toPandas()
-    deeper, by_symbol = np.zeros((256, 256)), np.zeros((256, 256))
-    node = nodes["key"].to_numpy()
-    deeper[node >> 8, node & 255] = nodes["weighted"]
-    by_symbol[symbols["latest"], symbols["symbol"]] = symbols["times"]
-    top = counts.sparkSession.sparkContext.broadcast(TopLevels(by_symbol, deeper))
+    top = weighted.sparkSession.sparkContext.broadcast(top_levels(weighted, depth))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        second, top_ = top.value
         for batch in batches:
+            keys = batch.column(0).to_numpy().view(np.uint64)
             bits = np.stack([batch.column(2 + bit).to_numpy(zero_copy_only=False) for bit in range(8)], axis=1)
-            value = top.value.log10_probability(batch.column(0).to_numpy().view(np.uint64), bits, depth)
+            if second is not None:
+                bits = second.mix(keys, bits, depth)
+            value = top_.log10_probability(keys, bits, depth)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value)], names=["key", "times", "value"])
 
-    return weighted.where("NOT is_node").select("key", "times", *_BITS).mapInArrow(
-        score, "key long, times long, value double"
-    )
+    grams = weighted.where(F.col("kind") == GRAM).select("key", "times", *_BITS)
+    return grams.mapInArrow(score, "key long, times long, value double")
 
 
-def hottest(table: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and values of the most frequent entries, ``limit`` at most: a lower bound on ``times``, the least power of two that keeps them within it."""
-    bounds = [0, *(1 << k for k in range(48))]
+def hottest(table: DataFrame, limit: int) -> Lookup:
+    """Values of the most frequent keys, ``limit`` at most: those seen as often as the least bound that keeps them within it."""
+    bounds = [*range(64), *sorted({int(64 * 1.2**k) for k in range(200)})]
     sizes = table.agg(*[F.count(F.when(F.col("times") >= b, True)).alias(str(b)) for b in bounds]).first()
-    least = next((b for b in bounds if sizes[str(b)] <= limit), bounds[-1])
-    rows = table.where(F.col("times") >= least).select("key", "value").toArrow()
-    return rows["key"].to_numpy().view(np.uint64), rows["value"].to_numpy()
+    least = next((b for b in bounds if sizes[str(b)] <= limit), None)
+    rows = table.where(F.col("times") >= least if least is not None else F.lit(False)).select("key", "value").toArrow()
+    return Lookup(rows["key"].to_numpy().view(np.uint64), rows["value"].to_numpy())
 
 
 _SCAN_SCHEMA = (
@@ -347,7 +444,7 @@ _SCAN_SCHEMA = (
 
 def _scan_scores(folds: DataFrame, words: Lookup, grams: Lookup, depth: int) -> DataFrame:
     """Sums over the hot keys of each document, and its other keys."""
-    shared = folds.sparkSession.sparkContext.broadcast((words.keys, words.values, grams.keys, grams.values))
+    shared = folds.sparkSession.sparkContext.broadcast((words, grams))
 
     def cold(found: np.ndarray, keys: np.ndarray, rows: np.ndarray, count: int) -> pa.Array:
         missing = found < 0
@@ -355,8 +452,7 @@ def _scan_scores(folds: DataFrame, words: Lookup, grams: Lookup, depth: int) ->
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[missing].view(np.int64)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_keys, word_values, gram_keys_, gram_values = shared.value
-        by_word, by_gram = Lookup(word_keys, word_values), Lookup(gram_keys_, gram_values)
+        by_word, by_gram = shared.value
         for batch in batches:
             for chunk in chunks(batch.column(3)):
                 stream, bounds, tokens, token_bounds = byte_stream(chunk)
@@ -365,10 +461,10 @@ def _scan_scores(folds: DataFrame, words: Lookup, grams: Lookup, depth: int) ->
                 gram_rows = np.repeat(np.arange(chunk.rows), np.diff(bounds))
                 at_word, at_gram = by_word.find(tokens), by_gram.find(keys)
                 hot = at_word >= 0
-                base = np.bincount(token_rows[hot], weights=word_values[at_word[hot]], minlength=chunk.rows)
+                base = np.bincount(token_rows[hot], weights=by_word.values[at_word[hot]], minlength=chunk.rows)
                 known = np.bincount(token_rows[hot], minlength=chunk.rows)
                 hot = at_gram >= 0
-                score = np.bincount(gram_rows[hot], weights=gram_values[at_gram[hot]], minlength=chunk.rows)
+                score = np.bincount(gram_rows[hot], weights=by_gram.values[at_gram[hot]], minlength=chunk.rows)
                 mine = batch.slice(chunk.first_row, chunk.rows)
                 columns = [mine.column(0), mine.column(1), mine.column(2), pa.array(np.diff(token_bounds)), pa.array(np.diff(bounds)),
                            pa.array(known.astype(np.int64)), pa.array(base.astype(np.float64)), pa.array(score.astype(np.float64)),
@@ -384,13 +480,14 @@ def score_documents(
 ) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
     folds = with_fold(docs)
-    counts = stored(corpus_counts(folds, depth), "tree-counts")
-    grams = stored(gram_scores(counts, depth), "tree-grams")
-    words = counts.where(F.col("kind") == WORD).select("key", "times")
+    blocks = corpus_counts(folds, depth).groupBy("kind", "group")
+    weighted = stored(blocks.applyInArrow(lambda rows: _weigh_table(rows, depth), _WEIGHTED), "tree-weighted")
+    grams = stored(gram_scores(weighted, depth), "tree-grams")
+    words = weighted.where(F.col("kind") == WORD).select("key", "times")
     train_tokens, distinct = words.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count("*")).first()
     floor = float(train_tokens + distinct + 1)
     words = words.withColumn("value", F.log10((F.col("times") + 1) / F.lit(floor)))
-    scanned = _scan_scores(folds, Lookup(*hottest(words, hot_words)), Lookup(*hottest(grams, hot_grams)), depth)
+    scanned = _scan_scores(folds, hottest(words, hot_words), hottest(grams, hot_grams), depth)
     scanned = stored(scanned, "tree-scan")
 
     cold_words = scanned.select("row_id", F.explode("cold_words").alias("key"))
