@@ -10,8 +10,9 @@ whose ranges overlap its own.
 Neither tokenizer joins what lies on both sides of a single space between two characters
 that are no white space: A's words begin there, and no piece of B has a space behind
 another character (``PieceTable`` checks it; otherwise texts are not cut). So texts are
-cut there, each distinct piece of text is encoded and aligned once per task (as many as
-``KNOWN_SEGMENTS`` are kept), and its groups and links stand for every place it occurs.
+cut there, each distinct piece of text is encoded and aligned once per task (of more than
+``KNOWN_SEGMENTS`` the half seen most often is kept), and its groups and links stand for
+every place it occurs.
 
 Links are counted per pair of ids in each document, stored, summed in the task and then
 over the corpus. The ``HOT_PAIRS`` most frequent pairs are broadcast for the documents'
@@ -45,8 +46,9 @@ from salescast.llm.textscan import Chunk, Lookup, chunks, reduce_rows
 
 TOKENIZER_A = "/opt/tokenizers/byte_bpe_50k.json"
 TOKENIZER_B = "/opt/tokenizers/piece_bpe_32k.model"
-KNOWN_SEGMENTS = 200_000
+KNOWN_SEGMENTS = 250_000
 KNOWN_BYTES = 8_000_000
+RUN_BYTES = 65_536
 HOT_PAIRS = 1_000_000
 PENDING_PAIRS = 1_000_000
 _B_BITS = 32
@@ -70,7 +72,7 @@ def byte_of_char() -> dict[str, int]:
 
 
 class ByteTable:
-    """Tokenizer A: encodes space+text, and the bytes of each id."""
+    """Tokenizer A: encodes texts, to which it adds a space, and the bytes of each id."""
 
     def __init__(self, source: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -84,13 +86,14 @@ class ByteTable:
         for entry, i in entries.items():
             table[i] = bytes(char[c] for c in entry) if all(c in char for c in entry) else entry.encode()
         self.entries = pa.array(table, pa.large_binary())
+        self.lengths = np.array([len(entry) for entry in table])
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
 
 class PieceTable:
-    """Tokenizer B: encodes a text, to which it adds a space, and the bytes of each id."""
+    """Tokenizer B: encodes texts, to which it adds a space, and the bytes of each id."""
 
     def __init__(self, model: bytes):
         from sentencepiece import SentencePieceProcessor
@@ -102,6 +105,7 @@ class PieceTable:
             [bytes([int(p[3:-1], 16)]) if self.tokenizer.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids, pieces)],
             pa.large_binary(),
         )
+        self.lengths = pc.binary_length(self.entries).to_numpy()
         self.may_cut = not any("▁" in p.lstrip("▁") for p in pieces)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -157,6 +161,12 @@ class Aligned:
     def n_links(self) -> np.ndarray:
         return np.diff(self.bounds)
 
+    def take(self, at: np.ndarray) -> Aligned:
+        some = {n: getattr(self, n)[at] for n in ("valid", "n_a", "n_b", "n_groups")}
+        count = self.n_links[at]
+        links = self.links[_expand(self.bounds[at], count)]
+        return Aligned(bounds=_offsets(count), links=links, groups=[self.groups[i] for i in at.tolist()], **some)
+
     @classmethod
     def none(cls) -> Aligned:
         zero = np.zeros(0, np.int64)
@@ -167,13 +177,51 @@ class Aligned:
         return Aligned(bounds=np.concatenate([self.bounds, self.bounds[-1] + other.bounds[1:]]), groups=self.groups + other.groups, **both)
 
 
-def _gives_back(segments: list[bytes], ids: np.ndarray, of: np.ndarray, entries: pa.Array, lengths: np.ndarray) -> np.ndarray:
+def _may_join(segments: list[bytes]) -> np.ndarray:
+    """Whether a segment is a single space, then text that neither begins nor ends with white space."""
+    return np.array(
+        [len(s) > 1 and not _BEGINS_SPACE[s[1]] and not _ENDS_SPACE[s[-1]] and s[0] == _SPACE for s in segments], dtype=bool
+    )
+
+
+def encode_segments(segments: list[bytes], table: ByteTable | PieceTable, may_join: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all segments in order, and the segment of each.
+
+    Segments that may lie side by side are encoded in runs and told apart by where their
+    tokens end; a run whose tokens don't end with its segments is encoded one by one.
+    """
+    size = np.array([len(s) for s in segments], dtype=np.int64)
+    alone = np.flatnonzero(~may_join).tolist()
+    joined = np.flatnonzero(may_join)
+    ends = np.cumsum(size[joined])
+    runs = np.split(joined, np.flatnonzero(np.diff(ends // RUN_BYTES)) + 1) if len(joined) else []
+    texts = [b"".join([segments[i] for i in run.tolist()])[1:].decode(errors="replace") for run in runs]
+    ids, of = [], []
+    for run, found in zip(runs, table.encode(texts) if texts else []):
+        found = np.array(found, dtype=np.int64)
+        stops, wanted = np.cumsum(table.lengths[found]), np.cumsum(size[run])
+        at = np.searchsorted(stops, wanted)
+        if len(stops) and stops[-1] == wanted[-1] and (stops[at] == wanted).all():
+            ids.append(found)
+            of.append(np.repeat(run, np.diff(at, prepend=-1)))
+        else:
+            alone += run.tolist()
+    if alone:
+        found = table.encode([segments[i][1:].decode(errors="replace") for i in alone])
+        ids.append(np.array([i for f in found for i in f], dtype=np.int64))
+        of.append(np.repeat(alone, [len(f) for f in found]))
+    ids, of = np.concatenate(ids), np.concatenate(of).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    return ids[order], of[order]
+
+
+def _gives_back(segments: list[bytes], ids: np.ndarray, of: np.ndarray, table: ByteTable | PieceTable) -> np.ndarray:
     """Whether the tokens' bytes of each segment, joined, are the segment."""
     size = np.array([len(s) for s in segments], dtype=np.int64)
-    same = np.bincount(of, weights=lengths[ids], minlength=len(segments)).astype(np.int64) == size
+    same = np.bincount(of, weights=table.lengths[ids], minlength=len(segments)).astype(np.int64) == size
     wanted = np.frombuffer(b"".join(s for s, ok in zip(segments, same.tolist()) if ok), dtype=np.uint8)
     if len(wanted):
-        taken = entries.take(pa.array(ids[same[of]]))
+        taken = table.entries.take(pa.array(ids[same[of]]))
         joined = np.frombuffer(taken.buffers()[2], dtype=np.uint8)[: len(wanted)]
         differs = reduce_rows((joined != wanted).astype(np.int64), _offsets(size[same])) > 0
         same[np.flatnonzero(same)[differs]] = False
@@ -182,24 +230,19 @@ def _gives_back(segments: list[bytes], ids: np.ndarray, of: np.ndarray, entries:
 
 def align_segments(segments: list[bytes], tokenizers: Tokenizers) -> Aligned:
     """Groups and links of texts that begin with a space and stand for themselves."""
-    count = len(segments)
-    texts = [s[1:].decode(errors="replace") for s in segments]
-    ids, of, lengths = [], [], []
-    for table in (tokenizers.a, tokenizers.b):
-        found = table.encode(texts)
-        of.append(np.repeat(np.arange(count), [len(f) for f in found]))
-        ids.append(np.array([i for f in found for i in f], dtype=np.int64))
-        lengths.append(pc.binary_length(table.entries).to_numpy().astype(np.int64))
+    count, tables = len(segments), (tokenizers.a, tokenizers.b)
+    may_join = _may_join(segments) & tokenizers.b.may_cut
+    ids, of = map(list, zip(*[encode_segments(segments, table, may_join) for table in tables]))
     valid = np.ones(count, dtype=bool)
-    for side, table in enumerate((tokenizers.a, tokenizers.b)):
-        valid &= _gives_back(segments, ids[side], of[side], table.entries, lengths[side])
+    for side, table in enumerate(tables):
+        valid &= _gives_back(segments, ids[side], of[side], table)
     start, end = [], []
-    for side in (0, 1):
+    for side, table in enumerate(tables):
         keep = valid[of[side]]
         ids[side], of[side] = ids[side][keep], of[side][keep]
-        stops = np.cumsum(lengths[side][ids[side]])
-        start.append(stops - lengths[side][ids[side]])
-        end.append(stops)
+        lengths = table.lengths[ids[side]]
+        end.append(np.cumsum(lengths))
+        start.append(end[-1] - lengths)
 
     # Valid segments lie end to end, and both tokenizers cover them without a gap.
     sides = np.repeat([0, 1], [len(ids[0]), len(ids[1])])
@@ -258,25 +301,35 @@ class KnownSegments:
 
     def __init__(self, tokenizers: Tokenizers):
         self.tokenizers = tokenizers
-        self._clear()
-
-    def _clear(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.aligned, self.bytes = Aligned.none(), 0
+        self.aligned, self.seen, self.bytes = Aligned.none(), np.zeros(0, np.int64), 0
+
+    def _forget(self) -> None:
+        """Keep the half of the segments that was seen most often, if those are not long."""
+        often = np.sort(np.argsort(-self.seen, kind="stable")[: KNOWN_SEGMENTS // 2])
+        names = list(self.place)
+        kept = [names[i] for i in often.tolist()]
+        self.bytes = sum(map(len, kept))
+        if self.bytes > KNOWN_BYTES // 2:
+            often, kept, self.bytes = often[:0], [], 0
+        self.place = {name: i for i, name in enumerate(kept)}
+        self.aligned, self.seen = self.aligned.take(often), np.zeros(len(kept), np.int64)
 
     def places(self, segments: pa.Array) -> np.ndarray:
         """Place of each segment in ``aligned``, which holds at least these."""
         coded = segments.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         new = [s for s in distinct if s not in self.place]
-        if len(self.place) + len(new) > KNOWN_SEGMENTS or self.bytes > KNOWN_BYTES:
-            self._clear()
-            new = distinct
+        if self.place and (len(self.place) + len(new) > KNOWN_SEGMENTS or self.bytes > KNOWN_BYTES):
+            self._forget()
+            new = [s for s in distinct if s not in self.place]
         if new:
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
             self.aligned = self.aligned.plus(align_segments(new, self.tokenizers))
+            self.seen = np.append(self.seen, np.zeros(len(new), np.int64))
             self.bytes += sum(map(len, new))
         at = np.array([self.place[s] for s in distinct], dtype=np.int64)
+        self.seen[at] += 1
         return at[coded.indices.to_numpy()]
 
 
