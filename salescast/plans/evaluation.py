@@ -16,6 +16,7 @@ from salescast.operators.baselines import (
     level_forecast,
     multi_horizon_sum,
 )
+from salescast.operators.regression import REGRESSION, regression_forecast
 from salescast.operators.selection import is_tied
 from salescast.operators.split import first_test_rows, temporal_split, validation_split
 from salescast.schema import ALL_TARGETS, DATE, DIRECT_TARGET, KEYS, TARGETS
@@ -28,40 +29,54 @@ COMPARED = {
 }
 
 
-def baseline_tuning(split: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
-    """Validation errors of every level baseline for every target."""
-    validation = validation_split(split).where(F.col("tuning_part") == "validation")
-    candidates = [
-        compare(target, level_forecast(level, target), target=target, config_order=order, configuration=name)
-        for target in ALL_TARGETS
-        for order, (name, level) in enumerate(LEVELS.items())
-    ]
+# The forecasters chosen among without trees, in order of preference on equal error.
+CANDIDATES = (*LEVELS, REGRESSION)
+
+
+def baseline_tuning(split: DataFrame, by: Sequence[str] = KEYS, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Validation errors of every level baseline and of the series' regression, for every target.
+
+    The regression is learned from the series' rows before the validation part.
+    """
+    rows = validation_split(split, keys=keys)
+    lines = {f"_{REGRESSION}_{t}": regression_forecast(t, F.col("tuning_part") == "fit", keys) for t in ALL_TARGETS}
+    validation = rows.withColumns(lines).where(F.col("tuning_part") == "validation")
+    candidates = []
+    for target in ALL_TARGETS:
+        forecasts = [level_forecast(level, target) for level in LEVELS.values()]
+        forecasts.append(F.col(f"_{REGRESSION}_{target}"))
+        for order, (name, forecast) in enumerate(zip(CANDIDATES, forecasts)):
+            candidates.append(compare(target, forecast, target=target, config_order=order, configuration=name))
     return forecast_errors(validation, candidates, by)
 
 
 def with_chosen_baselines(panel: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Test rows forecast with each series' own best level baseline per target.
+    """Test rows forecast with each series' own best candidate per target.
 
-    One pass: the validation errors of every candidate are averages over the
-    series' partition, which the panel's rows are in already, so choosing adds
-    neither a shuffle nor a join. A series too short for validation keeps the
-    28-day mean.
+    One pass: the regressions and the validation errors of every candidate are aggregates
+    over the series' partition, which the panel's rows are in already, so choosing adds
+    neither a shuffle nor a join. A chosen regression is learned anew from the whole train
+    part. A series too short for validation keeps the 28-day mean.
     """
     rows = validation_split(temporal_split(panel, keys), keys=keys)
     series = Window.partitionBy(*keys)
     judged = F.col("tuning_part") == "validation"
     default = F.lit(list(LEVELS).index("mean_28d"))
-    errors, forecasts = {}, {}
+    lines, errors, forecasts = {}, {}, {}
     for target in ALL_TARGETS:
+        lines[f"_fit_{target}"] = regression_forecast(target, F.col("tuning_part") == "fit", keys)
+        lines[f"_train_{target}"] = regression_forecast(target, F.col("split") == "train", keys)
         levels = [level_forecast(level, target) for level in LEVELS.values()]
-        error = [F.avg(F.when(judged, F.abs(F.col(target) - level))).over(series) for level in levels]
+        candidates = [*levels, F.col(f"_fit_{target}")]
+        error = [F.avg(F.when(judged, F.abs(F.col(target) - forecast))).over(series) for forecast in candidates]
         errors[f"_error_{target}"] = F.array(*error)
         found = F.col(f"_error_{target}")
         least = F.array_min(found)
-        tied = F.filter(F.sequence(F.lit(0), F.lit(len(levels) - 1)), lambda i: is_tied(F.get(found, i), least))  # noqa: B023
-        forecasts[forecast_name(target)] = F.get(F.array(*levels), F.coalesce(F.get(tied, F.lit(0)), default))
-    test = rows.withColumns(errors).where(F.col("split") == "test")
-    return test.withColumns(forecasts).drop(*errors, "tuning_part", "tuning_status")
+        tied = F.filter(F.sequence(F.lit(0), F.lit(len(candidates) - 1)), lambda i: is_tied(F.get(found, i), least))  # noqa: B023
+        choice = F.coalesce(F.get(tied, F.lit(0)), default)
+        forecasts[forecast_name(target)] = F.get(F.array(*levels, F.col(f"_train_{target}")), choice)
+    test = rows.withColumns(lines).withColumns(errors).where(F.col("split") == "test")
+    return test.withColumns(forecasts).drop(*lines, *errors, "tuning_part", "tuning_status")
 
 
 def with_totals(test: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ featured AS (
 )"""
 
 PANEL = f"""{FEATURED},
-panel AS (SELECT * FROM featured WHERE quantity_lag_28 IS NOT NULL AND target_7d IS NOT NULL)"""
+panel AS MATERIALIZED (SELECT * FROM featured WHERE quantity_lag_28 IS NOT NULL AND target_7d IS NOT NULL)"""
 
 SPLIT = f"""{PANEL},
 numbered AS (
@@ -135,7 +135,7 @@ parts AS (
     FROM numbered
 ),
 tuning_sizes AS (SELECT *, GREATEST(60, train_rows // 5) AS validation_rows FROM parts),
-split AS (
+split AS MATERIALIZED (
     SELECT *, CASE WHEN train_rows >= 68 THEN 'ok' ELSE 'insufficient_history' END AS tuning_status,
            CASE WHEN train_rows < 68 OR split <> 'train' THEN NULL
                 WHEN position < train_rows - validation_rows - 7 THEN 'fit'
@@ -156,11 +156,27 @@ def _forecast(column: str, target: str) -> str:
     return f"{column} * 7" if target == DIRECT_TARGET else column
 
 
+def _lines(name: str, rows: str) -> str:
+    """Each series' regression of the targets on the 28-day mean times seven."""
+    x = "quantity_mean_28d * 7"
+    parts = ", ".join(
+        f"REGR_SLOPE({t}, {x}) AS slope_{t}, REGR_INTERCEPT({t}, {x}) AS intercept_{t}, AVG({t}) AS mean_{t}"
+        for t in ALL_TARGETS
+    )
+    return f"{name} AS (SELECT {ID}, {parts} FROM split WHERE {rows} GROUP BY {ID})"
+
+
+def _on_line(name: str, target: str) -> str:
+    line = f"{name}.intercept_{target} + {name}.slope_{target} * quantity_mean_28d * 7"
+    return f"COALESCE({line}, {name}.mean_{target})"
+
+
 _CANDIDATES = ", ".join(
-    f"{{'target': '{target}', 'config_order': {order}, 'configuration': '{name}', "
-    f"'y': {target}, 'p': {_forecast(column, target)}}}"
+    f"{{'target': '{target}', 'config_order': {order}, 'configuration': '{name}', 'y': {target}, 'p': {forecast}}}"
     for target in ALL_TARGETS
-    for order, (name, column) in enumerate(LEVELS)
+    for order, (name, forecast) in enumerate(
+        [*[(name, _forecast(column, target)) for name, column in LEVELS], ("regression", _on_line("fit_lines", target))]
+    )
 )
 
 ERRORS = """COUNT(*) AS rows, AVG(ABS(y - p)) AS MAE, SQRT(AVG((y - p) * (y - p))) AS RMSE,
@@ -170,8 +186,10 @@ ERRORS = """COUNT(*) AS rows, AVG(ABS(y - p)) AS MAE, SQRT(AVG((y - p) * (y - p)
 SHOWN_ERRORS = f"rows, {r('MAE')} AS MAE, {r('RMSE')} AS RMSE, {r('R2')} AS R2"
 
 CANDIDATES = f"""{SPLIT},
+{_lines("fit_lines", "tuning_part = 'fit'")},
 candidates AS (
-    SELECT {ID}, UNNEST([{_CANDIDATES}], recursive := true) FROM split WHERE tuning_part = 'validation'
+    SELECT {ID}, UNNEST([{_CANDIDATES}], recursive := true)
+    FROM split LEFT JOIN fit_lines USING ({ID}) WHERE tuning_part = 'validation'
 )"""
 
 TUNING = f"""{CANDIDATES},
@@ -194,14 +212,15 @@ def _picked(target: str) -> str:
     branches = " ".join(
         f"WHEN {order} THEN {_forecast(column, target)}" for order, (_, column) in enumerate(LEVELS)
     )
-    return f"CASE COALESCE(pick_{target}, 2) {branches} END AS forecast_{target}"
+    return f"CASE COALESCE(pick_{target}, 2) {branches} ELSE {_on_line('lines', target)} END AS forecast_{target}"
 
 
 CHOSEN = f"""{BEST},
 picks AS (SELECT {ID}, {_PICK} FROM best GROUP BY {ID}),
-forecast AS (
+{_lines("lines", "split = 'train'")},
+forecast AS MATERIALIZED (
     SELECT split.*, {', '.join(_picked(t) for t in ALL_TARGETS)}
-    FROM split LEFT JOIN picks USING ({ID}) WHERE split = 'test'
+    FROM split LEFT JOIN picks USING ({ID}) LEFT JOIN lines USING ({ID}) WHERE split = 'test'
 ),
 chosen AS (
     SELECT *, {' + '.join(f'forecast_{t}' for t in TARGETS)} AS forecast_multi,
@@ -436,6 +455,16 @@ def oracle_sql() -> dict[str, str]:
             "WHERE MAE <= least + abs(least) * 1e-9 "
             "QUALIFY ROW_NUMBER() OVER (PARTITION BY target ORDER BY config_order) = 1",
         ),
+        "series_regression": _with(
+            f"""{SPLIT}, {_lines("lines", "split = 'train'")}""",
+            " UNION ALL ".join(
+                f"""SELECT {ID}, '{t}' AS target, rows, slope_{t} IS NULL AS is_mean,
+                    {r(f"COALESCE(slope_{t}, 0 * mean_{t})")} AS slope, {r(f"COALESCE(intercept_{t}, mean_{t})")} AS intercept
+                FROM (SELECT {ID}, COUNT(*) FILTER (split = 'train') AS rows FROM split GROUP BY {ID})
+                LEFT JOIN lines USING ({ID})"""
+                for t in ALL_TARGETS
+            ),
+        ),
         "chosen_horizon_metrics": _with(
             f"""{CHOSEN},
             horizons AS (SELECT UNNEST([{_HORIZONS}], recursive := true) FROM chosen),

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from salescast.functions.calendar import calendar_columns, holidays_of_years, with_holiday_flag
 from salescast.functions.metrics import compare, forecast_errors
 from salescast.functions.numeric import to_numbers
-from salescast.operators import baselines, daily, features, quality, split
+from salescast.operators import baselines, daily, features, quality, regression, split
 from salescast.operators.selection import best_configuration
 from salescast.plans import configurations, evaluation, jobs, panel, scoring, training
 from salescast.schema import (
@@ -270,6 +270,12 @@ def config_selection_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(best_configuration(tuning), ERRORS)
 
 
+def series_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line of every series and target, learned from its train part."""
+    lines = regression.series_regressions(_split(spark, sf_dir), F.col("split") == "train")
+    return rounded_all(lines, ["slope", "intercept"])
+
+
 def chosen_horizon_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = evaluation.horizon_metrics(_chosen(spark, sf_dir))
     return rounded_all(table, [name for name in table.columns if name != "horizon"])
@@ -543,6 +549,7 @@ def queries() -> dict[str, Query]:
         "tuning_by_series": tuning_by_series,
         "config_selection": config_selection,
         "config_selection_pooled": config_selection_pooled,
+        "series_regression": series_regression,
         "chosen_horizon_metrics": chosen_horizon_metrics,
         "multi_horizon_sum": multi_horizon_sum,
         "model_comparison": model_comparison,
