@@ -130,9 +130,9 @@ def _damped(count):
 def _counted(notice: str):
     """The distinct terms of a notice's sorted terms in ``notice``, each with 1 + ln(count), in one pass."""
     first = F.filter(F.sequence(F.lit(0), F.size(notice) - 1), lambda i: (i == 0) | (F.get(notice, i) != F.get(notice, i - 1)))
-    bounds = F.concat(first, F.array(F.size(notice)))
-    term = lambda at, n: F.struct(F.get(notice, at).alias("term"), _damped(F.get(bounds, n + 1) - at).alias("tf"))
-    return F.transform(first, term)
+    after = F.concat(F.slice(first, F.lit(2), F.size(notice)), F.array(F.size(notice)))
+    # What a lambda refers to is evaluated for each element: only the row's array may be.
+    return F.zip_with(first, after, lambda at, end: F.struct(F.get(notice, at).alias("term"), _damped(end - at).alias("tf")))
 
 
 def _templates(templates: Mapping[str, str], texts: Iterable[tuple[str, str]]) -> list[tuple]:
