@@ -42,6 +42,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     forecast.add_argument("--request-keys", nargs="+", default=list(REQUEST_KEYS), help="in the order of the run's keys")
     forecast.add_argument("--out", required=True)
     forecast.add_argument("--as-of", choices=["last", "labelled"], default="last")
+    forecast.add_argument("--publish-day", help="write the answers as this day's partition of --out, beside other days")
     return parser.parse_args(argv)
 
 
@@ -76,7 +77,9 @@ def main(argv: list[str] | None = None) -> None:
         types = run_settings(spark, options.root, options.run_id).key_types
         schema = T.StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in zip(options.request_keys, types)))
         requests = read_requests(spark, options.requests, schema=schema)
-        run_forecast(sales, requests, options.root, options.run_id, options.out, options.request_keys, options.as_of)
+        run_forecast(
+            sales, requests, options.root, options.run_id, options.out, options.request_keys, options.as_of, options.publish_day
+        )
 
 
 if __name__ == "__main__":

@@ -111,6 +111,12 @@ def run_forecast(
     path: str,
     request_keys: Sequence[str] = REQUEST_KEYS,
     as_of: str = "last",
+    publish_day: str | None = None,
 ) -> None:
-    """Answer every request with a stored run's models and write the answers as JSON."""
-    write_forecasts(forecasts_of_run(sales, requests, root, run_id, request_keys, as_of), path)
+    """Answer every request with a stored run's models and write the answers as JSON.
+
+    With ``publish_day`` they become that day's partition of ``path``, and the answers of
+    other days stay; a rerun replaces its own day.
+    """
+    answers = forecasts_of_run(sales, requests, root, run_id, request_keys, as_of)
+    write_forecasts(answers, path, as_of=publish_day)

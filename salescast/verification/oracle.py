@@ -346,6 +346,14 @@ def _describe(target: str) -> str:
     )
 
 
+def _describe_pooled(target: str) -> str:
+    return (
+        f"SELECT '{target}' AS \"column\", COUNT({target}) AS count, {r(f'AVG({target})')} AS mean, "
+        f"{r(f'STDDEV_SAMP({target})')} AS std, MIN({target}) AS min, quantile_cont({target}, 0.25) AS p25, "
+        f"quantile_cont({target}, 0.5) AS p50, quantile_cont({target}, 0.75) AS p75, MAX({target}) AS max FROM panel"
+    )
+
+
 def _nulls(name: str) -> str:
     return (
         f"SELECT {ID}, COUNT(*) AS rows, '{name}' AS \"column\", COUNT(*) - COUNT({name}) AS nulls "
@@ -392,6 +400,7 @@ def oracle_sql() -> dict[str, str]:
             FEATURED, f"SELECT {ROW}, {_columns(RATIO_FEATURES)} FROM featured WHERE quantity_lag_28 IS NOT NULL"
         ),
         "training_panel": _with(PANEL, f"SELECT {PANEL_COLUMNS} FROM panel"),
+        "stored_panel": _with(PANEL, f"SELECT {PANEL_COLUMNS} FROM panel"),
         "series_panel": _with(PANEL, f"SELECT {PANEL_COLUMNS} FROM panel WHERE {only}"),
         "feature_matrix": _with(PANEL, f"SELECT {ROW}, {_columns(FEATURES)} FROM panel"),
         "target_matrix": _with(PANEL, f"SELECT {ROW}, {', '.join(ALL_TARGETS)} FROM panel"),
@@ -425,6 +434,7 @@ def oracle_sql() -> dict[str, str]:
             f"MAX(transactionDate) AS last_date FROM split GROUP BY {ID}, split",
         ),
         "target_describe": _with(PANEL, " UNION ALL ".join(_describe(t) for t in ALL_TARGETS)),
+        "target_describe_pooled": _with(PANEL, " UNION ALL ".join(_describe_pooled(t) for t in ALL_TARGETS)),
         "null_counts": _with(PANEL, " UNION ALL ".join(_nulls(n) for n in [*FEATURES, *ALL_TARGETS])),
         "panel_head_tail": _with(
             SPLIT,
@@ -512,6 +522,19 @@ def oracle_sql() -> dict[str, str]:
         "latest_features": _with(_latest(0), f"SELECT {ROW}, {_columns(FEATURES)} FROM scored"),
         "latest_features_labelled": _with(_latest(7), f"SELECT {ROW}, {_columns(FEATURES)} FROM scored"),
         "predict_baseline": _with(_latest(0), f"SELECT {ID}, {_FLAT}, 'ok' AS status FROM scored"),
+        "published_forecasts": _with(
+            f"""{FEATURED}, placed AS (
+                SELECT featured.*, max_date - transactionDate AS back FROM featured JOIN bounds USING ({ID})
+            )""",
+            " UNION ALL ".join(
+                f"""SELECT known.{UNIT}, known.{ITEM}, '{day}' AS as_of, {_FLAT},
+                    CASE WHEN quantity_mean_28d IS NULL THEN 'insufficient_history' ELSE 'ok' END AS status
+                FROM (SELECT {ID} FROM bounds) AS known LEFT JOIN placed
+                  ON known.{UNIT} = placed.{UNIT} AND known.{ITEM} = placed.{ITEM} AND back = {back}
+                 AND quantity_lag_28 IS NOT NULL"""
+                for day, back in (("first", 0), ("second", 7))
+            ),
+        ),
         "predict_requests": _with(_ANSWERS, f"SELECT operational_unit_id, item_id, {_FLAT}, status FROM answers"),
         "predict_json": _with(
             _ANSWERS,

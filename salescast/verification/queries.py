@@ -203,6 +203,16 @@ def baseline_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select(*KEYS, DATE, BASELINE_FEATURE))
 
 
+STORED_BUCKETS = 16
+
+
+def stored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel from a daily table that is bucketed by series and sorted by day."""
+    name = f"daily_{uuid4().hex}"
+    tables.store_daily(_daily(spark, sf_dir), name, STORED_BUCKETS, path=f"{shared_dir(spark)}/{name}")
+    return rounded(tables.stored_panel(spark, name))
+
+
 # Splits and data quality
 
 
@@ -234,6 +244,10 @@ def target_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded_all(quality.describe_columns(_panel(spark, sf_dir)), ["mean", "std"])
 
 
+def target_describe_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded_all(quality.describe_pooled(_panel(spark, sf_dir)), ["mean", "std"])
+
+
 def null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.null_counts(_panel(spark, sf_dir))
 
@@ -369,6 +383,21 @@ def predict_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.to_json_rows(shown)
 
 
+def published_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two days' answers in one folder: the first day's written, the second's, and the first's again.
+
+    The first run of the first day has only the series of one unit; the rerun replaces it.
+    """
+    path = f"{shared_dir(spark)}/published-{uuid4().hex}"
+    sold = _daily(spark, sf_dir)
+    last = _flat(scoring.baseline_batch(sold))
+    labelled = _flat(scoring.baseline_batch(sold, as_of="labelled"))
+    tables.write_forecasts(last.where(F.col(KEYS[0]) == ONE_SERIES[KEYS[0]]), path, "parquet", as_of="first")
+    tables.write_forecasts(labelled, path, "parquet", as_of="second")
+    tables.write_forecasts(last, path, "parquet", as_of="first")
+    return spark.read.parquet(path)
+
+
 # Boosted trees
 
 # The six configurations with two trees each, to keep a check short: depth, step, bins and
@@ -532,6 +561,7 @@ def queries() -> dict[str, Query]:
         "holiday_flag": holiday_flag,
         "ratio_features": ratio_features,
         "training_panel": training_panel,
+        "stored_panel": stored_panel,
         "series_panel": series_panel,
         "feature_matrix": feature_matrix,
         "target_matrix": target_matrix,
@@ -542,6 +572,7 @@ def queries() -> dict[str, Query]:
         "validation_split": validation_split,
         "split_summary": split_summary,
         "target_describe": target_describe,
+        "target_describe_pooled": target_describe_pooled,
         "null_counts": null_counts,
         "panel_head_tail": panel_head_tail,
         "baseline_forecasts": baseline_forecasts,
@@ -560,6 +591,7 @@ def queries() -> dict[str, Query]:
         "latest_features": latest_features,
         "latest_features_labelled": latest_features_labelled,
         "predict_baseline": predict_baseline,
+        "published_forecasts": published_forecasts,
         "predict_requests": predict_requests,
         "predict_json": predict_json,
         "gbt_stump_forecast": gbt_stump_forecast,
