@@ -45,8 +45,8 @@ DEPTH = 6
 END = 0xFF
 SPACE = 0x20
 END_TOKEN = np.uint64(0x1D8AF066E5F3A2B7)
-HOT_GRAMS = 2_000_000
-HOT_WORDS = 1_000_000
+HOT_GRAMS = 1_000_000
+HOT_WORDS = 500_000
 HOLD = 2_000_000
 TREE_GROUPS = 1024
 GROUP_CONTEXT = 3
