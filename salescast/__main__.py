@@ -1,4 +1,4 @@
-"""Command line: ``spark-submit`` or ``python -m salescast train|forecast|info``."""
+"""Command line: ``spark-submit`` or ``python -m salescast train|forecast|info|runs``."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from salescast.plans.configurations import CONFIGURATIONS, Configuration
 from salescast.plans.jobs import run_forecast, run_training
 from salescast.schema import AMOUNT, DATE, HISTORY_START, KEYS, TIME_ZONE
-from salescast.sources.registry import model_info, run_settings
+from salescast.sources.registry import model_info, run_catalogue, run_settings
 from salescast.sources.tables import REQUEST_KEYS, read_requests, read_sales
 
 
@@ -22,8 +22,10 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     train = commands.add_parser("train", help="tune, fit, evaluate and store the models")
     forecast = commands.add_parser("forecast", help="answer requests with a stored run")
     info = commands.add_parser("info", help="describe a stored run")
-    for command in (train, forecast, info):
+    runs = commands.add_parser("runs", help="list the runs, complete or not")
+    for command in (train, forecast, info, runs):
         command.add_argument("--root", required=True, help="folder of the stored runs")
+    for command in (train, forecast, info):
         command.add_argument("--run-id", required=True)
     for command in (train, forecast):
         command.add_argument("--sales", required=True, help="path of the transaction table")
@@ -38,6 +40,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     train.add_argument("--parallelism", type=int, default=4, help="fits running at a time")
     train.add_argument("--partitions", type=int, help="tasks that fill and window the series")
     train.add_argument("--cutoff", help="last train date of every series, instead of 80 %% of the days")
+    train.add_argument("--by-series", action="store_true", help="let each series take its own best configuration")
     forecast.add_argument("--requests", required=True, help="JSON lines with the request keys")
     forecast.add_argument("--request-keys", nargs="+", default=list(REQUEST_KEYS), help="in the order of the run's keys")
     forecast.add_argument("--out", required=True)
@@ -49,6 +52,10 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
 def main(argv: list[str] | None = None) -> None:
     options = arguments(argv)
     spark = SparkSession.builder.appName("salescast").getOrCreate()
+    if options.command == "runs":
+        for line in run_catalogue(spark, options.root).orderBy("started").toJSON().collect():
+            print(line)
+        return
     if options.command == "info":
         for line in model_info(spark, options.root, options.run_id).toJSON().collect():
             print(line)
@@ -72,6 +79,7 @@ def main(argv: list[str] | None = None) -> None:
             options.parallelism,
             options.cutoff,
             options.partitions,
+            options.by_series,
         )
     else:
         types = run_settings(spark, options.root, options.run_id).key_types

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -49,7 +49,11 @@ def common_cutoff(panel: DataFrame) -> str | None:
 
     For a single series it is the last of the first 80 % of its rows. None for an empty panel.
     """
-    first, last = panel.agg(F.min(DATE), F.max(DATE)).first()
+    return cutoff_of_days(*panel.agg(F.min(DATE), F.max(DATE)).first())
+
+
+def cutoff_of_days(first: datetime.date | None, last: datetime.date | None) -> str | None:
+    """Where 80 % of the days from ``first`` to ``last`` end."""
     if first is None:
         return None
     days = (last - first).days + 1
@@ -58,12 +62,34 @@ def common_cutoff(panel: DataFrame) -> str | None:
 
 def common_validation_start(panel: DataFrame, cutoff: str) -> str:
     """First validation date for all series: the last 20 % of the days up to ``cutoff``, at least 60."""
-    first = panel.agg(F.min(DATE)).first()[0]
+    return validation_start_of_days(panel.agg(F.min(DATE)).first()[0], cutoff)
+
+
+def validation_start_of_days(first: datetime.date, cutoff: str) -> str:
     end = datetime.date.fromisoformat(cutoff)
     days = (end - first).days + 1
     return (end - datetime.timedelta(days=max(MIN_VALIDATION_ROWS, days // 5) - 1)).isoformat()
 
 
+def stage(split: Column, tuning_part: Column) -> Column:
+    """What a row is for: a part of the split, and in the train part that of the tuning."""
+    return F.concat_ws("_", split, F.when(split == "train", F.coalesce(tuning_part, F.lit("short"))))
+
+
+def dated_split(cutoff: str) -> Column:
+    """The part a row is in when all train parts end on ``cutoff``."""
+    date, end = F.col(DATE), F.lit(cutoff).cast("date")
+    return F.when(date <= end, "train").when(date <= F.date_add(end, GAP_DAYS), "gap").otherwise("test")
+
+
+def dated_stage(first: Column, cutoff: str, start: str) -> Column:
+    """The ``stage`` of a row under common dates, from its date and its series' first date alone."""
+    date, day = F.col(DATE), F.lit(start).cast("date")
+    fit_before = F.date_sub(day, GAP_DAYS)
+    part = F.when(date < fit_before, "fit").when(date < day, "gap").otherwise("validation")
+    return stage(dated_split(cutoff), F.when((first < fit_before) & (first <= F.lit(cutoff).cast("date")), part))
+
+
 def validation_split(split: DataFrame, start: str | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
     """Divide each train part: ``fit``, ``gap``, then ``validation`` (its last 20 %, at least 60 rows).
 

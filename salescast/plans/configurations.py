@@ -49,11 +49,29 @@ def tree_depth(configuration: Configuration) -> int:
     return min(depth, configuration.max_depth) if configuration.max_depth > 0 else depth
 
 
-def regressor(configuration: Configuration, label: str) -> GBTRegressor:
+# Share of the target's variance that a split must remove for each unit of penalty.
+PENALTY_SHARE = 0.001
+
+
+def penalty_share(configuration: Configuration) -> float:
+    return round(PENALTY_SHARE * (configuration.reg_alpha + configuration.reg_lambda), 12)
+
+
+def least_gain(configuration: Configuration, variance: float | None) -> float:
+    """The gain below which a split is refused, in place of the L1 and L2 penalties.
+
+    Spark's trees have no penalty on leaf values. What the penalties are for, no leaf of its own
+    for a difference that hardly matters, a threshold on the gain does too: the penalties'
+    sum times ``PENALTY_SHARE`` of the variance of the target on the rows of the fit.
+    """
+    return penalty_share(configuration) * (variance or 0.0)
+
+
+def regressor(configuration: Configuration, label: str, variance: float | None = None) -> GBTRegressor:
     """Gradient-boosted trees on squared loss, exactly as configured.
 
-    L1 and L2 penalties have no counterpart and are only recorded. Row
-    subsampling is off: the grid names a fraction but no resampling interval.
+    L1 and L2 penalties become a threshold on the gain (``least_gain``), given the
+    target's variance. Row subsampling is off: the grid names a fraction but no resampling interval.
     The running predictions are checkpointed every ten trees, which keeps the
     lineage short and lets a fit survive lost executors. The memory for split
     statistics is set so that a level of a tree is one pass over the rows.
@@ -68,6 +86,7 @@ def regressor(configuration: Configuration, label: str) -> GBTRegressor:
         maxDepth=tree_depth(configuration),
         maxBins=configuration.max_bins,
         minInstancesPerNode=configuration.min_child_samples,
+        minInfoGain=least_gain(configuration, variance),
         featureSubsetStrategy=str(configuration.colsample_bytree),
         subsamplingRate=1.0,
         checkpointInterval=10,
@@ -77,13 +96,14 @@ def regressor(configuration: Configuration, label: str) -> GBTRegressor:
 
 
 def with_configurations(df: DataFrame, configurations: Sequence[Configuration] = CONFIGURATIONS) -> DataFrame:
-    """Every row of ``df`` once per configuration, with the tree depth it leads to."""
+    """Every row of ``df`` once per configuration, with the tree depth and the gain threshold it leads to."""
     rows = [
         F.struct(
             F.lit(order).alias("config_order"),
             F.lit(c.name).alias("configuration"),
             *[F.lit(value).alias(field) for field, value in asdict(c).items() if field != "name"],
             F.lit(tree_depth(c)).alias("tree_depth"),
+            F.lit(penalty_share(c)).alias("penalty_share"),
         )
         for order, c in enumerate(configurations)
     ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
@@ -140,6 +140,22 @@ def to_json_rows(answers: DataFrame) -> DataFrame:
     return answers.select(F.to_json(F.struct(*answers.columns), options).alias("response"))
 
 
+def answers_of_models(
+    scan: DataFrame,
+    requests: DataFrame,
+    forecast: Callable[[DataFrame], DataFrame],
+    keys: Sequence[str] = KEYS,
+    request_keys: Sequence[str] = REQUEST_KEYS,
+    as_of: str = "last",
+    holidays: DataFrame | None = None,
+) -> DataFrame:
+    """Answers to every request by ``forecast``, which adds every target's forecast to scoring rows."""
+    wanted = requests.withColumnsRenamed(dict(zip(request_keys, keys)))
+    rows = scoring_rows(requested_daily(scan, wanted, keys), keys, as_of, holidays, spread=False)
+    forecasts = forecast(to_numbers(rows, FEATURES))
+    return answer_requests(requests, forecast_response(forecasts, keys), keys, request_keys)
+
+
 def predict_batch(
     scan: DataFrame,
     requests: DataFrame,
@@ -151,7 +167,8 @@ def predict_batch(
     holidays: DataFrame | None = None,
 ) -> DataFrame:
     """The models' forecasts for every request, from the sales in ``scan``."""
-    wanted = requests.withColumnsRenamed(dict(zip(request_keys, keys)))
-    rows = scoring_rows(requested_daily(scan, wanted, keys), keys, as_of, holidays, spread=False)
-    forecasts = forecast_all(to_numbers(rows, FEATURES), models, features)
-    return answer_requests(requests, forecast_response(forecasts, keys), keys, request_keys)
+
+    def forecast(rows: DataFrame) -> DataFrame:
+        return forecast_all(rows, models, features)
+
+    return answers_of_models(scan, requests, forecast, keys, request_keys, as_of, holidays)

@@ -8,13 +8,13 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 from pyspark import inheritable_thread_target
-from pyspark.errors import AnalysisException
 from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salescast.plans.configurations import CONFIGURATIONS, PARAMETERS, Configuration
 from salescast.plans.training import MODEL_FEATURES, TrainedRun, vector_names
+from salescast.sources.ledger import read_if_there
 from salescast.schema import (
     AMOUNT,
     BASELINE_FEATURE,
@@ -28,12 +28,14 @@ from salescast.schema import (
 
 _KINDS = {"int": "int", "float": "double"}
 # What a configuration names, and what its fitted model holds.
-EFFECTIVE = ["trees", "step_size", "tree_depth", "bins", "nodes"]
+EFFECTIVE = ["trees", "step_size", "tree_depth", "bins", "nodes", "min_info_gain", "target_variance"]
 CHOICE_SCHEMA = (
     "target string, target_order int, is_direct boolean, configuration string, "
     + ", ".join(f"{name} {_KINDS[Configuration.__annotations__[name]]}" for name in PARAMETERS)
-    + ", trees int, step_size double, tree_depth int, bins int, nodes int"
+    + ", trees int, step_size double, tree_depth int, bins int, nodes int, min_info_gain double, target_variance double"
 )
+INFO_SCHEMA = "gap_days int, direct_target string, direct_baseline_feature string, settings string"
+STARTED_SCHEMA = "settings string, started timestamp"
 
 
 @dataclass(frozen=True)
@@ -50,6 +52,8 @@ class Settings:
     cutoff: str | None = None
     validation_start: str | None = None
     status: str = "ok"
+    # Whether each series has its own choice of models.
+    by_series: bool = False
 
 
 # Models read or written at a time.
@@ -60,18 +64,17 @@ def _model(root: str, target: str, run_id: str) -> str:
     return f"{root}/models/{run_id}/{target}"
 
 
+def _routed_model(root: str, target: str, configuration: str, run_id: str) -> str:
+    return f"{root}/routed_models/{run_id}/{target}/{configuration}"
+
+
 def _table(root: str, name: str, run_id: str) -> str:
     return f"{root}/{name}/run_id={run_id}"
 
 
 def is_complete(spark: SparkSession, root: str, run_id: str) -> bool:
     """Whether the run's ``info``, which is written last, is there."""
-    try:
-        return not spark.read.parquet(_table(root, "info", run_id)).isEmpty()
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return False
+    return not read_if_there(spark, _table(root, "info", run_id), INFO_SCHEMA).isEmpty()
 
 
 def refuse_existing(spark: SparkSession, root: str, run_id: str) -> None:
@@ -79,6 +82,14 @@ def refuse_existing(spark: SparkSession, root: str, run_id: str) -> None:
         raise ValueError(f"run {run_id} is stored already")
 
 
+def start_run(spark: SparkSession, root: str, run_id: str, settings: Settings) -> None:
+    """Note that a run has begun. Only one that also has its ``info`` is complete."""
+    refuse_existing(spark, root, run_id)
+    started = spark.sql("SELECT current_timestamp()").first()[0]
+    rows = spark.createDataFrame([(json.dumps(asdict(settings)), started)], STARTED_SCHEMA)
+    rows.coalesce(1).write.mode("overwrite").parquet(_table(root, "started", run_id))
+
+
 def save_run(
     run: TrainedRun,
     reports: Mapping[str, DataFrame],
@@ -88,6 +99,8 @@ def save_run(
     features: Sequence[str] = MODEL_FEATURES,
     configurations: Sequence[Configuration] = CONFIGURATIONS,
     holidays: DataFrame | None = None,
+    routes: DataFrame | None = None,
+    routed: Mapping[tuple[str, str], GBTRegressionModel] | None = None,
 ) -> None:
     """Write the models, what was chosen, how the panel was made, and the reports.
 
@@ -97,16 +110,22 @@ def save_run(
     spark = run.tuning.sparkSession
     refuse_existing(spark, root, run_id)
 
-    def save(target: str) -> None:
-        run.models[target].write().overwrite().save(_model(root, target, run_id))
+    folders = {_model(root, target, run_id): model for target, model in run.models.items()}
+    folders |= {_routed_model(root, *name, run_id): model for name, model in (routed or {}).items()}
+
+    def save(folder: str) -> None:
+        folders[folder].write().overwrite().save(folder)
 
     with ThreadPoolExecutor(PARALLELISM) as pool:
-        list(pool.map(inheritable_thread_target(spark)(save), run.models))
+        list(pool.map(inheritable_thread_target(spark)(save), folders))
     by_name = {c.name: asdict(c) for c in configurations}
     choices = []
     for order, (target, model) in enumerate(run.models.items()):
         chosen = by_name[run.best[target]]
-        held = model.getNumTrees, model.getStepSize(), model.getMaxDepth(), model.getMaxBins(), model.totalNumNodes
+        held = (
+            *(model.getNumTrees, model.getStepSize(), model.getMaxDepth(), model.getMaxBins(), model.totalNumNodes),
+            *(model.getMinInfoGain(), run.variances[target]),
+        )
         nominal = [chosen[name] for name in PARAMETERS]
         choices.append((target, order, target == DIRECT_TARGET, chosen["name"], *nominal, *held))
     small = {
@@ -118,9 +137,10 @@ def save_run(
         small["importance"] = feature_importance(spark, run.models[DIRECT_TARGET], features)
     if holidays is not None:
         small["holidays"] = holidays.select("holiday_date")
+    if routes is not None:
+        small["routes"] = routes
     info = (GAP_DAYS, DIRECT_TARGET, BASELINE_FEATURE, json.dumps(asdict(settings)))
-    info_schema = "gap_days int, direct_target string, direct_baseline_feature string, settings string"
-    for name, table in {**small, **reports, "info": spark.createDataFrame([info], info_schema)}.items():
+    for name, table in {**small, **reports, "info": spark.createDataFrame([info], INFO_SCHEMA)}.items():
         table.write.mode("overwrite").parquet(_table(root, name, run_id))
 
 
@@ -129,15 +149,16 @@ def read_table(spark: SparkSession, root: str, name: str, run_id: str) -> DataFr
 
 
 def run_settings(spark: SparkSession, root: str, run_id: str) -> Settings:
-    if not is_complete(spark, root, run_id):
+    rows = read_if_there(spark, _table(root, "info", run_id), INFO_SCHEMA).collect()
+    if not rows:
         raise ValueError(f"run {run_id} is not complete")
-    stored = json.loads(read_table(spark, root, "info", run_id).first()["settings"])
+    stored = json.loads(rows[0]["settings"])
     return Settings(**{k: tuple(v) if isinstance(v, list) else v for k, v in stored.items()})
 
 
-def run_holidays(spark: SparkSession, root: str, run_id: str) -> DataFrame | None:
+def run_holidays(spark: SparkSession, root: str, run_id: str, settings: Settings | None = None) -> DataFrame | None:
     """The caller's holiday table the run was trained with, if it had one."""
-    if not run_settings(spark, root, run_id).own_holidays:
+    if not (settings or run_settings(spark, root, run_id)).own_holidays:
         return None
     return read_table(spark, root, "holidays", run_id).select("holiday_date")
 
@@ -147,17 +168,56 @@ def model_features(spark: SparkSession, root: str, run_id: str) -> list[str]:
     return [row["feature"] for row in read_table(spark, root, "features", run_id).orderBy("feature_order").collect()]
 
 
-def load_models(spark: SparkSession, root: str, run_id: str) -> dict[str, GBTRegressionModel]:
+def _load(spark: SparkSession, folders: Sequence[str]) -> list[GBTRegressionModel]:
+    with ThreadPoolExecutor(PARALLELISM) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(GBTRegressionModel.load), folders))
+
+
+def load_models(
+    spark: SparkSession, root: str, run_id: str, settings: Settings | None = None
+) -> dict[str, GBTRegressionModel]:
     """The models of a complete run, by target."""
-    run_settings(spark, root, run_id)
+    if settings is None:
+        run_settings(spark, root, run_id)
     choices = read_table(spark, root, "choices", run_id).orderBy("target_order").collect()
     targets = [row["target"] for row in choices]
+    return dict(zip(targets, _load(spark, [_model(root, target, run_id) for target in targets])))
 
-    def load(target: str) -> GBTRegressionModel:
-        return GBTRegressionModel.load(_model(root, target, run_id))
 
-    with ThreadPoolExecutor(PARALLELISM) as pool:
-        return dict(zip(targets, pool.map(inheritable_thread_target(spark)(load), targets)))
+def load_routed(
+    spark: SparkSession, root: str, run_id: str
+) -> tuple[DataFrame, dict[tuple[str, str], GBTRegressionModel], dict[str, str]]:
+    """Routes, models by target and configuration, and the default configurations of a run by series."""
+    routes = read_table(spark, root, "routes", run_id).drop("run_id")
+    default = {r["target"]: r["configuration"] for r in read_table(spark, root, "choices", run_id).collect()}
+    # At most a row for each target and configuration.
+    used = {(r["target"], r["configuration"]) for r in routes.select("target", "configuration").distinct().collect()}
+    names = sorted(used | set(default.items()))
+    return routes, dict(zip(names, _load(spark, [_routed_model(root, *name, run_id) for name in names]))), default
+
+
+def run_catalogue(spark: SparkSession, root: str) -> DataFrame:
+    """One row per run under ``root``: run_id, started, status, chosen configurations and errors.
+
+    A run that has begun and has no ``info`` is ``incomplete``, and nothing else of it is
+    shown. The tables are found by their partitions, and a filter on ``run_id`` reads only
+    the run's own.
+    """
+
+    def every(name: str, schema: str) -> DataFrame:
+        return read_if_there(spark, f"{root}/{name}", f"{schema}, run_id string")
+
+    started, info = every("started", STARTED_SCHEMA), every("info", INFO_SCHEMA)
+    choices = every("choices", CHOICE_SCHEMA).groupBy("run_id")
+    choices = choices.agg(F.map_from_entries(F.collect_list(F.struct("target", "configuration"))).alias("configurations"))
+    metrics = every("metrics", "model string, rows long, MAE double, RMSE double, R2 double").groupBy("run_id")
+    errors = F.struct("model", F.struct("rows", "MAE", "RMSE", "R2"))
+    metrics = metrics.agg(F.map_from_entries(F.collect_list(errors)).alias("errors"))
+    status = F.coalesce(F.get_json_object("settings", "$.status"), F.lit("incomplete")).alias("status")
+    complete = info.select("run_id", "settings").join(choices, "run_id", "left").join(metrics, "run_id", "left")
+    runs = started.select("run_id", "started").join(complete, "run_id", "left")
+    shown = [F.when(F.col("settings").isNotNull(), F.col(name)).alias(name) for name in ("configurations", "errors")]
+    return runs.select("run_id", "started", status, *shown)
 
 
 def model_info(spark: SparkSession, root: str, run_id: str) -> DataFrame:

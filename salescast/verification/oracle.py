@@ -290,15 +290,15 @@ _JSON_FORECASTS = ", ".join(f"'{t}': {r('quantity_mean_28d')}" for t in TARGETS)
 
 # The tuning grid, written out apart from the code it checks.
 GRID = """(VALUES
-    (0, 'A_small', 500, 0.05, 15, -1, 20, 0.9, 0.9, 0.0, 0.0, 255, 4),
-    (1, 'B_standard', 700, 0.03, 31, -1, 20, 0.9, 0.9, 0.0, 0.0, 255, 5),
-    (2, 'C_regularized', 700, 0.03, 31, -1, 40, 0.9, 0.9, 0.1, 1.0, 255, 5),
-    (3, 'D_complex', 700, 0.03, 63, -1, 30, 0.9, 0.9, 0.1, 1.0, 255, 6),
-    (4, 'E_deep', 1000, 0.02, 63, 8, 30, 0.9, 0.9, 0.1, 1.0, 255, 6),
-    (5, 'F_high_regularization', 700, 0.03, 15, -1, 40, 0.9, 0.9, 0.5, 2.0, 255, 4)
+    (0, 'A_small', 500, 0.05, 15, -1, 20, 0.9, 0.9, 0.0, 0.0, 255, 4, 0.0),
+    (1, 'B_standard', 700, 0.03, 31, -1, 20, 0.9, 0.9, 0.0, 0.0, 255, 5, 0.0),
+    (2, 'C_regularized', 700, 0.03, 31, -1, 40, 0.9, 0.9, 0.1, 1.0, 255, 5, 0.0011),
+    (3, 'D_complex', 700, 0.03, 63, -1, 30, 0.9, 0.9, 0.1, 1.0, 255, 6, 0.0011),
+    (4, 'E_deep', 1000, 0.02, 63, 8, 30, 0.9, 0.9, 0.1, 1.0, 255, 6, 0.0011),
+    (5, 'F_high_regularization', 700, 0.03, 15, -1, 40, 0.9, 0.9, 0.5, 2.0, 255, 4, 0.0025)
 ) AS grid(config_order, configuration, n_estimators, learning_rate, num_leaves, max_depth, min_child_samples,
-          subsample, colsample_bytree, reg_alpha, reg_lambda, max_bins, tree_depth)"""
-_DOUBLES = ("learning_rate", "subsample", "colsample_bytree", "reg_alpha", "reg_lambda")
+          subsample, colsample_bytree, reg_alpha, reg_lambda, max_bins, tree_depth, penalty_share)"""
+_DOUBLES = ("learning_rate", "subsample", "colsample_bytree", "reg_alpha", "reg_lambda", "penalty_share")
 _GRID_COLUMNS = ", ".join(
     ["config_order", "configuration", "n_estimators", "learning_rate::DOUBLE AS learning_rate", "num_leaves"]
     + ["max_depth", "min_child_samples", *[f"{name}::DOUBLE AS {name}" for name in _DOUBLES[1:]], "max_bins", "tree_depth"]
@@ -334,9 +334,32 @@ stump_sides AS (
 stump AS (
     SELECT * FROM stump_sides WHERE nr > 0 ORDER BY sl * sl / nl + sr * sr / nr DESC, place, v LIMIT 1
 )"""
+_SECOND_VALUES = ", ".join(f"{{'place': {i}, 'v': {name}, 'y': left_over}}" for i, name in enumerate(_STUMP))
 _STUMP_PICK = " ".join(f"WHEN {i} THEN {name}" for i, name in enumerate(_STUMP))
 
 
+# The first tree has weight one; the second learns twice the residual (the slope of the squared loss) with weight one half.
+TWO_STUMPS = f"""{STUMP},
+first_round AS (
+    SELECT dated.*, CASE WHEN CASE place {_STUMP_PICK} END <= v THEN sl / nl ELSE sr / nr END AS first_forecast
+    FROM dated, stump
+),
+second_values AS (
+    SELECT place, v, COUNT(*) AS n, SUM(y) AS s
+    FROM (SELECT UNNEST([{_SECOND_VALUES}], recursive := true)
+          FROM (SELECT *, 2 * (target_1d - first_forecast) AS left_over FROM first_round WHERE split = 'train')) GROUP BY place, v
+),
+second_sides AS (
+    SELECT place, v, SUM(n) OVER upto AS nl, SUM(s) OVER upto AS sl,
+           SUM(n) OVER (PARTITION BY place) - SUM(n) OVER upto AS nr,
+           SUM(s) OVER (PARTITION BY place) - SUM(s) OVER upto AS sr
+    FROM second_values WINDOW upto AS (PARTITION BY place ORDER BY v)
+),
+second AS (
+    SELECT * FROM second_sides WHERE nr > 0 ORDER BY sl * sl / nl + sr * sr / nr DESC, place, v LIMIT 1
+)"""
+
+
 def _describe(target: str) -> str:
     return (
         f"SELECT {ID}, '{target}' AS \"column\", COUNT({target}) AS count, {r(f'AVG({target})')} AS mean, "
@@ -551,13 +574,37 @@ def oracle_sql() -> dict[str, str]:
                 {r(f"CASE WHEN CASE place {_STUMP_PICK} END <= v THEN sl / nl ELSE sr / nr END")} AS forecast_target_1d
             FROM test, stump""",
         ),
+        "gbt_two_stumps_forecast": _with(
+            TWO_STUMPS,
+            f"""SELECT {ROW}, target_1d, {r(f"first_forecast + 0.5::DOUBLE * CASE WHEN CASE place {_STUMP_PICK} END <= v THEN sl / nl ELSE sr / nr END")}
+                AS forecast_target_1d FROM (SELECT * FROM first_round WHERE split = 'test'), second""",
+        ),
         "tuning_results": _with(
             DATED,
             f"""SELECT target, config_order, configuration,
                 (SELECT COUNT(*) FROM dated WHERE is_validation) AS rows, TRUE AS has_errors
             FROM (SELECT UNNEST({ALL_TARGETS}) AS target), {GRID}""",
         ),
-        "gbt_fit": f"SELECT UNNEST({ALL_TARGETS}) AS target, 2 AS trees, 255 AS bins, TRUE AS is_best",
+        "gbt_fit": _with(
+            DATED,
+            " UNION ALL ".join(
+                f"SELECT '{t}' AS target, 2 AS trees, 255 AS bins, TRUE AS is_best, TRUE AS gain_follows, "
+                f"{r(f'VAR_POP({t})')} AS target_variance FROM dated WHERE split = 'train'"
+                for t in ALL_TARGETS
+            ),
+        ),
+        "gbt_selection_by_series": _with(
+            DATED,
+            f"""SELECT {ID}, target, COUNT(*) AS rows, TRUE AS is_first_of_least
+            FROM dated, (SELECT UNNEST({ALL_TARGETS}) AS target) WHERE is_validation GROUP BY {ID}, target""",
+        ),
+        "gbt_routed_forecast": _with(DATED, f"SELECT {ROW}, TRUE AS is_its_own, TRUE AS has_forecasts FROM test"),
+        "run_catalogue": _with(
+            DATED,
+            f"""SELECT 'check' AS run_id, 'ok' AS status, 8 AS targets,
+                {r(f"AVG(ABS({DIRECT_TARGET} - quantity_mean_28d * 7))")} AS baseline_mae FROM test
+            UNION ALL SELECT 'begun', 'incomplete', NULL, NULL""",
+        ),
         "gbt_test_forecast": _with(
             DATED, f"SELECT {ROW}, {', '.join(ALL_TARGETS)}, TRUE AS has_forecasts FROM test"
         ),

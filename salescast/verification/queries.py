@@ -17,7 +17,7 @@ from salescast.functions.metrics import compare, forecast_errors
 from salescast.functions.numeric import to_numbers
 from salescast.operators import baselines, daily, features, quality, regression, split
 from salescast.operators.selection import best_configuration
-from salescast.plans import configurations, evaluation, jobs, panel, scoring, training
+from salescast.plans import configurations, evaluation, jobs, panel, routing, scoring, training
 from salescast.schema import (
     ALL_TARGETS,
     BASELINE_FEATURE,
@@ -406,6 +406,7 @@ CHECK_TREES = 2
 CHECK_CONFIGURATIONS = tuple(replace(c, n_estimators=CHECK_TREES) for c in configurations.CONFIGURATIONS)
 RUN_ID = "check"
 _runs: dict[tuple[str, str], tuple[training.TrainedRun, str]] = {}
+_errors: set[str] = set()
 
 
 def _run(spark: SparkSession, sf_dir: str) -> tuple[training.TrainedRun, str]:
@@ -425,6 +426,7 @@ def _finite(*names: str) -> Column:
 
 
 STUMP = configurations.Configuration("stump", 1, 1.0, 2, -1, 1, 1.0, 1.0, 0.0, 0.0)
+TWO_STUMPS = configurations.Configuration("two_stumps", 2, 0.5, 2, -1, 1, 1.0, 1.0, 0.0, 0.0)
 STUMP_FEATURES = ["day_of_week", "month", "is_weekend", "is_holiday"]
 
 
@@ -448,8 +450,88 @@ def gbt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The size of each final model, and whether its configuration had the lowest error (ties: the first)."""
     run, _ = _run(spark, sf_dir)
     best = {r["target"]: r["configuration"] for r in best_configuration(run.tuning).collect()}
-    rows = [(t, m.getNumTrees, m.getMaxBins(), run.best[t] == best[t]) for t, m in run.models.items()]
-    return spark.createDataFrame(rows, "target string, trees int, bins int, is_best boolean")
+    by_name = {c.name: c for c in CHECK_CONFIGURATIONS}
+    rows = []
+    for target, model in run.models.items():
+        wanted = configurations.least_gain(by_name[run.best[target]], run.variances[target])
+        follows = abs(model.getMinInfoGain() - wanted) <= 1e-12 * wanted
+        held = model.getNumTrees, model.getMaxBins(), run.best[target] == best[target]
+        rows.append((target, *held, follows, run.variances[target]))
+    schema = "target string, trees int, bins int, is_best boolean, gain_follows boolean, target_variance double"
+    return rounded_all(spark.createDataFrame(rows, schema), ["target_variance"])
+
+
+def gbt_two_stumps_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds of trees of depth one, the second with step 0.5, on four calendar features: every value is checked."""
+    rows = _panel(spark, sf_dir)
+    parts = split.temporal_split(rows, cutoff=split.common_cutoff(rows))
+    model = training.fit(parts.where(F.col("split") == "train"), TARGETS[0], TWO_STUMPS, STUMP_FEATURES)
+    scored = training.forecast_all(parts.where(F.col("split") == "test"), {TARGETS[0]: model}, STUMP_FEATURES)
+    name = baselines.forecast_name(TARGETS[0])
+    return rounded_all(scored.select(*KEYS, DATE, TARGETS[0], name), [name])
+
+
+def gbt_selection_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each series' and target's choice: the rows it was judged on, and whether no configuration is better or as good and earlier."""
+    run, errors = _series_errors(spark, sf_dir)
+    chosen = routing.series_routes(errors)
+    others = errors.groupBy(*KEYS, "target").agg(
+        F.min("MAE").alias("least"), F.collect_list(F.struct("config_order", "MAE")).alias("all")
+    )
+    tied = F.filter("all", lambda row: row["MAE"] <= F.col("least") + F.abs("least") * 1e-9)
+    first = F.array_min(F.transform(tied, lambda row: row["config_order"]))
+    judged = chosen.join(others, [*KEYS, "target"]).withColumn("is_first_of_least", F.col("config_order") == first)
+    return judged.select(*KEYS, "target", "rows", "is_first_of_least")
+
+
+def gbt_routed_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test rows answered by their series' own tuned models, and whether each forecast is that of the model alone."""
+    run, errors = _series_errors(spark, sf_dir)
+    routes = routing.series_routes(errors)
+    tuned = _tuned(spark, sf_dir)
+    test = training.stage_rows(spark, run.rows_path, training.TEST)
+    name = baselines.forecast_name(DIRECT_TARGET)
+    routed = routing.forecast_routed(test, routes, tuned, run.best)
+    own = routes.where(F.col("target") == DIRECT_TARGET).select(*KEYS, F.col("configuration").alias("own"))
+    alone = routed.withColumn("routed", F.col(name)).join(own, list(KEYS), "left")
+    alone = routing.with_all_forecasts(alone, {n: m for n, m in tuned.items() if n[0] == DIRECT_TARGET})
+    wanted = F.lit(None).cast("double")
+    for target, configuration in tuned:
+        if target == DIRECT_TARGET:
+            own_name = F.coalesce("own", F.lit(run.best[DIRECT_TARGET]))
+            wanted = F.when(own_name == configuration, F.col(f"_{target}_{configuration}")).otherwise(wanted)
+    forecasts = _finite(*[baselines.forecast_name(t) for t in ALL_TARGETS])
+    return alone.select(*KEYS, DATE, (F.col("routed") == wanted).alias("is_its_own"), forecasts.alias("has_forecasts"))
+
+
+def run_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check's run and one that was only begun, with the error of the 28-day baseline."""
+    _, root = _run(spark, sf_dir)
+    if not registry.run_catalogue(spark, root).where("run_id = 'begun'").count():
+        registry.start_run(spark, root, "begun", registry.Settings())
+    runs = registry.run_catalogue(spark, root)
+    return runs.select(
+        "run_id",
+        "status",
+        F.size(F.map_keys("configurations")).alias("targets"),
+        F.round(F.col("errors")["baseline_28d"]["MAE"], 6).alias("baseline_mae"),
+    )
+
+
+def _tuned(spark: SparkSession, sf_dir: str) -> routing.Models:
+    run, _ = _run(spark, sf_dir)
+    return routing.tuned_models(run.ledger, ALL_TARGETS, CHECK_CONFIGURATIONS)
+
+
+def _series_errors(spark: SparkSession, sf_dir: str) -> tuple[training.TrainedRun, DataFrame]:
+    """Validation errors of the check's run by series, computed and stored once per run."""
+    run, _ = _run(spark, sf_dir)
+    path = f"{run.rows_path}_errors"
+    if path not in _errors:
+        errors = routing.tuning_by_series(spark, run.rows_path, _tuned(spark, sf_dir), CHECK_CONFIGURATIONS)
+        errors.write.parquet(path)
+        _errors.add(path)
+    return run, spark.read.parquet(path)
 
 
 def gbt_test_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -595,6 +677,7 @@ def queries() -> dict[str, Query]:
         "predict_requests": predict_requests,
         "predict_json": predict_json,
         "gbt_stump_forecast": gbt_stump_forecast,
+        "gbt_two_stumps_forecast": gbt_two_stumps_forecast,
         "tuning_results": tuning_results,
         "gbt_fit": gbt_fit,
         "gbt_test_forecast": gbt_test_forecast,
@@ -604,5 +687,8 @@ def queries() -> dict[str, Query]:
         "feature_importance": feature_importance,
         "model_info": model_info,
         "model_registry_roundtrip": model_registry_roundtrip,
+        "gbt_selection_by_series": gbt_selection_by_series,
+        "gbt_routed_forecast": gbt_routed_forecast,
+        "run_catalogue": run_catalogue,
         "predict_batch": predict_batch,
     }
