@@ -412,11 +412,10 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     gone = groups.where("NOT kept").select("doc_id").distinct()
     repeated = groups.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
     repeated = repeated.join(gone, "doc_id", "left_anti")
-    key = F.col("doc_id").cast("long")
-    again, away = (ids.withColumnRenamed("doc_id", "_listed") for ids in (repeated, gone.union(repeated)))
-    first = docs.join(_listed(again), key == F.col("_listed"), "left_semi").dropDuplicates(["doc_id"])
-    rest = docs.join(_listed(away), key == F.col("_listed"), "left_anti")
-    return rest.union(first)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*docs.columns).alias("row"))
+    first = rows.join(_listed(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rest = rows.join(_listed(gone.union(repeated)), "doc_id", "left_anti")
+    return rest.union(first).select("row.*")
 
 
 def _listed(ids: DataFrame) -> DataFrame:

@@ -178,10 +178,12 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
     chosen = mix_sources(docs.select(key.alias("doc_id"), "text", "source"))
     taken = F.when(F.col("size") > 0, F.col("copies")).otherwise(1)
-    chosen = chosen.select(F.col("doc_id").alias("_key"), F.struct("size", taken.cast("int").alias("copies")).alias("c"))
-    chosen = chosen.groupBy("_key").agg(F.sort_array(F.collect_list("c")).alias("_chosen"))
-    rows = docs.withColumns({"_key": key, "_size": word_count()}).join(chosen, "_key")
-    place = F.row_number().over(Window.partitionBy("_key").orderBy("_size", F.xxhash64("text", "source")))
-    rows = rows.withColumn("_copies", F.element_at("_chosen", place)["copies"])
-    copy = F.explode(F.sequence(F.lit(1), F.col("_copies")))
-    return rows.where("_copies > 0").select(*docs.columns, copy.alias("_copy")).drop("_copy")
+    chosen = chosen.select(F.col("doc_id").alias("key"), F.struct("size", taken.cast("int").alias("copies")).alias("c"))
+    chosen = chosen.groupBy("key").agg(F.sort_array(F.collect_list("c")).alias("chosen"))
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), key.alias("key"), word_count().alias("size"), F.xxhash64("text", "source").alias("tie")
+    )
+    rows = rows.join(chosen, "key")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("size", "tie"))
+    rows = rows.withColumn("copies", F.element_at("chosen", place)["copies"]).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

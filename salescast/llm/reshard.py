@@ -1,37 +1,44 @@
 """Sharding by minimum-cost flow: from old shard sizes and new capacities to block moves.
 
-Rows lie in old shards, each cut by a hash into a fixed number of blocks. Block sizes
-are summed map-side; the table of blocks has as many rows as the parameters say, at any
-size of the data. On the driver a minimum-cost flow from old shards (supply) to new
+Rows lie in old shards, each cut by a hash of the text into a fixed number of blocks, so
+that equal texts lie in one block and stay together. Only a text whose copies hold more
+than ``HEAVY`` of an even shard is cut by a hash of the row too (those are fewer than
+``NEW_SHARDS / HEAVY``). Block sizes are summed map-side; the table of blocks has as many
+rows as the parameters say, at any size of the data. On the driver a minimum-cost flow from old shards (supply) to new
 shards (capacity) finds how many bytes must go where so that the fewest bytes move:
 what stays in its shard is free. The flow is then filled with whole blocks, and a few
 small blocks level what the filling left.
 
 The law here is ``bytes``: capacities are equal, so the new shards' sizes are. The old
-shard of a document is a hash of its text, so that equal texts start together and stay
-so wherever the sizes allow; a group of copies too large for a shard is split by blocks.
+shard of a document is a hash of its text too. Rows that are equal in doc_id and text are
+never told apart.
 
 A row's slot is its block's offset in the shard plus its number within the block, so no
 task ever sorts a whole shard. ``reshard`` only places rows; ``rewrite_affected`` rewrites
 the files of blocks that move, and is not part of it.
 
 Size is the text's UTF-8 bytes plus 16; a null text has none (its checksum is that of no
-bytes, 0). Repeated rows each get a slot. An empty table has no blocks. Other columns
-are kept or ignored as the caller wants.
+bytes, 0). Repeated rows each get a slot. Very long texts are rows like others: a shard
+that holds one larger than it should be stays larger. An empty table has no blocks. Other
+columns are kept, whatever their names; only those named like a result are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from salescast.llm.scratch import stored
+
 OLD_SHARDS = 32
 NEW_SHARDS = 40
 BLOCKS = 256
 ROW_BYTES = 16
+HEAVY = 0.25
 LEVEL_MOVES = 20_000
 EVEN = 0.0005
 _MANIFEST = "old_shard int, block int, shard int, offset long, bytes long"
@@ -176,13 +183,28 @@ def plan_moves(old: np.ndarray, size: np.ndarray, old_shards: int, new_shards: i
     return Plan(shard, load, int(size[shard != old].sum()))
 
 
-def with_blocks(docs: DataFrame, old_shards: int = OLD_SHARDS, blocks: int = BLOCKS) -> DataFrame:
-    """Add size, text_crc32, old_shard and block."""
+def text_key(text: str = "text"):
+    return F.xxhash64(text)
+
+
+def heavy_texts(docs: DataFrame, new_shards: int = NEW_SHARDS, heavy: float = HEAVY) -> list[int]:
+    """Keys of the texts whose copies hold more than ``heavy`` of an even shard: less than ``new_shards / heavy`` of them."""
+    sums = docs.select(text_key().alias("key"), text_size().alias("size")).groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    sums = stored(sums, "reshard-texts")
+    total = sums.agg(F.sum("bytes")).first()[0] or 0
+    limit = heavy * total / new_shards
+    return [row["key"] for row in sums.where((F.col("bytes") > limit) & (F.col("rows") > 1)).select("key").collect()]
+
+
+def with_blocks(docs: DataFrame, old_shards: int = OLD_SHARDS, blocks: int = BLOCKS, heavy: Sequence[int] = ()) -> DataFrame:
+    """Add size, text_crc32, old_shard and block. Rows of the ``heavy`` texts are spread over blocks."""
     sized = docs.withColumns({"size": text_size(), "text_crc32": text_crc32()})
+    key = text_key()
+    spread = F.when(key.isin(list(heavy)), F.xxhash64("doc_id", "text_crc32")).otherwise(key) if heavy else key
     return sized.withColumns(
         {
             "old_shard": F.pmod("text_crc32", F.lit(old_shards)).cast("int"),
-            "block": F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).cast("int"),
+            "block": F.pmod(spread, F.lit(blocks)).cast("int"),
         }
     )
 
@@ -204,15 +226,18 @@ def block_plan(blocked: DataFrame, old_shards: int = OLD_SHARDS, new_shards: int
 
 def reshard(docs: DataFrame, old_shards: int = OLD_SHARDS, new_shards: int = NEW_SHARDS, blocks: int = BLOCKS) -> DataFrame:
     """``docs`` with size, text_crc32, law, shard, slot, grown_shard, and the old_shard and block they came from."""
-    blocked = with_blocks(docs, old_shards, blocks)
+    mine = ["size", "text_crc32", "law", "shard", "slot", "grown_shard", "old_shard", "block"]
+    kept = F.struct(*[c for c in docs.columns if c not in mine]).alias("row")
+    rows = docs.select("doc_id", "text", kept)
+    heavy = heavy_texts(rows, new_shards)
     # Bounded by old_shards * blocks rows, so it may always be broadcast.
-    plan = F.broadcast(block_plan(with_blocks(docs.select("doc_id", "text"), old_shards, blocks), old_shards, new_shards))
-    placed = blocked.join(plan.drop("bytes"), ["old_shard", "block"])
+    plan = block_plan(with_blocks(rows.select("doc_id", "text"), old_shards, blocks, heavy), old_shards, new_shards)
+    blocked = with_blocks(rows, old_shards, blocks, heavy).drop("text")
+    placed = blocked.join(F.broadcast(plan.drop("bytes")), ["old_shard", "block"])
     within = Window.partitionBy("old_shard", "block").orderBy("doc_id", "text_crc32", "size")
     placed = placed.withColumn("slot", (F.col("offset") + F.row_number().over(within) - 1).cast("long"))
     placed = placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
-    mine = ["size", "text_crc32", "law", "shard", "slot", "grown_shard", "old_shard", "block"]
-    return placed.select(*[c for c in docs.columns if c not in mine], *mine)
+    return placed.select("row.*", *mine)
 
 
 def write_blocks(rows: DataFrame, path: str) -> DataFrame:
