@@ -45,7 +45,7 @@ DEPTH = 6
 END = 0xFF
 SPACE = 0x20
 END_TOKEN = np.uint64(0x1D8AF066E5F3A2B7)
-HOT_GRAMS = 1_000_000
+HOT_GRAMS = 1_400_000
 HOT_WORDS = 500_000
 HOLD = 2_000_000
 TREE_GROUPS = 1024
@@ -428,11 +428,22 @@ def gram_scores(weighted: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 def hottest(table: DataFrame, limit: int) -> Lookup:
-    """Values of the most frequent keys, ``limit`` at most: those seen as often as the least bound that keeps them within it."""
+    """Values of the most frequent keys, about ``limit`` and never much more.
+
+    All keys seen as often as the least bound that keeps them within the limit, and of
+    those up to the next lower bound a share by hash.
+    """
     bounds = [*range(64), *sorted({int(64 * 1.2**k) for k in range(200)})]
     sizes = table.agg(*[F.count(F.when(F.col("times") >= b, True)).alias(str(b)) for b in bounds]).first()
-    least = next((b for b in bounds if sizes[str(b)] <= limit), None)
-    rows = table.where(F.col("times") >= least if least is not None else F.lit(False)).select("key", "value").toArrow()
+    fits = [b for b in bounds if sizes[str(b)] <= limit]
+    least = fits[0] if fits else bounds[-1] + 1
+    is_hot = F.col("times") >= least
+    if least > 0:
+        below = max(b for b in bounds if b < least)
+        held = sizes[str(least)] if fits else 0
+        share = (limit - held) / max(sizes[str(below)] - held, 1)
+        is_hot |= (F.col("times") >= below) & (F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 990_000))
+    rows = table.where(is_hot).select("key", "value").toArrow()
     return Lookup(rows["key"].to_numpy().view(np.uint64), rows["value"].to_numpy())
 
 
