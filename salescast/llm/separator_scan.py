@@ -11,11 +11,13 @@ range. Boundaries are then stitched by a prefix
 scan over the blocks: a running sum of lengths gives each block's place in the stream, a
 running maximum of separator places gives the last separator before it, which is where
 its first document began. The scan runs per file over its blocks, and over files with
-one row each.
+one row each; a block's places take no part in it and are joined when it is done.
 
 Tokens after the last separator are a document that isn't terminated. Two separators
 next to each other enclose an empty document. A file that isn't a whole number of tokens
-is an error. Empty files and folders have no documents.
+is an error. Empty files and folders have no documents. The writer takes a null text for
+an empty one, writes very long texts whole and each repeated row anew, and reads no column
+but the text; a document's place in the stream is unique, so there are no ties.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from salescast.llm.scratch import stored
+
 # Two bytes per token, high byte first. The separator lies above the vocabulary's
 # identifiers (0 to 50,256), and its two bytes are one UTF-8 character, so that
 # Spark's text writer can set it after each row.
@@ -175,23 +179,25 @@ def scan_blocks(
 
 
 def stitched(blocks: DataFrame) -> DataFrame:
-    """Add to each block its place in the stream: start, file_no, documents before it, and the last separator before it."""
-    has = F.size("places") > 0
-    last = F.when(has, F.element_at("places", -1))
+    """Each block's place in the stream: file, block, file_no, start, documents before it, and the last separator before it.
+
+    ``blocks`` has file, block, n_tokens, n_docs and last (place of its last separator):
+    a few numbers for each block, whatever it holds.
+    """
     in_file = Window.partitionBy("file").orderBy("block")
     before = in_file.rowsBetween(Window.unboundedPreceding, -1)
     none = F.lit(0)
     inside = blocks.withColumn("file_start", F.coalesce(F.sum("n_tokens").over(before), none))
     inside = inside.withColumns(
         {
-            "last_in_file": F.max(F.col("file_start") + last).over(before),
-            "docs_in_file": F.coalesce(F.sum(F.size("places")).over(before), none),
+            "last_in_file": F.max(F.col("file_start") + F.col("last")).over(before),
+            "docs_in_file": F.coalesce(F.sum("n_docs").over(before), none),
         }
     )
     files = inside.groupBy("file").agg(
         F.sum("n_tokens").alias("file_tokens"),
-        F.sum(F.size("places")).alias("file_docs"),
-        F.max(F.col("file_start") + last).alias("file_last"),
+        F.sum("n_docs").alias("file_docs"),
+        F.max(F.col("file_start") + F.col("last")).alias("file_last"),
     )
     earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.withColumn("stream_start", F.coalesce(F.sum("file_tokens").over(earlier), none))
@@ -204,9 +210,12 @@ def stitched(blocks: DataFrame) -> DataFrame:
     )
     placed = inside.join(files, "file")
     return placed.select(
+        "file",
+        "block",
         "file_no",
         "n_tokens",
-        "places",
+        "n_docs",
+        "last",
         (F.col("stream_start") + F.col("file_start")).alias("start"),
         (F.col("stream_docs") + F.col("docs_in_file")).alias("docs_before"),
         F.coalesce(F.col("stream_start") + F.col("last_in_file"), "stream_last").alias("last_before"),
@@ -215,8 +224,14 @@ def stitched(blocks: DataFrame) -> DataFrame:
 
 def document_lengths(blocks: DataFrame) -> DataFrame:
     """One row per document of the stream: doc_no, file_no (where it ends), start_token, n_tokens, terminated."""
-    placed = stitched(blocks)
-    each = placed.select("*", F.posexplode("places").alias("nth", "place"))
+    # Written once, since the places are needed again when the blocks have found theirs.
+    blocks = stored(blocks, "token-blocks")
+    last = F.when(F.size("places") > 0, F.element_at("places", -1))
+    narrow = blocks.select("file", "block", "n_tokens", F.size("places").alias("n_docs"), last.alias("last"))
+    placed = stored(stitched(narrow), "token-places")
+    starts = placed.select("file", "block", "file_no", "start", "docs_before", "last_before")
+    each = blocks.where(F.size("places") > 0).join(starts, ["file", "block"])
+    each = each.select("*", F.posexplode("places").alias("nth", "place"))
     previous = F.when(F.col("nth") == 0, F.col("last_before")).otherwise(
         F.col("start") + F.try_element_at("places", F.col("nth"))
     )
@@ -227,8 +242,9 @@ def document_lengths(blocks: DataFrame) -> DataFrame:
         (F.col("start") + F.col("place") - previous - 1).alias("n_tokens"),
         F.lit(True).alias("terminated"),
     )
-    end = F.max(F.struct((F.col("start") + F.col("n_tokens")).alias("tokens"), "file_no", "docs_before", F.size("places").alias("here"),
-                         F.when(F.size("places") > 0, F.col("start") + F.element_at("places", -1)).otherwise(F.col("last_before")).alias("last")))
+    last = F.coalesce(F.col("start") + F.col("last"), "last_before")
+    end = F.struct((F.col("start") + F.col("n_tokens")).alias("tokens"), "file_no", "docs_before", F.col("n_docs").alias("here"), last.alias("last"))
+    end = F.max(end)
     rest = placed.agg(end.alias("end")).where("end.tokens > end.last + 1")
     rest = rest.select(
         (F.col("end.docs_before") + F.col("end.here")).alias("doc_no"),
