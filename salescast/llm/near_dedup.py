@@ -19,8 +19,10 @@ A pair at similarity 0.75 meets in at least one of the 40 buckets with probabili
 deviations below 0.75. Every link is exact.
 
 Nulls, empty texts and texts without words have no shingle and link with nothing.
-Rows that repeat a doc_id are one document; rows without doc_id are kept, in no group.
-Other columns are ignored.
+A row is known by a 64-bit key of its doc_id and text, and only the result goes by doc_id:
+rows that share a doc_id and have different texts are different documents, each with its
+own group and links. Rows equal in both are one. Rows without doc_id are kept, in no
+group. Ties go to the smallest doc_id. Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -123,18 +125,18 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 SIGNATURE_SCHEMA = (
-    "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, "
+    "doc_id long, real_id long, n_shingles long, set_a long, set_b long, bands array<long>, "
     + ", ".join(f"{name} long" for name in SKETCH)
 )
 _SIGNATURE_ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64())]
+    [(name, pa.int64()) for name in ("doc_id", "real_id", "n_shingles", "set_a", "set_b")]
     + [("bands", pa.list_(pa.int64()))]
     + [(name, pa.int64()) for name in SKETCH]
 )
 WRITE_ROWS = 2000
 
 
-def _signature_batch(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+def _signature_batch(ids: list[pa.Array], sets: list[np.ndarray]) -> pa.RecordBatch:
     rows = len(sets)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     samples = np.zeros((rows, SAMPLES), dtype=np.uint32)
@@ -149,26 +151,30 @@ def _signature_batch(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
     offsets = np.arange(rows + 1, dtype=np.int32) * BANDS
     bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))
     sketches = odd_sketches(samples).view(np.int64)
-    columns = [ids, pa.array(sizes), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), bands]
+    columns = [*ids, pa.array(sizes), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), bands]
     columns += [pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(SKETCH_WORDS)]
     return pa.RecordBatch.from_arrays(columns, schema=_SIGNATURE_ARROW)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Set size, set fingerprint, band keys and odd sketch of every document."""
+    """Set size, set fingerprint, band keys and odd sketch of every document (doc_id, real_id, text)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first, sets = 0, []
-            for shingles in shingle_sets(batch.column(1)):
+
+            def signed() -> pa.RecordBatch:
+                return _signature_batch([batch.column(c).slice(first, len(sets)) for c in (0, 1)], sets)  # noqa: B023
+
+            for shingles in shingle_sets(batch.column(2)):
                 sets.append(shingles)
                 if len(sets) == WRITE_ROWS:
-                    yield _signature_batch(batch.column(0).slice(first, len(sets)), sets)
+                    yield signed()
                     first, sets = first + len(sets), []
             if sets:
-                yield _signature_batch(batch.column(0).slice(first, len(sets)), sets)
+                yield signed()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, SIGNATURE_SCHEMA)
+    return docs.select("doc_id", "real_id", "text").mapInArrow(scan, SIGNATURE_SCHEMA)
 
 
 def similar_size(left: str, right: str):
@@ -382,39 +388,55 @@ def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.where("_of_a != _of_b").select("a", "b")
 
 
-def near_duplicate_groups(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    signed = stored(signatures(docs), "near-signatures")
+def row_key():
+    """Key of a row's doc_id and text; null without doc_id."""
+    doc_id = F.col("doc_id").cast("long")
+    return F.when(doc_id.isNotNull(), F.xxhash64(doc_id, "text"))
+
+
+def grouped_rows(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: row_key, doc_id, n_shingles, component_id, and first_key, that of its group's first row."""
+    keyed = docs.select(row_key().alias("doc_id"), F.col("doc_id").cast("long").alias("real_id"), "text")
+    signed = stored(signatures(keyed), "near-signatures")
     key = ["set_a", "set_b", "n_shingles"]
     named = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stored(named.groupBy(*key).agg(F.min("doc_id").alias("class_id")), "near-classes")
-    heads = classes.select("class_id").distinct()
+    first = F.min(F.struct("real_id", F.col("doc_id").alias("row_key"))).alias("first")
+    classes = stored(named.groupBy(*key).agg(F.min("doc_id").alias("class_id"), first), "near-classes")
+    heads = classes.select("class_id")
     nodes = named.join(heads, named["doc_id"] == heads["class_id"], "left_semi")
     nodes = nodes.withColumnRenamed("doc_id", "class_id").dropDuplicates(["class_id"])
-    labels = class_links(docs, nodes.drop("set_a", "set_b"))
-    members = signed.select("doc_id", *key).join(with_component(classes, labels, "class_id", "component"), key, "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    labels = class_links(keyed.select("doc_id", "text"), nodes.drop("set_a", "set_b", "real_id"))
+    placed = with_component(classes, labels, "class_id", "component")
+    firsts = placed.groupBy("component").agg(F.min("first").alias("least"))
+    placed = placed.join(firsts, "component").select(*key, "least")
+    members = signed.select("doc_id", "real_id", *key).join(placed, key, "left")
     return members.select(
-        "doc_id",
+        F.col("doc_id").alias("row_key"),
+        F.col("real_id").alias("doc_id"),
         "n_shingles",
-        component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        F.when(F.col("real_id").isNotNull(), F.coalesce("least.real_id", "real_id")).alias("component_id"),
+        F.when(F.col("real_id").isNotNull(), F.coalesce("least.row_key", "doc_id")).alias("first_key"),
     )
 
 
+def near_duplicate_groups(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return grouped_rows(docs).select("doc_id", "n_shingles", "component_id", kept)
+
+
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: one for each group of near-duplicates, and those without doc_id.
 
-    It is the row with the group's smallest doc_id. Only rows of repeated identifiers
-    are shuffled, as long as the list of identifiers to drop may be broadcast.
+    It is a row with the group's smallest doc_id. Only rows that are there several times
+    are shuffled, as long as the list of rows to drop may be broadcast.
     """
-    groups = stored(near_duplicate_groups(docs).where("doc_id IS NOT NULL"), "near-groups")
-    gone = groups.where("NOT kept").select("doc_id").distinct()
-    repeated = groups.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    repeated = repeated.join(gone, "doc_id", "left_anti")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*docs.columns).alias("row"))
-    first = rows.join(_listed(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rest = rows.join(_listed(gone.union(repeated)), "doc_id", "left_anti")
+    groups = stored(grouped_rows(docs).where("row_key IS NOT NULL").select("row_key", "first_key"), "near-groups")
+    gone = groups.where("row_key != first_key").select("row_key").distinct()
+    repeated = groups.where("row_key = first_key").groupBy("row_key").count().where("count > 1").select("row_key")
+    rows = docs.select(row_key().alias("row_key"), F.struct(*docs.columns).alias("row"))
+    first = rows.join(_listed(repeated), "row_key", "left_semi").dropDuplicates(["row_key"])
+    rest = rows.join(_listed(gone.union(repeated)), "row_key", "left_anti")
     return rest.union(first).select("row.*")
 
 
