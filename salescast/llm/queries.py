@@ -17,13 +17,14 @@ from salescast.llm.pivotal_mix import mix_sources
 from salescast.llm.quality_repeats import quality_rules
 from salescast.llm.reshard import reshard
 from salescast.llm.rule_ensemble import quality_scores
-from salescast.llm.scratch import scratch_path
+from salescast.llm.scratch import modest_batches, scratch_path
 from salescast.llm.separator_scan import document_lengths, scan_blocks, write_token_files
 from salescast.llm.token_alignment import align_tokenizers
 from salescast.llm.toxicity import toxicity_scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

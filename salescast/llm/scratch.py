@@ -9,6 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from salescast.session import shared_dir
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_DEFAULT_BYTES = ("67108864b", "64MB")
+MODEST_BYTES = "4m"
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Arrow batches of about 4 MB of texts, where the session keeps Spark's 64 MB.
+
+    A batch lies in the JVM and in the worker, on its way in and on its way out, for each
+    task of an executor.
+    """
+    if spark.conf.get(_BATCH_BYTES) in _DEFAULT_BYTES:
+        spark.conf.set(_BATCH_BYTES, MODEST_BYTES)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``.
 

@@ -7,6 +7,7 @@ whole documents, so that memory follows the chunk and the longest document.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -15,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 500_000
 SHINGLE_WORDS = 5
 
 IS_SEPARATOR = np.zeros(256, dtype=bool)
@@ -36,7 +37,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.full(size, _BASE, dtype=np.uint64)
     down = np.full(size, _BASE_INVERSE, dtype=np.uint64)
@@ -44,9 +44,17 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+@lru_cache(maxsize=1)
+def _usual_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(CHUNK_BYTES + 1)
+
+
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, for at least ``size`` exponents."""
-    return _powers(max(CHUNK_BYTES, 1 << (size - 1).bit_length() if size > CHUNK_BYTES else 1) + 1)
+    """Powers of the hash base and of its inverse, for at least ``size`` exponents.
+
+    A worker keeps those of a usual chunk; those for a longer text go with it.
+    """
+    return _usual_powers() if size <= CHUNK_BYTES + 1 else _powers(size)
 
 
 class SpanHasher:
@@ -111,6 +119,21 @@ def chunks(texts: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Itera
         last = min(max(last, first + 1), len(texts))
         yield Chunk(first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
         first = last
+    give_back_memory()
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # not the GNU C library
+        return lambda _: 0
+
+
+def give_back_memory() -> None:
+    """Return what a batch took to the machine: workers stay between stages, and hold on to it."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def scan_words(chunk: Chunk, is_separator: np.ndarray = IS_SEPARATOR) -> Words:
