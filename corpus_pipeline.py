@@ -9,31 +9,36 @@ from salescast.llm.near_dedup import one_of_each_group
 from salescast.llm.pivotal_mix import mixed_documents
 from salescast.llm.quality_repeats import good_documents
 from salescast.llm.reshard import reshard
-from salescast.llm.scratch import stored
+from salescast.llm.scratch import modest_batches, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the limits on repetition keep."""
+    modest_batches(spark)
     return good_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest doc_id."""
+    modest_batches(spark)
     return one_of_each_group(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
+    modest_batches(spark)
     return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the target weights of the sources take it."""
+    modest_batches(spark)
     return mixed_documents(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their shard and slot."""
+    modest_batches(spark)
     return reshard(docs)
 
 
