@@ -17,8 +17,10 @@ documents are never shuffled.
 
 Null, empty and word-free texts have no shingle: as items they match nothing, as
 documents they contain nothing. Fewer than five words make one shingle of the whole
-sequence, which is found only in a document of just these words. Repeated rows each
-get their rows. Other columns are ignored.
+sequence, which is found only in a document of just these words. Very long texts are
+scanned whole, in memory that follows the longest one. Every item that a document
+contains is a row, so there are no ties. Repeated rows each get their rows, and an empty
+table has none. Other columns are ignored, or kept where documents are.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ A pair at similarity 0.75 meets in at least one of the 40 buckets with probabili
 1 - 2e-5, and more surely above; the bounds on the sketches lie five and four standard
 deviations below 0.75. Every link is exact.
 
-Nulls, empty texts and texts without words have no shingle and link with nothing.
+Nulls, empty texts and texts without words have no shingle and link with nothing. Very
+long texts have all their shingles, in memory that follows the longest one.
 A row is known by a 64-bit key of its doc_id and text, and only the result goes by doc_id:
 rows that share a doc_id and have different texts are different documents, each with its
 own group and links. Rows equal in both are one. Rows without doc_id are kept, in no

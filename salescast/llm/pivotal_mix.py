@@ -15,7 +15,9 @@ fixed order: reruns agree, on any number of executors.
 
 Documents without words (null, empty or white space) have size 0 and take nothing.
 A null source is a source of its own, last in order. Repeated rows are rounded one by
-one. An empty table gives an empty mix. Other columns are ignored.
+one, those that tie in order of doc_id and size. Very long texts are counted whole. An
+empty table gives an empty mix. Other columns are ignored; the stage keeps them, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -5,14 +5,17 @@ array by prefix doubling; a document's number is part of the first rank, so that
 suffixes of different documents never compare equal. Only suffixes that still tie are
 sorted again, so that the cost follows the repetition. Adjacent suffixes with a long
 common prefix make the intervals of the maximal repeated substrings; the union of
-their occurrences is the covered part of the text.
+their occurrences is the covered part of the text. That union is taken from the
+neighbours' common prefixes directly; ``maximal_repeats`` lists the intervals.
 
 A document is kept unless the base rules fail, repeats of ``MIN_REPEAT`` words or more
 cover over ``MAX_COVERED`` hundredths of its words, or its longest repeat has more than
 ``MAX_LONGEST`` words. Occurrences may overlap, as in a word repeated many times.
 
 Null texts, empty texts and texts without words have zeros everywhere and fail the base
-rules (fewer than 50 words). Repeated rows each get a row. Other columns are ignored.
+rules (fewer than 50 words). Very long texts are scanned whole, in memory that follows
+the longest one. A share that equals a limit is within it. Repeated rows each get a row.
+Other columns are ignored, or kept where documents are.
 """
 
 from __future__ import annotations

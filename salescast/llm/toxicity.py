@@ -13,7 +13,9 @@ numbers) to the driver; scoring is one scan with a broadcast weight per feature.
 
 Null and empty texts have no feature and get the score of the bias. Labels that are null
 are no labels; several labels of a document count each. Without any usable label every
-score is 0.5. Repeated rows each get a row. Columns other than doc_id and text are not read.
+score is 0.5. Very long texts are scanned whole. Features that tell the labels apart
+equally well are kept in order of their hash. Repeated rows each get a row, and an empty
+table has none. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
