@@ -20,9 +20,9 @@ deviations below 0.75. Every link is exact.
 
 Nulls, empty texts and texts without words have no shingle and link with nothing. Very
 long texts have all their shingles, in memory that follows the longest one.
-A row is known by a 64-bit key of its doc_id and text, and only the result goes by doc_id:
-rows that share a doc_id and have different texts are different documents, each with its
-own group and links. Rows equal in both are one. Rows without doc_id are kept, in no
+Rows that share a doc_id and have different texts are different documents, each with its
+own group and links: such a row is known by a 64-bit hash of its doc_id and text, and only
+the result goes by doc_id. Rows equal in both are one. Rows without doc_id are kept, in no
 group. Ties go to the smallest doc_id. Other columns are kept, whatever their names.
 """
 
@@ -389,15 +389,32 @@ def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.where("_of_a != _of_b").select("a", "b")
 
 
-def row_key():
-    """Key of a row's doc_id and text; null without doc_id."""
+def clashing_ids(docs: DataFrame) -> DataFrame:
+    """The doc_ids that rows of different texts share, stored."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"))
+    texts = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("hash").alias("least"), F.max("hash").alias("most"))
+    return stored(texts.where("least != most").select("doc_id"), "near-clashing")
+
+
+def with_row_key(docs: DataFrame, clashing: DataFrame) -> DataFrame:
+    """row_key, and the rows of ``docs`` as one column. The key is the doc_id, or a hash where that clashes; null without doc_id.
+
+    Keys keep the order of the doc_ids: a group's first row, often the original of the
+    others, is the leader that they are compared with.
+    """
     doc_id = F.col("doc_id").cast("long")
-    return F.when(doc_id.isNotNull(), F.xxhash64(doc_id, "text"))
+    rows = docs.select(doc_id.alias("row_key"), F.xxhash64(doc_id, "text").alias("hash"), F.struct(*docs.columns).alias("row"))
+    if clashing.isEmpty():
+        return rows.select("row_key", "row")
+    listed = _listed(clashing.select(F.col("doc_id").alias("row_key"), F.lit(True).alias("clashes")))
+    rows = rows.join(listed, "row_key", "left")
+    return rows.select(F.when(F.col("clashes"), F.col("hash")).otherwise(F.col("row_key")).alias("row_key"), "row")
 
 
-def grouped_rows(docs: DataFrame) -> DataFrame:
+def grouped_rows(docs: DataFrame, clashing: DataFrame) -> DataFrame:
     """One row per row of ``docs``: row_key, doc_id, n_shingles, component_id, and first_key, that of its group's first row."""
-    keyed = docs.select(row_key().alias("doc_id"), F.col("doc_id").cast("long").alias("real_id"), "text")
+    keyed = with_row_key(docs.select("doc_id", "text"), clashing)
+    keyed = keyed.select(F.col("row_key").alias("doc_id"), F.col("row.doc_id").cast("long").alias("real_id"), F.col("row.text").alias("text"))
     signed = stored(signatures(keyed), "near-signatures")
     key = ["set_a", "set_b", "n_shingles"]
     named = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -423,7 +440,7 @@ def grouped_rows(docs: DataFrame) -> DataFrame:
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
-    return grouped_rows(docs).select("doc_id", "n_shingles", "component_id", kept)
+    return grouped_rows(docs, clashing_ids(docs)).select("doc_id", "n_shingles", "component_id", kept)
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
@@ -432,10 +449,12 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     It is a row with the group's smallest doc_id. Only rows that are there several times
     are shuffled, as long as the list of rows to drop may be broadcast.
     """
-    groups = stored(grouped_rows(docs).where("row_key IS NOT NULL").select("row_key", "first_key"), "near-groups")
+    clashing = clashing_ids(docs)
+    groups = grouped_rows(docs, clashing).where("row_key IS NOT NULL").select("row_key", "first_key")
+    groups = stored(groups, "near-groups")
     gone = groups.where("row_key != first_key").select("row_key").distinct()
     repeated = groups.where("row_key = first_key").groupBy("row_key").count().where("count > 1").select("row_key")
-    rows = docs.select(row_key().alias("row_key"), F.struct(*docs.columns).alias("row"))
+    rows = with_row_key(docs, clashing)
     first = rows.join(_listed(repeated), "row_key", "left_semi").dropDuplicates(["row_key"])
     rest = rows.join(_listed(gone.union(repeated)), "row_key", "left_anti")
     return rest.union(first).select("row.*")
